@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .clean import filter_hour_band, keep_first
 
 # Weekday names, Monday first.
 WEEKDAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
-HOURS = F.sum("total_time_ms") / F.lit(3_600_000.0)
+
+
+def hours() -> Column:
+    return F.sum("total_time_ms") / F.lit(3_600_000.0)
 
 
 def category_stats(sessions: DataFrame) -> DataFrame:
     """Hours, records, users and apps per category with shares of the rounded total."""
     base = sessions.where(F.col("app_category").isNotNull()).groupBy("app_category").agg(
-        F.round(HOURS, 2).alias("total_hours"),
+        F.round(hours(), 2).alias("total_hours"),
         F.count(F.lit(1)).alias("record_count"),
         F.count_distinct("app_user_id").alias("unique_users"),
         F.count_distinct("app_name").alias("unique_apps"),
@@ -33,14 +36,14 @@ def category_stats(sessions: DataFrame) -> DataFrame:
 def top_categories(sessions: DataFrame, n: int) -> DataFrame:
     return (
         sessions.where(F.col("app_category").isNotNull())
-        .groupBy("app_category").agg(HOURS.alias("hours"))
+        .groupBy("app_category").agg(hours().alias("hours"))
         .orderBy(F.col("hours").desc(), "app_category").limit(n)
     )
 
 
 def top_with_other(sessions: DataFrame, n: int = 10) -> DataFrame:
     """The ``n`` largest categories by hours and the remainder as ``Other``."""
-    totals = sessions.where(F.col("app_category").isNotNull()).groupBy("app_category").agg(HOURS.alias("hours"))
+    totals = sessions.where(F.col("app_category").isNotNull()).groupBy("app_category").agg(hours().alias("hours"))
     place = F.row_number().over(Window.orderBy(F.col("hours").desc(), "app_category"))
     named = totals.withColumn("category", F.when(place <= n, F.col("app_category")).otherwise("Other"))
     return named.groupBy("category").agg(F.sum("hours").alias("hours"))
@@ -58,7 +61,7 @@ def category_by_weekday(sessions: DataFrame, n: int = 10) -> DataFrame:
     """Hours per (weekday, category) for the top categories, Monday first, missing 0."""
     top = top_categories(sessions, n)
     rows = sessions.join(top, "app_category", "left_semi")
-    sums = rows.groupBy("app_category", F.weekday("last_time_used").alias("weekday")).agg(HOURS.alias("hours"))
+    sums = rows.groupBy("app_category", F.weekday("last_time_used").alias("weekday")).agg(hours().alias("hours"))
     spine = top.select("app_category").withColumn("weekday", F.explode(F.sequence(F.lit(0), F.lit(6))))
     names = F.element_at(F.array(*[F.lit(d) for d in WEEKDAYS]), F.col("weekday") + 1)
     joined = spine.join(sums, ["app_category", "weekday"], "left").na.fill(0.0, ["hours"])
@@ -68,7 +71,7 @@ def category_by_weekday(sessions: DataFrame, n: int = 10) -> DataFrame:
 def user_categories(sessions: DataFrame) -> DataFrame:
     """Hours per (user, category); NULL users drop out."""
     rows = sessions.where(F.col("app_user_id").isNotNull() & F.col("app_category").isNotNull())
-    return rows.groupBy("app_user_id", "app_category").agg(HOURS.alias("hours"))
+    return rows.groupBy("app_user_id", "app_category").agg(hours().alias("hours"))
 
 
 def user_behavior(sessions: DataFrame) -> DataFrame:
@@ -122,13 +125,13 @@ def category_cooccurrence(sessions: DataFrame) -> DataFrame:
 
 def category_trend(sessions: DataFrame, n: int = 5) -> DataFrame:
     rows = sessions.join(top_categories(sessions, n), "app_category", "left_semi")
-    return rows.groupBy(F.to_date("last_time_used").alias("date"), "app_category").agg(HOURS.alias("hours"))
+    return rows.groupBy(F.to_date("last_time_used").alias("date"), "app_category").agg(hours().alias("hours"))
 
 
 def screentime_completeness(sessions: DataFrame) -> DataFrame:
     """Days with data over the global date range, total and mean daily hours per user."""
     rows = sessions.where(F.col("app_user_id").isNotNull()).withColumn("date", F.to_date("last_time_used"))
-    daily = rows.groupBy("app_user_id", "date").agg(HOURS.alias("hours"))
+    daily = rows.groupBy("app_user_id", "date").agg(hours().alias("hours"))
     days = F.datediff(daily.agg(F.max("date")).scalar(), daily.agg(F.min("date")).scalar()) + 1
     per_user = daily.groupBy("app_user_id").agg(
         F.count(F.lit(1)).alias("days_with_data"), F.sum("hours").alias("total_hours"), F.avg("hours").alias("avg_daily_hours")
@@ -149,13 +152,13 @@ def insights(sessions: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("categories"),
         F.min_by("app_category", F.struct(-F.col("unique_users"), "app_category")).alias("most_adopted"),
     )
-    hours = sessions.groupBy(F.hour("last_time_used").alias("h")).agg(F.sum("total_time_ms").alias("ms"))
+    by_hour = sessions.groupBy(F.hour("last_time_used").alias("h")).agg(F.sum("total_time_ms").alias("ms"))
     weekdays = sessions.groupBy(F.weekday("last_time_used").alias("d")).agg(F.sum("total_time_ms").alias("ms"))
     users = user_behavior(sessions)
     names = F.array(*[F.lit(d) for d in WEEKDAYS])
     return top.withColumns(
         {
-            "peak_hour": hours.agg(F.min_by("h", F.struct(-F.col("ms"), "h"))).scalar(),
+            "peak_hour": by_hour.agg(F.min_by("h", F.struct(-F.col("ms"), "h"))).scalar(),
             "peak_day": F.element_at(names, weekdays.agg(F.min_by("d", F.struct(-F.col("ms"), "d"))).scalar() + 1),
             "focused_users": users.agg(F.count_if(F.col("top_category_pct") > 50)).scalar(),
             "mean_session_minutes": sessions.agg(F.avg(F.col("total_time_ms") / F.lit(60000.0))).scalar(),
@@ -167,7 +170,7 @@ def top_apps(sessions: DataFrame, categories: int = 6, apps: int = 5) -> DataFra
     """The largest apps inside each of the largest categories."""
     rows = sessions.join(top_categories(sessions, categories), "app_category", "left_semi")
     stats = rows.groupBy("app_category", "app_name").agg(
-        HOURS.alias("hours"), F.count_distinct("app_user_id").alias("unique_users")
+        hours().alias("hours"), F.count_distinct("app_user_id").alias("unique_users")
     )
     return keep_first(stats, ["app_category"], [F.col("hours").desc(), F.col("app_name")], apps, "place")
 
