@@ -90,7 +90,8 @@ def drop_repeated_sessions(df: DataFrame) -> DataFrame:
 
 def latest_cumulative(df: DataFrame) -> DataFrame:
     """Counters are cumulative per (session, app): keep the last reading."""
-    order = [F.col("last_time_used").desc_nulls_last(), F.col("line").desc()]
+    order = [F.col("last_time_used").desc_nulls_last(), F.col("line").desc(), F.col("total_time_ms").desc()]
+    order += [F.col("app_category")] if "app_category" in df.columns else []
     return keep_first(df, ["screentime_id", "app_name"], order)
 
 
@@ -122,7 +123,7 @@ def repair_first_session(sessions: DataFrame, cutoff: str = FIRST_SESSION_CUTOFF
     Such a row recorded its start as its end: it becomes
     ``[last_used, last_used + total]``. Rows at or after ``cutoff`` are left.
     """
-    key = F.struct("calculated_start_time", "screentime_id", "line")
+    key = F.struct("calculated_start_time", "screentime_id", "line", "app_name", "total_time_ms")
     firsts = sessions.where(F.col("app_user_id").isNotNull()).groupBy("app_user_id").agg(F.min(key).alias("_first"))
     out = sessions.join(firsts, "app_user_id", "left")
     wrong = (

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .clean import keep_first
-from .skew import chunked_cumulative, quantile_chunk
+from .skew import chunked_cumulative, with_quantile_chunk
 
 
 def _safe_div(a: Column, b: Column) -> Column:
@@ -57,8 +57,8 @@ def roc_points(df: DataFrame, keys: list[str], truth: str = "y_true", score: str
     hits = df.groupBy(*keys, F.col(score).alias("threshold")).agg(
         F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) != 1).alias("neg")
     )
-    chunk = -quantile_chunk(hits, "threshold")
-    running = chunked_cumulative(hits.withColumn("_chunk", chunk), keys, F.col("threshold").desc(), {"pos": "tp", "neg": "fp"})
+    chunked = with_quantile_chunk(hits, "threshold", descending=True)
+    running = chunked_cumulative(chunked, keys, F.col("threshold").desc(), {"pos": "tp", "neg": "fp"})
     totals = hits.groupBy(*keys).agg(F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"))
     out = running.join(totals, keys) if keys else running.withColumns(
         {"positives": totals.select("positives").scalar(), "negatives": totals.select("negatives").scalar()}

@@ -131,10 +131,12 @@ def category_trend(sessions: DataFrame, n: int = 5) -> DataFrame:
 def screentime_completeness(sessions: DataFrame) -> DataFrame:
     """Days with data over the global date range, total and mean daily hours per user."""
     rows = sessions.where(F.col("app_user_id").isNotNull()).withColumn("date", F.to_date("last_time_used"))
-    daily = rows.groupBy("app_user_id", "date").agg(hours().alias("hours"))
+    daily = rows.groupBy("app_user_id", "date").agg(F.sum("total_time_ms").alias("total_time_ms"))
     days = F.datediff(daily.agg(F.max("date")).scalar(), daily.agg(F.min("date")).scalar()) + 1
     per_user = daily.groupBy("app_user_id").agg(
-        F.count(F.lit(1)).alias("days_with_data"), F.sum("hours").alias("total_hours"), F.avg("hours").alias("avg_daily_hours")
+        F.count(F.lit(1)).alias("days_with_data"),
+        hours().alias("total_hours"),
+        (F.sum("total_time_ms") / (F.count(F.lit(1)) * F.lit(3_600_000.0))).alias("avg_daily_hours"),
     )
     return per_user.withColumn("total_days", days).withColumn(
         "completeness_pct", F.col("days_with_data") / F.col("total_days") * 100

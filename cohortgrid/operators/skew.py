@@ -58,12 +58,16 @@ def chunked_row_number(df: DataFrame, keys: list[str], order: list[Column], name
     return out.drop("_chunk", "_offset", "_group_size")
 
 
-def quantile_chunk(df: DataFrame, column: str, chunks: int = QUANTILE_CHUNKS) -> Column:
-    """A chunk number rising with ``column`` whose chunks hold similar row counts,
-    from a distributed sketch of the column. Distinct values never straddle chunks."""
+def with_quantile_chunk(df: DataFrame, column: str, descending: bool = False, chunks: int = QUANTILE_CHUNKS) -> DataFrame:
+    """Add ``_chunk``, rising (or falling) with ``column``, with similar row counts per chunk.
+
+    The edges come from a distributed sketch of the column. Equal values never
+    straddle chunks.
+    """
     cuts = [i / chunks for i in range(1, chunks)]
     edges = df.agg(F.percentile_approx(column, cuts, 10_000)).scalar()
-    return F.size(F.filter(edges, lambda e: e < F.col(column)))
+    below = F.size(F.filter(F.col("_edges"), lambda e: e < F.col(column)))
+    return df.withColumn("_edges", edges).withColumn("_chunk", -below if descending else below).drop("_edges")
 
 
 def chunked_cumulative(df: DataFrame, keys: list[str], order: Column, sums: dict[str, str]) -> DataFrame:

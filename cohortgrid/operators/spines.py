@@ -6,11 +6,11 @@ Ranges come from scalar subqueries and are expanded per row with
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .clean import filter_users, keep_first, ntz, study_days
-from .skew import chunked_row_number, quantile_chunk
+from .clean import filter_users, ntz, study_days
+from .skew import chunked_row_number, with_quantile_chunk
 
 
 def user_days(per_day: DataFrame, value: str, start: str, fill=0) -> DataFrame:
@@ -136,7 +136,7 @@ def three_users(totals: DataFrame, value: str = "total") -> DataFrame:
     The median user is position ``n // 2`` of the ascending order (ties by
     id), found by chunked positions, not by ordering all users in one task.
     """
-    chunked = totals.withColumn("_chunk", quantile_chunk(totals, value))
+    chunked = with_quantile_chunk(totals, value)
     placed = chunked_row_number(chunked, [], [F.col(value), F.col("app_user_id")], "rn", "n")
     middle = F.expr("n div 2 + 1")
     roles = F.array_compact(

@@ -200,14 +200,15 @@ APP_PARTS = {
       QUALIFY row_number() OVER (PARTITION BY app_user_id, start_time, end_time, app_name, total_time_ms, last_time_used
       ORDER BY screentime_id, line) = 1""",
     "timed": f"SELECT *, {_START} AS derived, total_time_ms / 1000.0 AS secs FROM unrepeated",
-    "ordered": """SELECT *, row_number() OVER (PARTITION BY app_user_id ORDER BY derived, screentime_id, line) = 1
+    "ordered": """SELECT *, row_number() OVER (PARTITION BY app_user_id ORDER BY derived, screentime_id, line, app_name, total_time_ms) = 1
       AND derived < start_time AND last_time_used < TIMESTAMP '2026-02-26' AS wrong FROM timed""",
     "app_sessions": """SELECT app_user_id, app_name, screentime_id, line,
       CASE WHEN wrong THEN last_time_used ELSE derived END AS calculated_start_time,
       CASE WHEN wrong THEN last_time_used + to_milliseconds(total_time_ms) ELSE last_time_used END AS last_time_used,
       total_time_ms, secs AS total_time_seconds, wrong FROM ordered""",
     "latest": """SELECT * FROM joined
-      QUALIFY row_number() OVER (PARTITION BY screentime_id, app_name ORDER BY last_time_used DESC NULLS LAST, line DESC) = 1""",
+      QUALIFY row_number() OVER (PARTITION BY screentime_id, app_name ORDER BY last_time_used DESC NULLS LAST,
+      line DESC, total_time_ms DESC, app_category) = 1""",
     "categorized": """SELECT *, total_time_ms / 60000.0 AS total_time_minutes FROM latest
       WHERE NOT coalesce(regexp_matches(lower(app_name), 'launcher|controller'), FALSE)""",
 }
