@@ -9,22 +9,31 @@ NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 # 12-hour and 24-hour clock parts.
 H12, H24, MIN, AMPM = r"(1[0-2]|0[1-9]|[1-9])", r"(2[0-3]|[0-1]\d|\d)", r"([0-5]\d|\d)", r"(am|pm)"
 
+# These two run on dozens of columns at once, so each is one SQL expression
+# rather than a tree of Column calls.
+SAFE_INT = (
+    "CASE WHEN {c} RLIKE r'" + NUMBER.replace("{", "{{").replace("}", "}}") + "' "
+    "THEN coalesce(try_cast({c} AS bigint), try_cast(try_cast({c} AS double) AS bigint)) END"
+)
+STRIPPED = r"regexp_replace({c}, r'^\s+|\s+$', '')"
+YES_NO = (
+    f"CASE WHEN lower({STRIPPED}) IN ('1', 'yes', 'y', 'true', 't') THEN 1 "
+    f"WHEN lower({STRIPPED}) IN ('0', 'no', 'n', 'false', 'f') THEN 0 END"
+)
+
 
 def stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
-def safe_int(text: Column) -> Column:
-    """Whole number, truncating decimals; anything else is NULL."""
-    number = F.when(text.rlike(NUMBER), text)
-    return F.coalesce(number.try_cast("bigint"), number.try_cast("double").try_cast("bigint"))
+def safe_int(column: str) -> Column:
+    """Whole number from text, truncating decimals; anything else is NULL."""
+    return F.expr(SAFE_INT.format(c=column))
 
 
-def yes_no(text: Column) -> Column:
-    word = F.lower(stripped(text))
-    return F.when(word.isin("1", "yes", "y", "true", "t"), 1).when(
-        word.isin("0", "no", "n", "false", "f"), 0
-    )
+def yes_no(column: str) -> Column:
+    """1 or 0 from a yes/no spelling, else NULL."""
+    return F.expr(YES_NO.format(c=column))
 
 
 def majority_yes(mean: Column) -> Column:

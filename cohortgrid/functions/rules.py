@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,13 +51,9 @@ TARGETS = {
 }
 
 
-def q(item: int) -> Column:
-    return F.col(f"q{item}")
-
-
-def _any(conditions: list[Column]) -> Column:
+def _any(tests: list[str]) -> Column:
     """OR in which a NULL answer counts as 'not met'."""
-    return reduce(lambda a, b: a | b, [F.coalesce(c, F.lit(False)) for c in conditions])
+    return F.expr(" OR ".join(f"coalesce({t}, false)" for t in tests))
 
 
 def risk(condition: Column) -> Column:
@@ -67,39 +61,42 @@ def risk(condition: Column) -> Column:
 
 
 def suicide_risk() -> Column:
-    return risk(_any([q(i) >= 2 for i in (2, 3, 7)] + [q(i) == 1 for i in (5, 8, 12, 13)]))
+    return risk(_any([f"q{i} >= 2" for i in (2, 3, 7)] + [f"q{i} = 1" for i in (5, 8, 12, 13)]))
 
 
 def suicide_risk_five_item() -> Column:
     """The other published definition: four scale items and one yes/no item."""
-    return risk(_any([q(i) >= 2 for i in (2, 3, 5, 7)] + [q(12) == 1]))
+    return risk(_any([f"q{i} >= 2" for i in (2, 3, 5, 7)] + ["q12 = 1"]))
 
 
 def self_harm_risk() -> Column:
-    return risk(_any([q(9) >= 2] + [q(i) == 1 for i in (11, 15, 16, 17, 18)]))
+    return risk(_any(["q9 >= 2"] + [f"q{i} = 1" for i in (11, 15, 16, 17, 18)]))
+
+
+def _sum_answered(items: list[int]) -> str:
+    return " + ".join(f"coalesce(q{i}, 0)" for i in items)
 
 
 def item_total(items: list[int]) -> Column:
     """Sum of answered items; NULL only when none was answered."""
-    answered = F.coalesce(*[q(i) for i in items]).isNotNull()
-    return F.when(answered, reduce(lambda a, b: a + b, [F.coalesce(q(i), F.lit(0)) for i in items]))
+    answered = ", ".join(f"q{i}" for i in items)
+    return F.expr(f"CASE WHEN coalesce({answered}) IS NOT NULL THEN {_sum_answered(items)} END")
 
 
 def threshold_label(label: str) -> Column:
     total, op, limit = THRESHOLDS[label]
-    value = F.col(total)
-    hit = value <= limit if op == "<=" else value >= limit
-    return F.when(value.isNotNull(), risk(hit))
+    return F.when(F.col(total).isNotNull(), risk(F.expr(f"{total} {op} {limit}")))
 
 
 def sleep_label(hours: Column, quality: Column) -> Column:
-    missing = hours.isNull() & quality.isNull()
-    return F.when(~missing, risk(_any([hours <= 5, hours >= 11, quality <= 2])))
+    known = hours.isNotNull() | quality.isNotNull()
+    tests = [F.coalesce(t, F.lit(False)) for t in (hours <= 5, hours >= 11, quality <= 2)]
+    return F.when(known, risk(tests[0] | tests[1] | tests[2]))
 
 
 def phq9_total() -> Column:
     """Nine-item total; a missing item counts as 0."""
-    return reduce(lambda a, b: a + b, [F.coalesce(q(i), F.lit(0)) for i in PHQ9_ITEMS])
+    return F.expr(_sum_answered(PHQ9_ITEMS))
 
 
 def phq9_severity(total: Column) -> Column:

@@ -60,18 +60,17 @@ def slot_rows(hourly: DataFrame, refs: DataFrame, value: str, hours: int, mode:
     return pairs.select("survey_response_id", before.alias("hours_before"), slot_of(before, mode).alias("hour_slot"), "value")
 
 
-def _slot_columns(hours: int, fill: str | None, window: Column | None = None) -> list[Column]:
+def _slot_columns(hours: int, fill: str | None, window: str | None = None) -> list[Column]:
     """``hour_0 ..``: a slot with rows sums them (missing values count 0); an
     empty slot is 0 under ``zero``, else NULL."""
     out = []
     for i in range(hours):
-        mine = F.col("hour_slot") == i
-        total = F.coalesce(F.sum(F.when(mine, F.col("value"))), F.lit(0.0))
+        total = f"coalesce(sum(CASE WHEN hour_slot = {i} THEN value END), 0.0D)"
         if fill != "zero":
-            total = F.when(F.count_if(mine) > 0, total)
+            total = f"CASE WHEN count_if(hour_slot = {i}) > 0 THEN {total} END"
         if window is not None:
-            total = F.when(window > i, total)
-        out.append(total.alias(f"hour_{i}"))
+            total = f"CASE WHEN {window} > {i} THEN {total} END"
+        out.append(F.expr(f"{total} AS hour_{i}"))
     return out
 
 
@@ -95,7 +94,7 @@ def multiwindow_slots(hourly: DataFrame, surveys: DataFrame, value: str, windows
     rows = slot_rows(hourly, refs, value, max(windows), mode)
     inside = F.filter(F.array(*[F.lit(w) for w in windows]), lambda w: F.col("hours_before") <= w)
     rows = rows.withColumn("window_hours", F.explode(inside))
-    cols = _slot_columns(max(windows), fill, F.col("window_hours"))
+    cols = _slot_columns(max(windows), fill, "window_hours")
     wide = rows.groupBy("survey_response_id", "window_hours").agg(*cols)
     return refs.select("survey_response_id", "app_user_id", "ref_ts", *(keep or [])).join(wide, "survey_response_id")
 
@@ -220,11 +219,10 @@ def subwindow_features(sessions: DataFrame, surveys: DataFrame, lookback: int =
     rows = subwindow_rows(sessions, refs, lookback, size, standardized)
     cols = []
     for i in range(lookback // size):
-        mine = F.col("piece") == i
         cols += [
-            F.max(F.when(mine, F.col("_top.category"))).alias(f"most_used_category_sw{i}"),
-            F.coalesce(F.max(F.when(mine, F.col("_top.minutes"))), F.lit(0.0)).alias(f"most_used_category_time_sw{i}"),
-            F.coalesce(F.max(F.when(mine, F.col("num_apps"))), F.lit(0)).alias(f"num_apps_sw{i}"),
+            F.expr(f"max(CASE WHEN piece = {i} THEN _top.category END) AS most_used_category_sw{i}"),
+            F.expr(f"coalesce(max(CASE WHEN piece = {i} THEN _top.minutes END), 0.0D) AS most_used_category_time_sw{i}"),
+            F.expr(f"coalesce(max(CASE WHEN piece = {i} THEN num_apps END), 0) AS num_apps_sw{i}"),
         ]
     wide = rows.groupBy("survey_response_id").agg(*cols)
     return refs.select("survey_response_id", "app_user_id", "ref_ts", *(keep or [])).join(wide, "survey_response_id")
@@ -251,33 +249,25 @@ def category_windows(sessions: DataFrame, events: DataFrame, windows: list[int]
     ring = F.lit(None).cast("int")
     for w in reversed(windows):
         ring = F.when(F.col("hours_before") <= w, w).otherwise(ring)
-    # Sum inside the ring between two windows first; only then repeat per window.
-    pairs = pairs.withColumn("ring", ring).drop("hours_before")
-    pairs = _with_empty(pairs, refs, F.lit(windows[0]), "ring")
-    rings = pairs.groupBy("screentime_id", "app_user_id", "ref_ts", "ring", "app_category").agg(
-        F.coalesce(F.sum("minutes"), F.lit(0.0)).alias("minutes"),
-        F.collect_set("app_name").alias("apps"),
-        F.max("_real").alias("_real"),
-    )
-    covering = F.filter(F.array(*[F.lit(w) for w in windows]), lambda w: w >= F.col("ring"))
-    by_window = rings.withColumn("window_hours", F.explode(covering))
-    keys = ["screentime_id", "app_user_id", "ref_ts", "window_hours"]
-    cats = by_window.groupBy(*keys, "app_category").agg(
-        F.sum("minutes").alias("minutes"),
-        F.array_distinct(F.flatten(F.collect_list("apps"))).alias("apps"),
-        F.max("_real").alias("_real"),
+    pairs = _with_empty(pairs.withColumn("ring", ring).drop("hours_before"), refs, F.lit(windows[0]), "ring")
+    # Place each event's pairs together once; both groupings below start with
+    # the event and reuse that placement. The lists are bounded by the
+    # category and app vocabularies.
+    keys = ["screentime_id", "app_user_id", "ref_ts"]
+    cats = pairs.repartition(*keys).groupBy(*keys, "app_category").agg(
+        *[F.expr(f"coalesce(sum(CASE WHEN ring <= {w} THEN minutes END), 0.0D) AS m{w}") for w in windows],
+        *[F.expr(f"count_if(ring <= {w} AND _real = 1) AS n{w}") for w in windows],
+        F.collect_set(F.when(F.col("app_name").isNotNull(), F.struct("app_name", "ring"))).alias("apps"),
     )
-    entry = F.struct((-F.round("minutes", 6)).alias("neg"), F.col("app_category").alias("category"), F.col("minutes").alias("minutes"))
-    ranked = F.array_sort(F.collect_list(F.when(F.col("app_category").isNotNull(), entry)))
-    profile = cats.groupBy(*keys).agg(
-        F.sum("minutes").alias("total_screentime"),
-        _app_count().alias("num_apps_used"),
-        F.max("_real").alias("data_available"),
-        ranked.alias("_r"),
+    amounts = [f"{kind}{w}" for w in windows for kind in ("m", "n")]
+    per_event = cats.groupBy(*keys).agg(
+        F.collect_list(F.struct("app_category", *amounts)).alias("_cats"), F.flatten(F.collect_list("apps")).alias("_apps")
     )
-    top_time = F.coalesce(F.get(F.col("_r"), F.lit(0))["minutes"], F.lit(0.0))
+    profile = per_event.select(*keys, F.inline(F.array(*[_window_profile(w) for w in windows])))
+    top = F.get(F.col("_r"), F.lit(0))
+    top_time = F.coalesce(top["minutes"], F.lit(0.0))
     out = {
-        "most_used_category": F.get(F.col("_r"), F.lit(0))["category"],
+        "most_used_category": top["category"],
         "most_used_category_time": top_time,
         "num_categories_used": F.size("_r"),
         "category_diversity": normalized_entropy(F.transform("_r", lambda e: e["minutes"])),
@@ -292,6 +282,19 @@ def category_windows(sessions: DataFrame, events: DataFrame, windows: list[int]
     return profile.withColumns(out).drop("_r")
 
 
+def _window_profile(w: int) -> Column:
+    """Totals, distinct apps and the ranked categories of one window from an event's lists."""
+    return F.expr(f"""struct(
+        {w} AS window_hours,
+        aggregate(_cats, 0.0D, (total, c) -> total + c.m{w}) AS total_screentime,
+        size(array_distinct(transform(filter(_apps, a -> a.ring <= {w}), a -> a.app_name))) AS num_apps_used,
+        int(exists(_cats, c -> c.n{w} > 0)) AS data_available,
+        array_sort(transform(
+            filter(_cats, c -> c.n{w} > 0 AND c.app_category IS NOT NULL),
+            c -> struct(-round(c.m{w}, 6) AS neg, c.app_category AS category, c.m{w} AS minutes)
+        )) AS _r)""")
+
+
 # -------------------------------------------------------------------- sweep
 
 

@@ -66,7 +66,9 @@ def with_quantile_chunk(df: DataFrame, column: str, descending: bool = False, ch
     """
     cuts = [i / chunks for i in range(1, chunks)]
     edges = df.agg(F.percentile_approx(column, cuts, 10_000)).scalar()
-    below = F.size(F.filter(F.col("_edges"), lambda e: e < F.col(column)))
+    # The coalesce keeps the chunk non-nullable, so a join on it adds no null
+    # test that Catalyst would push below an aggregation and run per input row.
+    below = F.coalesce(F.size(F.filter(F.col("_edges"), lambda e: e < F.col(column))), F.lit(0))
     return df.withColumn("_edges", edges).withColumn("_chunk", -below if descending else below).drop("_edges")
 
 

@@ -28,7 +28,7 @@ def pivot_answers(responses: DataFrame, answers: DataFrame, items: list[int], su
         .groupBy("survey_response_id", "app_user_id", "survey_ts")
         .agg(
             F.max("survey_id").alias("survey_id"),
-            *[F.max(F.when(F.col("question_id") == i, F.col("answer"))).alias(f"q{i}") for i in items],
+            *[F.expr(f"max(CASE WHEN question_id = {i} THEN answer END) AS q{i}") for i in items],
         )
     )
 
@@ -38,8 +38,8 @@ def coerce_answers(wide: DataFrame) -> DataFrame:
     numeric = [i for i in rules.SCALE_ITEMS + [rules.SLEEP_QUALITY_ITEM] if f"q{i}" in wide.columns]
     flags = [i for i in rules.YES_NO_ITEMS if f"q{i}" in wide.columns]
     typed = wide.withColumns(
-        {f"q{i}": safe_int(F.col(f"q{i}")) for i in numeric}
-        | {f"q{i}": yes_no(F.col(f"q{i}")) for i in flags}
+        {f"q{i}": safe_int(f"q{i}") for i in numeric}
+        | {f"q{i}": yes_no(f"q{i}") for i in flags}
         | {"survey_ts": lenient_timestamp(F.col("survey_ts"))}
     )
     return typed.where(F.col("survey_ts").isNotNull()).withColumn("survey_date", F.to_date("survey_ts"))
@@ -57,7 +57,7 @@ def average_by_day(typed: DataFrame) -> DataFrame:
     days = typed.groupBy("app_user_id", "survey_date").agg(
         F.min(order).alias("_first"),
         F.min(morning).alias("_morning"),
-        *[F.avg(f"q{i}").alias(f"q{i}") for i in sorted(rules.SCALE_ITEMS + rules.YES_NO_ITEMS)],
+        *[F.expr(f"avg(q{i}) AS q{i}") for i in sorted(rules.SCALE_ITEMS + rules.YES_NO_ITEMS)],
     )
     days = days.withColumns({f"q{i}": majority_yes(F.col(f"q{i}")) for i in rules.YES_NO_ITEMS})
     return days.withColumns(
@@ -101,7 +101,7 @@ def five_item_labels(responses: DataFrame, answers: DataFrame) -> DataFrame:
     wide = pivot_answers(responses, answers, items, [MORNING, AFTERNOON])
     yes_no_items = {12}
     typed = wide.withColumns(
-        {f"q{i}": yes_no(F.col(f"q{i}")) if i in yes_no_items else safe_int(F.col(f"q{i}")) for i in items}
+        {f"q{i}": yes_no(f"q{i}") if i in yes_no_items else safe_int(f"q{i}") for i in items}
     )
     return typed.withColumn("suicide_risk_label", rules.suicide_risk_five_item())
 
@@ -109,7 +109,7 @@ def five_item_labels(responses: DataFrame, answers: DataFrame) -> DataFrame:
 def phq9_scores(responses: DataFrame, answers: DataFrame, survey_ids: list[int] | None = None) -> DataFrame:
     """PHQ-9 totals with the five-level and binary severity labels."""
     wide = pivot_answers(responses, answers, rules.PHQ9_ITEMS, survey_ids)
-    typed = wide.withColumns({f"q{i}": safe_int(F.col(f"q{i}")) for i in rules.PHQ9_ITEMS})
+    typed = wide.withColumns({f"q{i}": safe_int(f"q{i}") for i in rules.PHQ9_ITEMS})
     total = typed.withColumn("phq9_total_score", rules.phq9_total())
     return total.withColumns(
         {

@@ -190,6 +190,6 @@ def day_hour_pivot(hourly: DataFrame, value: str, fill: str | None = "zero", ord
     """
     slot = F.col("hour_index") if ordinal else F.hour("datetime")
     wide = hourly.withColumn("_slot", slot).groupBy("app_user_id", "date")
-    cols = [F.sum(F.when(F.col("_slot") == h, F.col(value))).alias(f"hour_{h}") for h in range(24)]
+    cols = [F.expr(f"sum(CASE WHEN _slot = {h} THEN {value} END) AS hour_{h}") for h in range(24)]
     out = wide.agg(*cols)
     return out.na.fill(0.0, [f"hour_{h}" for h in range(24)]) if fill == "zero" else out

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import apply_runtime_conf
@@ -35,7 +34,7 @@ def query(name: str, oracle: str | None = None):
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     doubles = {f.name for f in df.schema if isinstance(f.dataType, T.DoubleType)}
-    return df.select(*[F.round(c, digits).alias(c) if c in doubles else F.col(c) for c in df.columns])
+    return df.selectExpr(*[f"round(`{c}`, {digits}) AS `{c}`" if c in doubles else f"`{c}`" for c in df.columns])
 
 
 def sql(body: str, views: list[str], parts: dict[str, str] | None = None) -> str:

@@ -138,7 +138,7 @@ _RAW = """SELECT event_id, CASE event_id % 5 WHEN 0 THEN CAST(CAST(floor(value)
 FROM ({_RAW.format(e='events')})""")
 def coerce_answers(b):
     raw = b.spark.sql(_RAW, e=b.raw("events"))
-    return raw.select("event_id", safe_int(F.col("number_text")).alias("number"), yes_no(F.col("flag_text")).alias("flag"))
+    return raw.select("event_id", safe_int("number_text").alias("number"), yes_no("flag_text").alias("flag"))
 
 
 @query("sleep_duration", sql("""SELECT id, s AS asleep_seconds, w AS awake_seconds, round(CASE WHEN w <= s THEN w - s + 86400 ELSE w - s END / 3600.0, 3) AS sleep_hours

@@ -106,15 +106,20 @@ class Bound:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
+        self._raw: dict[str, DataFrame] = {}
 
     def raw(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{table}.parquet")
+        if table not in self._raw:
+            self._raw[table] = self.spark.read.parquet(f"{self.root}/{table}.parquet")
+        return self._raw[table]
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in VIEWS:
             raise AttributeError(name)
         tables, text = VIEWS[name][:2]
-        return self.spark.sql(text, **{t: self.raw(t) for t in tables})
+        view = self.spark.sql(text, **{t: self.raw(t) for t in tables})
+        setattr(self, name, view)
+        return view
 
 
 def duck_text(name: str) -> str:
