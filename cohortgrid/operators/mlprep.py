@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import FeatureHasher
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import feature_columns, split_by_type
 from ..functions.rules import TARGETS
-from .skew import HOT_MIN_ROWS, HOT_SHARE, chunked_row_number, with_hot_chunk
+from .skew import HOT_MIN_ROWS, HOT_SHARE, chunked_row_number, hot_row_number
 
 HASH_BUCKETS = 128
 
@@ -153,8 +153,8 @@ def split_by_user(df: DataFrame, key: str, label: str, test_size: float = 0.3, s
     stratify = (F.col("_classes") > 1) & (F.col("_smallest") >= 2)
     rows = df.join(users, "app_user_id").withColumn("_stratum", F.when(stratify, F.col(label).cast("string")).otherwise(""))
     rows = rows.withColumn("_h", shuffle_key(key, seed))
-    rows = with_hot_chunk(rows, ["app_user_id", "_stratum"], F.substring("_h", 1, 3), share, min_rows)
-    placed = chunked_row_number(rows, ["app_user_id", "_stratum"], [F.col("_h"), F.col(key)], "_rn", "_n")
+    placed = hot_row_number(rows, ["app_user_id", "_stratum"], F.substring("_h", 1, 3), [F.col("_h"), F.col(key)],
+                            "_rn", "_n", share, min_rows)
     test = (F.col("_user_n") > 1) & (F.col("_rn") <= F.ceil(F.lit(test_size) * F.col("_n")))
     return placed.withColumn("is_test", test).drop("_user_n", "_smallest", "_classes", "_stratum", "_h", "_rn", "_n")
 
@@ -162,8 +162,7 @@ def split_by_user(df: DataFrame, key: str, label: str, test_size: float = 0.3, s
 def split_temporal(df: DataFrame, key: str, ts: str, test_size: float = 0.3, share: float = HOT_SHARE,
                    min_rows: int = HOT_MIN_ROWS) -> DataFrame:
     """Each user's earliest ``floor(n * (1 - test_size))`` rows train, at least one row on each side."""
-    rows = with_hot_chunk(df, ["app_user_id"], F.to_date(ts), share, min_rows)
-    placed = chunked_row_number(rows, ["app_user_id"], [F.col(ts), F.col(key)], "_rn", "_n")
+    placed = hot_row_number(df, ["app_user_id"], F.to_date(ts), [F.col(ts), F.col(key)], "_rn", "_n", share, min_rows)
     cut = F.floor(F.col("_n") * F.lit(1 - test_size))
     cut = F.least(F.greatest(cut, F.lit(1)), F.col("_n") - 1)
     return placed.withColumn("is_test", (F.col("_n") > 1) & (F.col("_rn") > cut)).drop("_rn", "_n")
@@ -195,9 +194,9 @@ def stratified_folds(df: DataFrame, key: str, label: str, preferred: int = 5, mi
 
     ``fold`` is NULL when fewer than ``minimum`` folds are feasible.
     """
-    smallest = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    classes = smallest.agg(F.count(F.lit(1))).scalar()
-    k = F.least(F.lit(preferred), smallest.agg(F.min("n")).scalar())
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    sizes = counts.agg(F.struct(F.min("n").alias("smallest"), F.count(F.lit(1)).alias("classes"))).scalar()
+    k, classes = F.least(F.lit(preferred), sizes["smallest"]), sizes["classes"]
     rows = df.withColumn("_h", shuffle_key(key, seed)).withColumn("_chunk", F.substring("_h", 1, 3))
     placed = chunked_row_number(rows, [label], [F.col("_h"), F.col(key)], "_rn")
     fold = F.when((k >= minimum) & (classes > 1), F.pmod(F.col("_rn") - 1, k).cast("int"))
@@ -209,7 +208,8 @@ def fold_validity(folded: DataFrame, label: str = "label") -> DataFrame:
     per = folded.groupBy("fold").agg(
         F.count(F.lit(1)).alias("rows"), F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) == 0).alias("_q")
     )
-    positives, negatives = per.agg(F.sum("_p")).scalar(), per.agg(F.sum("_q")).scalar()
+    # One row per fold.
+    positives, negatives = F.sum("_p").over(Window.partitionBy()), F.sum("_q").over(Window.partitionBy())
     ok = (F.col("_p") > 0) & (F.col("_q") > 0) & (positives > F.col("_p")) & (negatives > F.col("_q"))
     return per.select("fold", "rows", ok.alias("usable"))
 

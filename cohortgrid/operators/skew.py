@@ -25,32 +25,51 @@ def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE, min_rows:
     return counts.where(F.col("_n") > F.greatest(F.lit(min_rows), total * F.lit(share))).drop("_n")
 
 
-def with_hot_chunk(df: DataFrame, keys: list[str], chunk: Column, share: float = HOT_SHARE,
-                   min_rows: int = HOT_MIN_ROWS) -> DataFrame:
-    """``_chunk`` splits only the hot groups; every other group stays whole."""
-    hot = hot_keys(df, keys, share, min_rows).withColumn("_hot", F.lit(True))
-    flagged = df.join(F.broadcast(hot), keys, "left")
-    return flagged.withColumn("_chunk", F.when(F.col("_hot"), chunk.cast("string")).otherwise("")).drop("_hot")
+def hot_row_number(df: DataFrame, keys: list[str], chunk: Column, order: list[Column], name: str = "rn",
+                   size_name: str = "n", share: float = HOT_SHARE, min_rows: int = HOT_MIN_ROWS) -> DataFrame:
+    """1-based position and group size per ``keys``; only hot groups are chunked.
 
-
-def chunked_row_number(df: DataFrame, keys: list[str], order: list[Column], name: str = "rn",
-                       size_name: str | None = None) -> DataFrame:
-    """1-based position per ``keys`` of a frame that carries ``_chunk``.
-
-    ``_chunk`` must rise with ``order``. Keys must not be NULL. ``size_name``
-    adds the group's row count.
+    ``chunk`` must rise with ``order``. Ordinary groups take one window; the
+    rows of a hot group are spread over its chunks, whose offsets are counted
+    separately. Keys must not be NULL.
     """
+    hot = F.broadcast(hot_keys(df, keys, share, min_rows).withColumn("_hot", F.lit(True)))
+    rows = df.join(hot, keys, "left").withColumn("_chunk", F.when(F.col("_hot"), chunk.cast("string")).otherwise(""))
+    offsets = _chunk_offsets(rows.where("_hot"), keys)
+    # Placed by group and chunk even when the input is already placed by a
+    # part of the keys, which would keep a hot group in one task.
+    placed = rows.join(offsets, [*keys, "_chunk"], "left").repartition(*keys, "_chunk")
+    group = Window.partitionBy(*keys, "_chunk")
+    return placed.withColumns(
+        {
+            name: F.row_number().over(group.orderBy(*order)) + F.coalesce("_offset", F.lit(0)),
+            size_name: F.coalesce("_group_size", F.count(F.lit(1)).over(group)),
+        }
+    ).drop("_hot", "_chunk", "_offset", "_group_size")
+
+
+def _chunk_offsets(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows before each chunk and rows of the whole group."""
     sizes = df.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_size"))
     by_group = Window.partitionBy(*keys)
     before = by_group.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
+    return sizes.select(
         *keys,
         "_chunk",
         F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"),
         F.sum("_size").over(by_group).alias("_group_size"),
     )
+
+
+def chunked_row_number(df: DataFrame, keys: list[str], order: list[Column], name: str = "rn",
+                       size_name: str | None = None) -> DataFrame:
+    """1-based position per ``keys`` of a frame that carries ``_chunk``.
+
+    ``_chunk`` must rise with ``order``. Keys must not be NULL. ``size_name``
+    adds the group's row count.
+    """
     local = Window.partitionBy(*keys, "_chunk").orderBy(*order)
-    out = df.join(offsets, [*keys, "_chunk"]).withColumn(
+    out = df.join(_chunk_offsets(df, keys), [*keys, "_chunk"]).withColumn(
         name, (F.row_number().over(local) + F.col("_offset")).cast("long")
     )
     if size_name:

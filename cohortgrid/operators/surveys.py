@@ -152,14 +152,15 @@ def one_per_day(labels: DataFrame, label: str) -> DataFrame:
     return keep_first(rows, ["app_user_id", "_date"], order).drop("_date")
 
 
-def propagate_positive(labels: DataFrame, label: str, positive: str) -> DataFrame:
-    """Users with one positive row are positive on every row.
+def propagate_positive(labels: DataFrame, label: str, positive: str, keys: list[str] | None = None) -> DataFrame:
+    """Users with one positive row are positive on every row (within ``keys``).
 
     The positive users are aggregated first (combined on the map side) and
     joined back, so a user's rows are never gathered in one task.
     """
-    positives = labels.where(F.col(label) == positive).select("app_user_id").distinct()
-    flagged = labels.join(positives.withColumn("_positive", F.lit(True)), "app_user_id", "left")
+    keys = keys or ["app_user_id"]
+    positives = labels.where(F.col(label) == positive).select(*keys).distinct()
+    flagged = labels.join(positives.withColumn("_positive", F.lit(True)), keys, "left")
     return flagged.withColumn(label, F.when(F.col("_positive"), positive).otherwise(F.col(label))).drop("_positive")
 
 

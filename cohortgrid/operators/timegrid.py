@@ -138,26 +138,54 @@ def weekly_average(df: DataFrame, name: str = "avg_daily_steps", start: str = "s
     """
     value = value or value_column(df, weekly=True)
     daily = bucket_metric(df, agg, "D", start, value, app_user_id, date_range, dedup_keys)
+    return _weekly_means(daily, ["app_user_id"], week_anchor).select("app_user_id", "week_start", F.col("mean").alias(name))
+
+
+def _weekly_means(daily: DataFrame, keys: list[str], week_anchor: str) -> DataFrame:
+    """Mean per (keys, week) of daily totals ``time_key, value`` over the key's own day range."""
     daily = daily.withColumn("week_start", week_start(F.col("time_key"), week_anchor))
-    # Weekly totals keep the user's day range, so one shuffle feeds both.
-    weekly = daily.groupBy("app_user_id", "week_start").agg(
+    # Weekly totals keep the day range, so one aggregation feeds both uses.
+    weekly = daily.groupBy(*keys, "week_start").agg(
         F.sum("value").alias("total"), F.min("time_key").alias("first"), F.max("time_key").alias("last")
     )
-    span = weekly.groupBy("app_user_id").agg(
+    span = weekly.groupBy(*keys).agg(
         F.min("first").alias("first_day"), F.max("last").alias("last_day"),
         F.min("week_start").alias("w0"), F.max("week_start").alias("w1"),
     )
     weeks = span.select(
-        "app_user_id", "first_day", "last_day",
+        *keys, "first_day", "last_day",
         F.explode(F.sequence("w0", "w1", F.expr("interval 7 days"))).alias("week_start"),
     )
     days = (
         F.datediff(F.least(F.col("last_day"), F.date_add("week_start", 6)),
                    F.greatest(F.col("first_day"), F.col("week_start"))) + 1
     )
-    return weeks.join(weekly.select("app_user_id", "week_start", "total"), ["app_user_id", "week_start"], "left").select(
-        "app_user_id", "week_start", (F.coalesce("total", F.lit(0.0)) / days).alias(name)
+    joined = weeks.join(weekly.select(*keys, "week_start", "total"), [*keys, "week_start"], "left")
+    return joined.select(*keys, "week_start", (F.coalesce("total", F.lit(0.0)) / days).alias("mean"))
+
+
+# Metric -> weekly column.
+WEEKLY_METRICS = {
+    "steps": "avg_daily_steps", "calories": "avg_daily_calories", "speed": "avg_daily_speed", "distance": "avg_daily_distance",
+}
+
+
+def weekly_health(events: DataFrame, week_anchor: str = "MON", metrics: dict[str, str] | None = None) -> DataFrame:
+    """Weekly means of all metrics for user-weeks that have every one of them.
+
+    Same rows as inner joins of the per-metric weekly tables, from one pass
+    over the tagged events. ``metrics={"steps": ...}`` is the steps-only form.
+    """
+    metrics = metrics or WEEKLY_METRICS
+    rows = dedup_start(events.where(F.col("metric").isin(list(metrics))), keys=["metric", "app_user_id", "start_timestamp"])
+    rows = rows.where(F.col("app_user_id").isNotNull() & F.col("start_timestamp").isNotNull())
+    keys = ["app_user_id", "metric"]
+    daily = rows.groupBy(*keys, F.to_date("start_timestamp").alias("time_key")).agg(_sum0(F.col("value")).alias("value"))
+    means = _weekly_means(daily, keys, week_anchor)
+    wide = means.groupBy("app_user_id", "week_start").agg(
+        *[F.max(F.when(F.col("metric") == m, F.col("mean"))).alias(name) for m, name in metrics.items()]
     )
+    return wide.dropna(subset=list(metrics.values()))
 
 
 def hourly_screentime(sessions: DataFrame, week_anchor: str = "MON", app_user_id: int = ALL_USERS, date_range=None,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import align, lookback, metrics, reports, surveys, timegrid
 from ..operators.mlprep import split_temporal
-from .grid_queries import DEDUP, EVENTS, GRID_PARTS, HOURLY_OUT, DAILY_OUT, VALUES_D, metric_of, r6, weekly_parts
+from .grid_queries import DEDUP, EVENTS, GRID_PARTS, HOURLY_OUT, DAILY_OUT, VALUES_D, r6, weekly_parts
 from .registry import query, sql
 
 SURVEYS = ["surveys"]
@@ -124,7 +124,7 @@ def event_week_labels(b):
     return surveys.weekly_first(scored)
 
 
-_WEEKLY = {"steps": "avg_daily_steps", "calories": "avg_daily_calories", "speed": "avg_daily_speed", "distance": "avg_daily_distance"}
+_WEEKLY = timegrid.WEEKLY_METRICS
 _WEEKLY_PARTS = {"dedup_events": DEDUP, "labels_w": EVENT_WEEK_LABELS}
 for _metric, _name in _WEEKLY.items():
     _WEEKLY_PARTS |= weekly_parts(_metric, _name)
@@ -134,8 +134,7 @@ for _metric, _name in _WEEKLY.items():
                                    + " ".join(f"JOIN {n}_weekly USING (app_user_id, week_start)" for n in _WEEKLY.values()),
                                    EVENTS + SURVEYS, _WEEKLY_PARTS))
 def weekly_health_labels(b):
-    tables = [timegrid.weekly_average(metric_of(b, m), name) for m, name in _WEEKLY.items()]
-    return align.join_weekly(tables, event_week_labels(b))
+    return align.join_weekly([timegrid.weekly_health(b.metric_events)], event_week_labels(b))
 
 
 _LABELLED = GRID_PARTS | {"labels_w": EVENT_WEEK_LABELS}

@@ -20,7 +20,6 @@ from ..functions.rules import TARGETS
 from ..functions.taxonomy import collapse_games, resolve_categories
 from ..functions.timecols import add_seconds
 from ..operators import align, fill, lookback, mlprep, surveys, timegrid
-from ..operators.timegrid import weekly_average
 
 
 def _param(name: str, doc: str, convert=None) -> Param:
@@ -48,22 +47,10 @@ class HealthGrid(Transformer):
         if unit == "hourly":
             return timegrid.hourly_health(events, anchor, fill=how)
         if unit == "weekly":
-            parts = [
-                weekly_average(events.where(F.col("metric") == m).drop("metric"), name, week_anchor=anchor)
-                for m, name in WEEKLY_COLUMNS.items()
-            ]
-            joined = parts[0]
-            for part in parts[1:]:
-                joined = joined.join(part, ["app_user_id", "week_start"])
-            return joined
+            return timegrid.weekly_health(events, anchor)
         raise ValueError(f"unknown unit {unit!r}")
 
 
-WEEKLY_COLUMNS = {
-    "steps": "avg_daily_steps", "calories": "avg_daily_calories", "speed": "avg_daily_speed", "distance": "avg_daily_distance",
-}
-
-
 class ScreentimeGrid(Transformer):
     """App sessions to hourly screentime."""
 
@@ -101,17 +88,19 @@ class WindowLabels(Transformer):
 
     def _transform(self, hourly: DataFrame) -> DataFrame:
         label, positive, _ = TARGETS[self.getOrDefault("target")]
-        rows = prepared_labels(self.labels, label, self.getOrDefault("propagate"), positive)
-        return lookback.multiwindow_slots(
-            hourly, rows, self.getOrDefault("valueCol"), self.getOrDefault("windows"),
+        merged = lookback.multiwindow_slots(
+            hourly, usable_labels(self.labels, label), self.getOrDefault("valueCol"), self.getOrDefault("windows"),
             self.getOrDefault("standardized"), fill=self.getOrDefault("fillMethod") or None, keep=[label],
         )
+        if not self.getOrDefault("propagate"):
+            return merged
+        # Each window is its own training set, so labels spread within it.
+        return surveys.propagate_positive(merged, label, positive, ["app_user_id", "window_hours"])
 
 
-def prepared_labels(labels: DataFrame, label: str, propagate: bool, positive: str) -> DataFrame:
-    """Usable labels of a target: no NULL, no ``N/A``, one per user-day; propagated on request."""
-    rows = surveys.one_per_day(labels.where(F.col(label) != "N/A"), label)
-    return surveys.propagate_positive(rows, label, positive) if propagate else rows
+def usable_labels(labels: DataFrame, label: str) -> DataFrame:
+    """Labels of a target without NULL and ``N/A``, one per user-day."""
+    return surveys.one_per_day(labels.where(F.col(label) != "N/A"), label)
 
 
 class AppCategorizer(Estimator):
@@ -165,7 +154,7 @@ class SubwindowLabels(Transformer):
     def _transform(self, sessions: DataFrame) -> DataFrame:
         label, positive, _ = TARGETS[self.getOrDefault("target")]
         hours, standardized = self.getOrDefault("lookbackHours"), self.getOrDefault("standardized")
-        rows = prepared_labels(self.labels, label, self.getOrDefault("propagate"), positive)
+        rows = usable_labels(self.labels, label)
         timed = sessions.withColumn("total_time_seconds", F.col("total_time_minutes") * 60)
         if "calculated_start_time" not in timed.columns:
             start = add_seconds(F.col("last_time_used"), -F.col("total_time_seconds"))
@@ -173,7 +162,8 @@ class SubwindowLabels(Transformer):
         hourly = timegrid.hourly_screentime(timed)
         slots = lookback.lookback_slots(hourly, rows, "hourly_screentime", hours, standardized, keep=[label])
         pieces = lookback.subwindow_features(sessions, rows, hours, self.getOrDefault("subwindowHours"), standardized)
-        return align.join_features(slots, pieces)
+        merged = align.join_features(slots, pieces)
+        return surveys.propagate_positive(merged, label, positive) if self.getOrDefault("propagate") else merged
 
 
 class FeatureSelector(Estimator):
