@@ -442,11 +442,10 @@ def sweep_grid(b):
     return lookback.sweep_coverage(b.category_sessions, one_per_day_of(b))
 
 
-_HEAT = ", ".join(f"round(avg(most_used_category_time) FILTER (lookback_hours = {i}), 4) AS \"{i}\"" for i in range(1, 31))
+_HEAT = ", ".join(f"round(avg(most_used_category_time) FILTER (lookback_hours = {i}), 6) AS \"{i}\"" for i in range(1, 31))
 
 
 @query("sweep_heatmap", sql(f"SELECT subwindow_hours, {_HEAT} FROM sweep GROUP BY 1", PIECE_VIEWS, SWEEP_PARTS))
 def sweep_heatmap(b):
     rows = lookback.sweep_features(b.category_sessions, one_per_day_of(b))
-    wide = metrics.pivot_metric(rows, "subwindow_hours", "lookback_hours", list(range(1, 31)), "most_used_category_time")
-    return wide.select("subwindow_hours", *[F.round(f"`{i}`", 4).alias(str(i)) for i in range(1, 31)])
+    return metrics.pivot_metric(rows, "subwindow_hours", "lookback_hours", list(range(1, 31)), "most_used_category_time")
