@@ -21,6 +21,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .mlprep import fit_scaler, fold_report, scale, user_folds, with_class_weight
 
 SEED = 42
@@ -73,7 +74,11 @@ def fit_predict(name: str, split: DataFrame, key: str, columns: list[str], scale
         train, test = scale(train, fitted), scale(test, fitted)
     weighted = name != "mlp"
     train = with_class_weight(train) if weighted else train
-    model = make_model(name, len(columns), weighted, **params).fit(assemble(train, columns).persist())
+    rows = assemble(train, columns).select("label", "features", *(["weight"] if weighted else [])).persist()
+    try:
+        model = make_model(name, len(columns), weighted, **params).fit(rows)
+    finally:
+        rows.unpersist()
     return score_frame(model.transform(assemble(test, columns)), key)
 
 
@@ -93,7 +98,7 @@ def louo_predict(name: str, df: DataFrame, key: str, columns: list[str], exact_l
     grouped into ``folds`` (10). Folds whose training rows lack a class are
     skipped. Trains one distributed model per fold.
     """
-    folded = user_folds(df, folds, exact_limit).persist()
+    folded = materialize(user_folds(df, folds, exact_limit), "folds")
     ids = [r.fold for r in folded.select("fold").distinct().orderBy("fold").collect()]
     scored = []
     for fold in ids:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import lookback, metrics, mlprep, models
+from ..session import materialize
 from .align_queries import (
     _OWN_TIME, COMBINED, COMBINED_VIEWS, COUNTS, HOURS, LABEL, LOOKBACK, METRIC_OUT, SIZE, STD_PARTS, STD_SLOTS, SURVEYS, TEMPORAL,
     TEMPORAL_SPLIT, combined_of, hourly_of, metric_parts, slot_columns, slot_sql, standard_slots,
@@ -58,7 +59,7 @@ def hashed_features(b):
 
 def model_frame(b) -> tuple[DataFrame, list[str]]:
     """Numeric features and ``label`` for the classifiers, with its feature names."""
-    rows = matrix_of(b).persist()
+    rows = materialize(matrix_of(b), "features")
     for column in CATEGORIES:
         rows = mlprep.one_hot(rows, column, mlprep.levels_of(rows, column))
     rows = mlprep.encode_binary(rows, LABEL, "at_risk")
@@ -149,7 +150,7 @@ _STD = ", ".join(
 @query("standardize", sql(f"SELECT survey_response_id, {_STD} FROM split", EVENTS + SURVEYS, STD_PARTS | {
     "slots": STD_SLOTS, "s": _SPLIT.format(t="slots"), "split": SPLIT_PARTS["split"], "train": "SELECT * FROM split WHERE NOT is_test"}))
 def standardize(b):
-    rows = split_of(standard_slots(b)).persist()
+    rows = materialize(split_of(standard_slots(b)), "split")
     scaled = mlprep.scale(rows, mlprep.fit_scaler(rows.where(~F.col("is_test")), SLOTS))
     return scaled.select(ID, *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in SLOTS])
 
@@ -268,7 +269,7 @@ def results_table(b):
 
 def _predict(b, name: str, **params) -> DataFrame:
     rows, columns = model_frame(b)
-    split = mlprep.split_stratified(rows, ID, "label").persist()
+    split = materialize(mlprep.split_stratified(rows, ID, "label"), "split")
     return models.fit_predict(name, split, ID, columns, **params)
 
 
@@ -301,16 +302,16 @@ def louo_predictions(b):
 @query("rf_importance")
 def rf_importance(b):
     rows, columns = model_frame(b)
-    weighted = models.assemble(mlprep.with_class_weight(rows), columns)
+    weighted = models.assemble(mlprep.with_class_weight(rows), columns).persist()
     return models.feature_importances(models.make_model("rf", numTrees=50).fit(weighted), columns, b.spark)
 
 
 @query("tuned_lr")
 def tuned_lr(b):
     rows, columns = model_frame(b)
-    folded = mlprep.stratified_folds(rows, ID, "label", preferred=3)
+    folded = materialize(mlprep.stratified_folds(rows, ID, "label", preferred=3), "folds")
     scaled = mlprep.scale(folded, mlprep.fit_scaler(folded, columns))
-    data = models.assemble(mlprep.with_class_weight(scaled), columns).persist()
+    data = materialize(models.assemble(mlprep.with_class_weight(scaled), columns), "tuning").persist()
     found = data.agg(F.max("fold")).first()[0]
     search = models.random_search(
         models.make_model("lr", maxIter=30), {"regParam": [0.001, 0.01, 0.1, 1.0], "elasticNetParam": [0.0, 0.5, 1.0]},
