@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timecols import US_PER_HOUR, add_hours, at_reference_hour, epoch_us, hour_ceil, hour_floor
+from .prefix import DENSE_ROWS, Interval, dense_users, interval_lists
 
 # Window sets in hours.
 CATEGORY_WINDOWS = [1, 3, 6, 12, 24, 48, 72, 168]
@@ -193,30 +194,48 @@ def _app_count() -> Column:
     return F.size(F.array_distinct(F.flatten(F.collect_list("apps"))))
 
 
-def subwindow_rows(sessions: DataFrame, refs: DataFrame, lookback: int, size: int, aligned: bool) -> DataFrame:
+def _by_density(sessions: DataFrame, refs: DataFrame, limit: int) -> list[tuple[DataFrame, DataFrame]]:
+    """(sessions, references) of ordinary users and of dense users."""
+    dense = dense_users(sessions, limit)
+    return [tuple(df.join(dense, "app_user_id", how) for df in (sessions, refs)) for how in ("left_anti", "left_semi")]
+
+
+def subwindow_rows(sessions: DataFrame, refs: DataFrame, lookback: int, size: int, aligned: bool,
+                   dense_rows: int = DENSE_ROWS) -> DataFrame:
     """Long sub-window features, one row per (survey, piece) with usage, plus
     one row with ``piece`` NULL for every survey."""
     pieces = lookback // size
     keys = refs.select("survey_response_id", "app_user_id", "ref_ts")
+    group = ["survey_response_id", "piece"]
     if aligned:
         pairs = aligned_usage(sessions, keys, pieces * size).withColumn("piece", F.floor(F.col("hour_age") / size).cast("int"))
-        pairs = pairs.drop("hour_age")
-    else:
-        pairs = edge_usage(sessions, keys, pieces * size, [size * i for i in range(pieces + 1)])
-        pairs = pairs.withColumn("piece", F.floor(F.col("hours_before") / size).cast("int")).drop("hours_before")
-        pairs = pairs.where(F.col("piece") < pieces)
-    pairs = _with_empty(pairs, keys, F.lit(None).cast("int"), "piece")
-    group = ["survey_response_id", "piece"]
-    return _per_category(pairs, group).groupBy(*group).agg(_top().alias("_top"), _app_count().alias("num_apps"))
+        pairs = _with_empty(pairs.drop("hour_age"), keys, F.lit(None).cast("int"), "piece")
+        return _per_category(pairs, group).groupBy(*group).agg(_top().alias("_top"), _app_count().alias("num_apps"))
+    (few, few_refs), (many, many_refs) = _by_density(sessions, keys, dense_rows)
+    pairs = edge_usage(few, few_refs, pieces * size, [size * i for i in range(pieces + 1)])
+    pairs = pairs.withColumn("piece", F.floor(F.col("hours_before") / size).cast("int")).drop("hours_before")
+    pairs = _with_empty(pairs.where(F.col("piece") < pieces), few_refs, F.lit(None).cast("int"), "piece")
+    paired = _per_category(pairs, group).groupBy(*group).agg(_top().alias("_top"), _app_count().alias("num_apps"))
+    spans = [Interval(i, size * i, size * (i + 1), closed=False) for i in range(pieces)]
+    lists = interval_lists(many, many_refs, ["survey_response_id"], spans)
+    cells = [f"struct({i} AS piece, array_min({_entries(i)}) AS _top, a{i} AS num_apps)" for i in range(pieces)]
+    return paired.unionByName(lists.select("survey_response_id", F.expr(f"inline(array({', '.join(cells)}))")))
+
+
+def _entries(name: int) -> str:
+    """SQL: the used categories of an interval as (negated rounded minutes, name, minutes)."""
+    return f"""transform(
+        filter(_cats, c -> c.n{name} > 0 AND c.app_category IS NOT NULL),
+        c -> struct(-round(c.m{name}, 6) AS neg, c.app_category AS category, c.m{name} AS minutes))"""
 
 
 def subwindow_features(sessions: DataFrame, surveys: DataFrame, lookback: int = 12, size: int = 3,
                        standardized: bool = True, reference_hour: int = REFERENCE_HOUR,
-                       keep: list[str] | None = None) -> DataFrame:
+                       keep: list[str] | None = None, dense_rows: int = DENSE_ROWS) -> DataFrame:
     """Top category, its minutes and distinct apps for each piece of the
     lookback; piece ``i`` covers ``(t-(i+1)s, t-i*s]``. Every survey is kept."""
     refs = reference_times(surveys, standardized, reference_hour)
-    rows = subwindow_rows(sessions, refs, lookback, size, standardized)
+    rows = subwindow_rows(sessions, refs, lookback, size, standardized, dense_rows)
     cols = []
     for i in range(lookback // size):
         cols += [
@@ -237,15 +256,18 @@ def normalized_entropy(shares: Column) -> Column:
     return F.when((F.size(shares) > 1) & (total > 0), -plogp / F.ln(F.size(shares).cast("double"))).otherwise(0.0)
 
 
-def category_windows(sessions: DataFrame, events: DataFrame, windows: list[int] | None = None) -> DataFrame:
+def category_windows(sessions: DataFrame, events: DataFrame, windows: list[int] | None = None,
+                     dense_rows: int = DENSE_ROWS) -> DataFrame:
     """Category profile of ``[t-W, t]`` for each submission event and window.
 
     ``events`` holds ``screentime_id, app_user_id, ref_ts``. Long form: one
     row per (event, window), also when the window is empty.
     """
     windows = sorted(windows or CATEGORY_WINDOWS)
-    refs = events.select("screentime_id", "app_user_id", "ref_ts").distinct()
-    pairs = edge_usage(sessions, refs, windows[-1], windows)
+    keys = ["screentime_id", "app_user_id", "ref_ts"]
+    all_refs = events.select(*keys).distinct()
+    (few, refs), (many, many_refs) = _by_density(sessions, all_refs, dense_rows)
+    pairs = edge_usage(few, refs, windows[-1], windows)
     ring = F.lit(None).cast("int")
     for w in reversed(windows):
         ring = F.when(F.col("hours_before") <= w, w).otherwise(ring)
@@ -253,7 +275,6 @@ def category_windows(sessions: DataFrame, events: DataFrame, windows: list[int]
     # Place each event's pairs together once; both groupings below start with
     # the event and reuse that placement. The lists are bounded by the
     # category and app vocabularies.
-    keys = ["screentime_id", "app_user_id", "ref_ts"]
     cats = pairs.repartition(*keys).groupBy(*keys, "app_category").agg(
         *[F.expr(f"coalesce(sum(CASE WHEN ring <= {w} THEN minutes END), 0.0D) AS m{w}") for w in windows],
         *[F.expr(f"count_if(ring <= {w} AND _real = 1) AS n{w}") for w in windows],
@@ -263,7 +284,11 @@ def category_windows(sessions: DataFrame, events: DataFrame, windows: list[int]
     per_event = cats.groupBy(*keys).agg(
         F.collect_list(F.struct("app_category", *amounts)).alias("_cats"), F.flatten(F.collect_list("apps")).alias("_apps")
     )
-    profile = per_event.select(*keys, F.inline(F.array(*[_window_profile(w) for w in windows])))
+    used_apps = "size(array_distinct(transform(filter(_apps, a -> a.ring <= {w}), a -> a.app_name)))"
+    profile = per_event.select(*keys, F.inline(F.array(*[_window_profile(w, used_apps.format(w=w)) for w in windows])))
+    lists = interval_lists(many, many_refs, keys, [Interval(w, 0, w, closed=True) for w in windows])
+    dense = lists.select(*keys, F.inline(F.array(*[_window_profile(w, f"a{w}") for w in windows])))
+    profile = profile.unionByName(dense)
     top = F.get(F.col("_r"), F.lit(0))
     top_time = F.coalesce(top["minutes"], F.lit(0.0))
     out = {
@@ -282,17 +307,14 @@ def category_windows(sessions: DataFrame, events: DataFrame, windows: list[int]
     return profile.withColumns(out).drop("_r")
 
 
-def _window_profile(w: int) -> Column:
+def _window_profile(w: int, apps: str) -> Column:
     """Totals, distinct apps and the ranked categories of one window from an event's lists."""
     return F.expr(f"""struct(
         {w} AS window_hours,
         aggregate(_cats, 0.0D, (total, c) -> total + c.m{w}) AS total_screentime,
-        size(array_distinct(transform(filter(_apps, a -> a.ring <= {w}), a -> a.app_name))) AS num_apps_used,
+        {apps} AS num_apps_used,
         int(exists(_cats, c -> c.n{w} > 0)) AS data_available,
-        array_sort(transform(
-            filter(_cats, c -> c.n{w} > 0 AND c.app_category IS NOT NULL),
-            c -> struct(-round(c.m{w}, 6) AS neg, c.app_category AS category, c.m{w} AS minutes)
-        )) AS _r)""")
+        array_sort({_entries(w)}) AS _r)""")
 
 
 # -------------------------------------------------------------------- sweep

@@ -58,7 +58,7 @@ def roc_points(df: DataFrame, keys: list[str], truth: str = "y_true", score: str
         F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) != 1).alias("neg")
     )
     chunked = with_quantile_chunk(hits, "threshold", descending=True)
-    running = chunked_cumulative(chunked, keys, F.col("threshold").desc(), {"pos": "tp", "neg": "fp"})
+    running = chunked_cumulative(chunked, keys, [F.col("threshold").desc()], {"pos": "tp", "neg": "fp"})
     totals = hits.groupBy(*keys).agg(F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"))
     out = running.join(totals, keys) if keys else running.withColumns(
         {"positives": totals.select("positives").scalar(), "negatives": totals.select("negatives").scalar()}

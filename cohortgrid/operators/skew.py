@@ -91,7 +91,7 @@ def with_quantile_chunk(df: DataFrame, column: str, descending: bool = False, ch
     return df.withColumn("_edges", edges).withColumn("_chunk", -below if descending else below).drop("_edges")
 
 
-def chunked_cumulative(df: DataFrame, keys: list[str], order: Column, sums: dict[str, str]) -> DataFrame:
+def chunked_cumulative(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, str]) -> DataFrame:
     """Inclusive running sums per ``keys`` over a frame that carries ``_chunk``.
 
     ``sums`` maps a summed column to the output name.
@@ -103,7 +103,7 @@ def chunked_cumulative(df: DataFrame, keys: list[str], order: Column, sums: dict
         *[F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)).alias(f"_before_{c}") for c in sums],
     )
     local = (
-        Window.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     )
     out = df.join(carried, [*keys, "_chunk"])
     for c, alias in sums.items():

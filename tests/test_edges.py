@@ -82,20 +82,22 @@ def sessions(rows, *data):
     return rows(schema, *[(1, a, c, m, t if "-" in t else DAY + t) for a, c, m, t in data])
 
 
-@pytest.mark.parametrize("standardized", [True, False])
-def test_subwindow_edges(rows, standardized):
+@pytest.mark.parametrize("standardized, dense_rows", [(True, 100), (False, 100), (False, 0)])
+def test_subwindow_edges(rows, standardized, dense_rows):
     used = sessions(rows, ("a", "X", 1.0, "09:00"), ("b", "Y", 2.0, "07:00"), ("c", "Z", 4.0, "05:00"))
-    got = lookback.subwindow_features(used, survey(rows, "09:00"), 4, 2, standardized=standardized).first()
+    got = lookback.subwindow_features(used, survey(rows, "09:00"), 4, 2, standardized=standardized, dense_rows=dense_rows).first()
     assert (got.most_used_category_sw0, got.most_used_category_time_sw0, got.num_apps_sw0) == ("X", 1.0, 1)
     assert (got.most_used_category_sw1, got.most_used_category_time_sw1, got.num_apps_sw1) == ("Y", 2.0, 1)
     none = lookback.subwindow_features(used.where("app_user_id = 2"), survey(rows, "09:00"), 4, 2, standardized=standardized).first()
     assert (none.most_used_category_sw0, none.most_used_category_time_sw0, none.num_apps_sw0) == (None, 0.0, 0)
 
 
-def test_category_windows_include_both_edges(rows):
+@pytest.mark.parametrize("dense_rows", [100, 0])
+def test_category_windows_include_both_edges(rows, dense_rows):
     used = sessions(rows, ("a", "X", 1.0, "09:00"), ("b", "Y", 3.0, "08:00"), ("c", None, 5.0, "07:30"), ("d", "Z", 7.0, "09:00:00.000001"))
     refs = rows("screentime_id long, app_user_id long, ref_ts ts", (1, 1, DAY + "09:00"), (2, 2, DAY + "09:00"))
-    got = {(r.screentime_id, r.window_hours): r for r in lookback.category_windows(used, refs, [1, 3]).collect()}
+    got = {(r.screentime_id, r.window_hours): r for r in lookback.category_windows(used, refs, [1, 3], dense_rows).collect()}
+    assert len(got) == 4
     one, three, empty = got[(1, 1)], got[(1, 3)], got[(2, 3)]
     assert (one.total_screentime, one.most_used_category, one.category_rank_2, one.num_apps_used) == (4.0, "Y", "X", 2)
     assert one.category_diversity == pytest.approx(0.811278, abs=1e-6)
@@ -105,7 +107,8 @@ def test_category_windows_include_both_edges(rows):
     assert empty.most_used_category_proportion is None
 
 
-def test_category_windows_match_brute_force(rows, spark):
+@pytest.mark.parametrize("dense_rows", [100, 2, 0])
+def test_category_windows_match_brute_force(spark, dense_rows):
     import random
 
     rng = random.Random(3)
@@ -116,7 +119,7 @@ def test_category_windows_match_brute_force(rows, spark):
     used = spark.createDataFrame(data, schema)
     times = [(i, u, t) for i, (u, _, _, _, t) in enumerate(data[:40])]
     refs = spark.createDataFrame(times, "screentime_id long, app_user_id long, ref_ts timestamp_ntz")
-    got = {(r.screentime_id, r.window_hours): r for r in lookback.category_windows(used, refs, [1, 6, 24]).collect()}
+    got = {(r.screentime_id, r.window_hours): r for r in lookback.category_windows(used, refs, [1, 6, 24], dense_rows).collect()}
     for sid, user, t in times:
         for w in (1, 6, 24):
             inside = [d for d in data if d[0] == user and t - dt.timedelta(hours=w) <= d[4] <= t]
@@ -124,6 +127,15 @@ def test_category_windows_match_brute_force(rows, spark):
             assert r.total_screentime == pytest.approx(sum(d[3] for d in inside))
             assert r.num_apps_used == len({d[1] for d in inside})
             assert r.num_categories_used == len({d[2] for d in inside if d[2]})
+            assert r.data_available == int(bool(inside))
+
+
+def test_subwindows_of_dense_users_equal_those_of_others(bound):
+    plain = lookback.subwindow_features(bound.category_sessions, bound.surveys, 12, 3, standardized=False)
+    dense = lookback.subwindow_features(bound.category_sessions, bound.surveys, 12, 3, standardized=False, dense_rows=0)
+    digits = [F.round(c, 6).alias(c) if "time_sw" in c else F.col(c) for c in plain.columns]
+    assert plain.count() == dense.count() == bound.surveys.count()
+    assert plain.select(digits).exceptAll(dense.select(digits)).count() == 0
 
 
 def test_weekly_mean_counts_missing_days_as_zero(rows):
