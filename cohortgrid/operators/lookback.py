@@ -194,9 +194,15 @@ def _app_count() -> Column:
     return F.size(F.array_distinct(F.flatten(F.collect_list("apps"))))
 
 
-def _by_density(sessions: DataFrame, refs: DataFrame, limit: int) -> list[tuple[DataFrame, DataFrame]]:
-    """(sessions, references) of ordinary users and of dense users."""
-    dense = dense_users(sessions, limit)
+def _by_density(sessions: DataFrame, refs: DataFrame, hours: int, limit: int) -> list[tuple[DataFrame, DataFrame] | None]:
+    """(sessions, references) of ordinary users and of dense users.
+
+    One small aggregate decides whether dense users exist at all; usually the
+    second part is None and the plan has no branch for it.
+    """
+    dense = dense_users(sessions, hours, limit)
+    if dense.isEmpty():
+        return [(sessions, refs), None]
     return [tuple(df.join(dense, "app_user_id", how) for df in (sessions, refs)) for how in ("left_anti", "left_semi")]
 
 
@@ -211,13 +217,15 @@ def subwindow_rows(sessions: DataFrame, refs: DataFrame, lookback: int, size: in
         pairs = aligned_usage(sessions, keys, pieces * size).withColumn("piece", F.floor(F.col("hour_age") / size).cast("int"))
         pairs = _with_empty(pairs.drop("hour_age"), keys, F.lit(None).cast("int"), "piece")
         return _per_category(pairs, group).groupBy(*group).agg(_top().alias("_top"), _app_count().alias("num_apps"))
-    (few, few_refs), (many, many_refs) = _by_density(sessions, keys, dense_rows)
+    (few, few_refs), dense = _by_density(sessions, keys, pieces * size, dense_rows)
     pairs = edge_usage(few, few_refs, pieces * size, [size * i for i in range(pieces + 1)])
     pairs = pairs.withColumn("piece", F.floor(F.col("hours_before") / size).cast("int")).drop("hours_before")
     pairs = _with_empty(pairs.where(F.col("piece") < pieces), few_refs, F.lit(None).cast("int"), "piece")
     paired = _per_category(pairs, group).groupBy(*group).agg(_top().alias("_top"), _app_count().alias("num_apps"))
+    if dense is None:
+        return paired
     spans = [Interval(i, size * i, size * (i + 1), closed=False) for i in range(pieces)]
-    lists = interval_lists(many, many_refs, ["survey_response_id"], spans)
+    lists = interval_lists(*dense, ["survey_response_id"], spans)
     cells = [f"struct({i} AS piece, array_min({_entries(i)}) AS _top, a{i} AS num_apps)" for i in range(pieces)]
     return paired.unionByName(lists.select("survey_response_id", F.expr(f"inline(array({', '.join(cells)}))")))
 
@@ -266,7 +274,7 @@ def category_windows(sessions: DataFrame, events: DataFrame, windows: list[int]
     windows = sorted(windows or CATEGORY_WINDOWS)
     keys = ["screentime_id", "app_user_id", "ref_ts"]
     all_refs = events.select(*keys).distinct()
-    (few, refs), (many, many_refs) = _by_density(sessions, all_refs, dense_rows)
+    (few, refs), dense = _by_density(sessions, all_refs, windows[-1], dense_rows)
     pairs = edge_usage(few, refs, windows[-1], windows)
     ring = F.lit(None).cast("int")
     for w in reversed(windows):
@@ -286,9 +294,9 @@ def category_windows(sessions: DataFrame, events: DataFrame, windows: list[int]
     )
     used_apps = "size(array_distinct(transform(filter(_apps, a -> a.ring <= {w}), a -> a.app_name)))"
     profile = per_event.select(*keys, F.inline(F.array(*[_window_profile(w, used_apps.format(w=w)) for w in windows])))
-    lists = interval_lists(many, many_refs, keys, [Interval(w, 0, w, closed=True) for w in windows])
-    dense = lists.select(*keys, F.inline(F.array(*[_window_profile(w, f"a{w}") for w in windows])))
-    profile = profile.unionByName(dense)
+    if dense is not None:
+        lists = interval_lists(*dense, keys, [Interval(w, 0, w, closed=True) for w in windows])
+        profile = profile.unionByName(lists.select(*keys, F.inline(F.array(*[_window_profile(w, f"a{w}") for w in windows]))))
     top = F.get(F.col("_r"), F.lit(0))
     top_time = F.coalesce(top["minutes"], F.lit(0.0))
     out = {

@@ -1,9 +1,10 @@
 """Interval totals from prefix sums, for users too dense to pair rows with references.
 
-Pairing a reference with the rows of the hours its windows cut costs (rows
-per hour) x (references per hour). Above ``DENSE_ROWS`` rows in some hour a
-user is handled here instead: every total is a difference of running sums
-read at the window ends, so the work is linear in rows and references.
+Pairing every reference with the rows of its window costs (references) x
+(rows per window). Users with more than ``DENSE_ROWS`` rows in a stretch as
+long as the window are handled here instead: every total is a difference of
+running sums read at the window ends, so the work is linear in rows and
+references, however many rows one user holds.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.timecols import US_PER_HOUR, add_hours, epoch_us, hour_floor
 from .skew import chunked_cumulative
 
-DENSE_ROWS = 100
+DENSE_ROWS = 1000
 
 
 @dataclass(frozen=True)
@@ -44,11 +45,15 @@ class Interval:
         return (self.oldest, not self.closed)
 
 
-def dense_users(sessions: DataFrame, limit: int = DENSE_ROWS) -> DataFrame:
-    """Users with more than ``limit`` rows in one clock hour."""
-    hour = hour_floor(F.col("last_time_used")).alias("hour")
-    per_hour = sessions.where(F.col("app_user_id").isNotNull()).groupBy("app_user_id", hour).agg(F.count(F.lit(1)).alias("n"))
-    return per_hour.where(F.col("n") > limit).select("app_user_id").distinct()
+def dense_users(sessions: DataFrame, hours: int, limit: int = DENSE_ROWS) -> DataFrame:
+    """Users with more than ``limit`` rows in one stretch of ``hours`` hours.
+
+    Stretches are aligned, so any window of that length seen by another user
+    holds at most twice the limit.
+    """
+    stretch = F.floor(epoch_us(F.col("last_time_used")) / F.lit(float(hours * US_PER_HOUR))).alias("stretch")
+    counts = sessions.where(F.col("app_user_id").isNotNull()).groupBy("app_user_id", stretch).agg(F.count(F.lit(1)).alias("n"))
+    return counts.where(F.col("n") > limit).select("app_user_id").distinct()
 
 
 def running_at(rows: DataFrame, probes: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:

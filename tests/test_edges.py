@@ -82,7 +82,7 @@ def sessions(rows, *data):
     return rows(schema, *[(1, a, c, m, t if "-" in t else DAY + t) for a, c, m, t in data])
 
 
-@pytest.mark.parametrize("standardized, dense_rows", [(True, 100), (False, 100), (False, 0)])
+@pytest.mark.parametrize("standardized, dense_rows", [(True, 1000), (False, 1000), (False, 0)])
 def test_subwindow_edges(rows, standardized, dense_rows):
     used = sessions(rows, ("a", "X", 1.0, "09:00"), ("b", "Y", 2.0, "07:00"), ("c", "Z", 4.0, "05:00"))
     got = lookback.subwindow_features(used, survey(rows, "09:00"), 4, 2, standardized=standardized, dense_rows=dense_rows).first()
@@ -92,7 +92,7 @@ def test_subwindow_edges(rows, standardized, dense_rows):
     assert (none.most_used_category_sw0, none.most_used_category_time_sw0, none.num_apps_sw0) == (None, 0.0, 0)
 
 
-@pytest.mark.parametrize("dense_rows", [100, 0])
+@pytest.mark.parametrize("dense_rows", [1000, 0])
 def test_category_windows_include_both_edges(rows, dense_rows):
     used = sessions(rows, ("a", "X", 1.0, "09:00"), ("b", "Y", 3.0, "08:00"), ("c", None, 5.0, "07:30"), ("d", "Z", 7.0, "09:00:00.000001"))
     refs = rows("screentime_id long, app_user_id long, ref_ts ts", (1, 1, DAY + "09:00"), (2, 2, DAY + "09:00"))
@@ -107,7 +107,7 @@ def test_category_windows_include_both_edges(rows, dense_rows):
     assert empty.most_used_category_proportion is None
 
 
-@pytest.mark.parametrize("dense_rows", [100, 2, 0])
+@pytest.mark.parametrize("dense_rows", [1000, 2, 0])
 def test_category_windows_match_brute_force(spark, dense_rows):
     import random
 
