@@ -12,7 +12,6 @@ def spark():
     from cohortgrid.session import local_session
 
     session = local_session(memory="8g")
-    session.sparkContext.setCheckpointDir("/tmp/cohortgrid-checkpoints")
     yield session
     session.stop()
 
