@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,8 +26,10 @@ CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def tuned(spark: SparkSession) -> SparkSession:
+    """Set what the operators rely on, and let Python workers find this package where it is not installed."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     return spark
 
 
