@@ -1,6 +1,6 @@
 """Registers one query for each operator."""
 
-from . import mixing, packing, quality, sharding, simhash, substring  # noqa: F401
+from . import lines, mixing, packing, quality, sharding, simhash, substring  # noqa: F401
 from .common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
