@@ -1,6 +1,6 @@
 """Registers one query for each operator."""
 
-from . import lines, mixing, packing, quality, resample, sharding, simhash, substring, topk  # noqa: F401
+from . import lines, mixing, packing, quality, resample, sharding, simhash, substring, template, topk  # noqa: F401
 from .common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
