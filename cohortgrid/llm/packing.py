@@ -30,7 +30,7 @@ from .common import query, stored, table
 CAPACITY = 4096
 END_ID = 1
 GROUP = 20_000
-WORDS = 300_000
+WORDS = 500_000
 SPLIT = b" \t\n\x0b\x0c\r"
 
 
@@ -49,7 +49,8 @@ class Words:
         self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
     def learn(self, new: list[bytes]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)]
+        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)  # without offsets
+        found = [e.ids for e in encode([w.decode() for w in new], add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
         first = len(self.known)
@@ -63,17 +64,18 @@ class Words:
         self.n_ids += len(flat)
         self.known.update(zip(new, range(first, first + len(new))))
 
-    def encode(self, text: str) -> np.ndarray:
-        parts = text.encode().split()
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        split = [text.encode().split() for text in texts]
         if len(self.known) > self.words:
             self.clear()
-        if new := set(parts) - self.known.keys():
+        if new := {w for parts in split for w in parts if w not in self.known}:
             self.learn(sorted(new))
-        at = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
-        sizes = self.size[at]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.ids[np.repeat(self.start[at] - ends + sizes, sizes) + np.arange(total)]
+        for parts in split:
+            at = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
+            sizes = self.size[at]
+            ends = np.cumsum(sizes)
+            total = int(ends[-1]) if len(ends) else 0
+            yield self.ids[np.repeat(self.start[at] - ends + sizes, sizes) + np.arange(total)]
 
 
 _WORDS: dict[str, Words] = {}
@@ -89,8 +91,9 @@ def pieces(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id
         words = _WORDS.get(path) or _WORDS.setdefault(path, Words(path))
         for batch in batches:
             out = []
-            for key, whole in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.append(words.encode(whole or ""), np.uint32(end_id)).astype("<u4")
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for key, found in zip(batch.column(0).to_pylist(), words.encode(texts)):
+                ids = np.append(found, np.uint32(end_id)).astype("<u4")
                 for k, start in enumerate(range(0, len(ids), capacity)):
                     part = ids[start: start + capacity]
                     out.append((key, k, start, len(part), zlib.crc32(part.tobytes())))
