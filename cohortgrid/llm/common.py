@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -93,6 +93,7 @@ def unit(*of: Column | str) -> Column:
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
+CHUNK = 1 << 17
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -119,28 +120,55 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _pieces(texts: list[bytes]) -> Iterator[tuple[list[bytes], list[int]]]:
+    """Texts with their numbers in lists of about ``CHUNK`` bytes; longer texts are cut at blanks."""
+    held, numbers, size = [], [], 0
+    for k, text in enumerate(texts):
+        while text:
+            cut = len(text)
+            if cut > 2 * CHUNK:
+                cut = max(text.rfind(bytes([b]), CHUNK, 2 * CHUNK) for b in BLANKS.encode())
+                cut = cut if cut > 0 else len(text)
+            held.append(text[:cut])
+            numbers.append(k)
+            size += cut
+            text = text[cut:]
+            if size >= CHUNK:
+                yield held, numbers
+                held, numbers, size = [], [], 0
+    if held:
+        yield held, numbers
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of several texts, one after another, and each word's text number."""
-    sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
-    a = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    inside = np.concatenate(([False], ~_BLANK[a]))
-    turns = np.flatnonzero(inside[1:] != inside[:-1])
-    starts, ends = turns[0::2], turns[1::2]
-    up, down = _powers(_P, len(a))
-    sums = np.empty(len(a) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum((a.astype(np.uint64) + np.uint64(1)) * up[: len(a)], out=sums[1:])
-    hashes = mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    return hashes, np.searchsorted(np.cumsum(sizes), starts, side="right")
+    """64-bit hashes of the words of several texts, one after another, and each word's text number.
+
+    Texts are taken in chunks, so that working memory does not follow their length."""
+    found, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for held, numbers in _pieces(texts):
+        sizes = np.fromiter((len(t) + 1 for t in held), np.int64, len(held))
+        a = np.frombuffer(b"\n".join(held) + b"\n", np.uint8)
+        inside = np.concatenate(([False], ~_BLANK[a]))
+        turns = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, ends = turns[0::2], turns[1::2]
+        up, down = _powers(_P, len(a))
+        sums = np.empty(len(a) + 1, np.uint64)
+        sums[0] = 0
+        np.cumsum((a.astype(np.uint64) + np.uint64(1)) * up[: len(a)], out=sums[1:])
+        found.append(mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)))
+        owners.append(np.array(numbers)[np.searchsorted(np.cumsum(sizes), starts, side="right")])
+    return np.concatenate(found), np.concatenate(owners)
 
 
 def window_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     """64-bit hash of each run of ``n`` consecutive words."""
-    if len(hashes) < n:
-        return np.empty(0, np.uint64)
-    up, down = _powers(_Q, len(hashes))
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * up[: len(hashes)], dtype=np.uint64)))
-    return mixed((sums[n:] - sums[:-n]) * down[: len(hashes) - n + 1])
+    out = [np.empty(0, np.uint64)]
+    for at in range(0, len(hashes) - n + 1, CHUNK):
+        part = hashes[at: at + CHUNK + n - 1]
+        up, down = _powers(_Q, len(part))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(part * up[: len(part)], dtype=np.uint64)))
+        out.append(mixed((sums[n:] - sums[:-n]) * down[: len(part) - n + 1]))
+    return np.concatenate(out)
 
 
 # ---------------------------------------------------------------- components

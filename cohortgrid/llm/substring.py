@@ -9,8 +9,9 @@ Rows that are shuffled hold packed numpy columns, not single windows. Documents
 sends each distinct hash once, to the bucket that the hash falls in, with the smallest id among the block's
 documents that have it; further windows of the block with that hash stay in the block's own row. So a bucket
 gets a passage once per block, however many documents hold it. The bucket answers the block, and the block
-settles its own windows. Hashes have 64 bits: a window is wrongly matched with a chance of (windows in the
-corpus) / 2**64.
+settles its own windows. Level 0 goes over the texts in ``ROUNDS`` rounds, each for the windows whose hashes
+have one remainder, so that only a part of all windows is on disk at a time. Hashes have 64 bits: a window is
+wrongly matched with a chance of (windows in the corpus) / 2**64.
 
 Edge cases: null or empty texts and texts below a window keep all; rows with a null id keep all and match
 nothing; equal rows and rows that share an id don't repeat each other; the memory that one block needs follows
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +34,15 @@ from pyspark.sql import functions as F
 from .common import dropped, mixed, query, stored, table, window_hashes, word_hashes
 
 WINDOW = 13
-BLOCK_WORDS = 1_000_000
-BUCKET = 1_500_000
+BLOCK_WORDS = 500_000
+BUCKET = 500_000
+ROUNDS = 3
 RESULTS = ("n_words", "n_removed", "kept_text", "longest_repeat")
 
 MESSAGE = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("h", pa.binary()), ("at", pa.binary()),
                      ("more", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary()), ("keys", pa.binary())])
-ANSWER = pa.schema([("block", pa.int64()), ("h", pa.binary()), ("at", pa.binary()), ("ids", pa.binary()),
-                    ("sizes", pa.binary()), ("keys", pa.binary())])
+ANSWER = pa.schema([("block", pa.int64()), ("h", pa.binary()), ("at", pa.binary()), ("more", pa.binary()),
+                    ("ids", pa.binary()), ("sizes", pa.binary()), ("keys", pa.binary())])
 STATE = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_words", pa.int64()), ("n", pa.int64()),
                    ("hit", pa.bool_()), ("spans", pa.binary()), ("at", pa.binary()), ("h", pa.binary())])
 SQL = {s: ", ".join(f"{f.name} {dict(int64='long', binary='binary', bool='boolean')[str(f.type)]}" for f in s)
@@ -47,7 +50,7 @@ SQL = {s: ", ".join(f"{f.name} {dict(int64='long', binary='binary', bool='boolea
 
 
 def _planes(x: np.ndarray) -> bytes:
-    """Bytes of equal weight together: the upper bytes of sorted numbers then compress well."""
+    """Bytes of equal weight together: the upper bytes of small or sorted numbers then compress well."""
     return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
 
 
@@ -86,26 +89,32 @@ class Block:
         yield (buckets + block, block, h[~first].tobytes(), at[~first].astype("<u4").tobytes(), b"",
                ids.astype("<i8").tobytes(), sizes.astype("<u4").tobytes(), keys.astype("<i8").tobytes())
         h, at, doc = h[starts], at[starts], doc[starts]
-        bucket = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-        cuts = np.flatnonzero(np.diff(bucket.astype(np.int64), prepend=-1))
-        for a, b in zip(cuts, np.append(cuts[1:], len(h))):
+        bucket = (((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+        order = np.lexsort((at, bucket))
+        h, at, doc, more, bucket = h[order], at[order], doc[order], more[order], bucket[order]
+        cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+        for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(h)).tolist()):
             used, which = np.unique(doc[a:b], return_inverse=True)
             width = "<u2" if len(used) < 1 << 16 else "<u4"
-            yield (int(bucket[a]), block, _planes(h[a:b]), _planes(at[a:b].astype("<u4")), np.packbits(more[a:b]).tobytes(),
-                   _planes(used.astype("<i8")), _planes(which.astype(width)), b"")
+            yield (int(bucket[a]), block, _planes(h[a:b]), _planes(np.diff(at[a:b], prepend=0).astype("<u4")),
+                   np.packbits(more[a:b]).tobytes(), _planes(used.astype("<i8")), _planes(which.astype(width)), b"")
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
-def _send(read: Callable, buckets: int):
-    """Blocks of what ``read`` makes of each batch, as messages."""
+def _send(read: Callable, buckets: int, part: int = 0, parts: int = 1):
+    """Blocks of what ``read`` makes of each batch, as messages: those with hashes of one remainder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, number = Block(), TaskContext.get().partitionId() << 32
         for batch in batches:
-            block.add(*read(batch))
+            ids, keys, sizes, h, at = read(batch)
+            if parts > 1:
+                own = np.flatnonzero(h % np.uint64(parts) == np.uint64(part))
+                h, at = h[own], at[own]
+            block.add(ids, keys, sizes, h, at)
             if block.words >= BLOCK_WORDS:
                 yield _batch(list(block.messages(number, buckets)), MESSAGE)
                 block, number = Block(), number + 1
@@ -133,8 +142,10 @@ def _from_state(length: int):
     def read(batch: pa.RecordBatch):
         ids, keys, sizes = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("doc_id", "key", "n_words"))
         hs, ats, start = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
-        for at, h, size in zip(batch.column("at").to_pylist(), batch.column("h").to_pylist(), sizes.tolist()):
-            at, h = np.frombuffer(at, "<u4").astype(np.int64), np.frombuffer(h, "<u8")
+        for parts, size in zip(batch.column("parts").to_pylist(), sizes.tolist()):
+            at = np.concatenate([np.frombuffer(p["at"], "<u4") for p in parts]).astype(np.int64)
+            at, first = np.unique(at, return_index=True)
+            h = np.concatenate([np.frombuffer(p["h"], "<u8") for p in parts])[first]
             there = np.searchsorted(at, at + length)
             ok = np.flatnonzero((there < len(at)) & (at[np.minimum(there, len(at) - 1)] == at + length))
             hs.append(mixed(h[ok] * np.uint64(0xD6E8FEB86659FD93) + mixed(h[there[ok]])))
@@ -169,9 +180,9 @@ def _bucket(buckets: int):
         for r, n in zip(rows, sizes):
             keep = np.flatnonzero(alive[a: a + n]) + a
             if len(keep):
-                at = _numbers(r["at"], "<u4")[keep - a].astype(np.uint64)
-                at = at << np.uint64(1) | (doc[keep] > least[keep]).astype(np.uint64)  # the low bit: remove it
-                out.append((r["block"], _planes(h[keep]), _planes(at.astype("<u8")), b"", b"", b""))
+                at = np.cumsum(_numbers(r["at"], "<u4"), dtype=np.int64)[keep - a]
+                cut = np.packbits(doc[keep] > least[keep]).tobytes()  # another document is smaller: remove it
+                out.append((r["block"], _planes(h[keep]), _planes(np.diff(at, prepend=0).astype("<u4")), cut, b"", b"", b""))
             a += n
         return pa.Table.from_batches([_batch(out, ANSWER)])
 
@@ -189,10 +200,11 @@ def _settle(length: int, spans: bool):
             return pa.Table.from_batches([], STATE)
         ids, sizes, keys = (np.frombuffer(own[0][c], k) for c, k in (("ids", "<i8"), ("sizes", "<u4"), ("keys", "<i8")))
         h = np.concatenate([_numbers(r["h"], "<u8") for r in answers])
-        at = np.concatenate([_numbers(r["at"], "<u8") for r in answers])
+        at = [np.cumsum(_numbers(r["at"], "<u4"), dtype=np.int64) for r in answers]
+        cut = np.concatenate([np.unpackbits(np.frombuffer(r["more"], np.uint8), count=len(x)) for r, x in zip(answers, at)]).astype(bool)
+        at = np.concatenate(at)
         ends = np.cumsum(sizes.astype(np.int64))
         doc_of = lambda at: np.searchsorted(ends, at, side="right")
-        at, cut = (at >> np.uint64(1)).astype(np.int64), (at & np.uint64(1)).astype(bool)
         # The block's further windows of a hash: in the first one's document they share its fate, elsewhere
         # the first one's document is the smaller.
         eh, eat = np.frombuffer(own[0]["h"], "<u8"), np.frombuffer(own[0]["at"], "<u4").astype(np.int64)
@@ -225,11 +237,11 @@ def _settle(length: int, spans: bool):
     return of
 
 
-def _level(rows: DataFrame, read: Callable, n: int, length: int, spans: bool) -> DataFrame:
-    """One level as a written table; ``n``: about how many windows it has."""
+def _level(rows: DataFrame, read: Callable, n: int, length: int, spans: bool, part: int = 0, parts: int = 1) -> DataFrame:
+    """One level, or one round of it, as a written table; ``n``: about how many windows it has."""
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(1, -(-n // BUCKET), min(partitions, n // 50_000))
-    sent = rows.mapInArrow(_send(read, buckets), SQL[MESSAGE])
+    sent = rows.mapInArrow(_send(read, buckets, part, parts), SQL[MESSAGE])
     answered = sent.groupBy("bucket").applyInArrow(_bucket(buckets), SQL[ANSWER])
     return stored(answered.groupBy("block").applyInArrow(_settle(length, spans), SQL[STATE]), f"repeats-{length}")
 
@@ -238,19 +250,21 @@ def repeats(rows: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame
     """For ``(doc_id, key, text)``: spans of words to remove, ``(doc_id, key, spans)``, and ``(doc_id, key,
     longest)``, the length of the longest level at which a window also starts in a smaller document."""
     chars = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    state = first = _level(rows, _from_texts(window), chars // 6, window, True)
-    longest, length = [], window
+    states = [_level(rows, _from_texts(window), chars // 6 // ROUNDS, window, True, k, ROUNDS) for k in range(ROUNDS)]
+    state = reduce(DataFrame.unionByName, states)
+    spans = stored(state.where("hit").groupBy("doc_id", "key").agg(F.collect_list("spans").alias("spans")), "spans")
+    found, length = [spans.select("doc_id", "key", F.lit(window).alias("longest"))], window
     while n := state.agg(F.sum("n")).first()[0]:
-        longest.append(stored(state.where("hit").select("doc_id", "key", F.lit(length).alias("longest")), "longest"))
-        last, length = state, 2 * length
-        state = _level(last, _from_state(length // 2), n, length, False)
-        if last is not first:
-            dropped(last)
-    found = first.where("hit").select("doc_id", "key", F.lit(window).alias("longest"))
-    for one in longest[1:]:
-        found = found.unionByName(one)
-    return first.where("hit").groupBy("doc_id", "key").agg(F.first("spans").alias("spans")), found.groupBy(
-        "doc_id", "key").agg(F.max("longest").alias("longest"))
+        # The rounds' windows of a document together again.
+        whole = state.groupBy("doc_id", "key", "n_words").agg(F.collect_list(F.struct("at", "h")).alias("parts"))
+        length *= 2
+        state = _level(whole, _from_state(length // 2), n, length, False)
+        for old in states:
+            dropped(old)
+        states = [state]
+        found.append(stored(state.where("hit").select("doc_id", "key", F.lit(length).alias("longest")), "longest"))
+    longest = reduce(DataFrame.unionByName, found).groupBy("doc_id", "key").agg(F.max("longest").alias("longest"))
+    return spans, longest
 
 
 def substring_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW) -> DataFrame:
@@ -271,8 +285,10 @@ def substring_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             for t, spans in zip(batch.column("_text").to_pylist(), batch.column("_spans").to_pylist()):
                 words = (t or "").encode().split()
                 n.append(len(words))
-                for a, b in np.frombuffer(spans or b"", "<i4").reshape(-1, 2)[::-1].tolist():
-                    del words[a:b]
+                if spans:
+                    edges = np.frombuffer(b"".join(spans), "<i4").reshape(-1, 2)
+                    depth = np.bincount(edges[:, 0], minlength=n[-1] + 1) - np.bincount(edges[:, 1], minlength=n[-1] + 1)
+                    words = [w for w, d in zip(words, np.cumsum(depth).tolist()) if not d]
                 gone.append(n[-1] - len(words))
                 kept.append(b" ".join(words).decode())
             yield pa.RecordBatch.from_arrays(
