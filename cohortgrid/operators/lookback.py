@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timecols import US_PER_HOUR, add_hours, at_reference_hour, epoch_us, hour_ceil, hour_floor
-from .prefix import DENSE_ROWS, Interval, dense_users, interval_lists
+from .prefix import EXACT, Interval, interval_lists
 
 # Window sets in hours.
 CATEGORY_WINDOWS = [1, 3, 6, 12, 24, 48, 72, 168]
@@ -109,12 +109,17 @@ def sequences(wide: DataFrame, hours: int, name: str = "sequence") -> DataFrame:
 # -------------------------------------------------------- category sessions
 
 
+def exact_minutes() -> Column:
+    """Minutes as decimals, so that sums do not depend on their order and equal totals are equal."""
+    return F.col("total_time_minutes").cast(EXACT)
+
+
 def usage_cells(sessions: DataFrame, bucket: Column) -> DataFrame:
     """Minutes per (user, bucket, category, app)."""
     return (
         sessions.where(F.col("app_user_id").isNotNull() & F.col("last_time_used").isNotNull())
         .groupBy("app_user_id", bucket.alias("bucket"), "app_category", "app_name")
-        .agg(F.coalesce(F.sum("total_time_minutes"), F.lit(0.0)).alias("minutes"))
+        .agg(F.coalesce(F.sum(exact_minutes()), F.lit(0)).cast(EXACT).alias("minutes"))
     )
 
 
@@ -151,7 +156,7 @@ def edge_usage(sessions: DataFrame, refs: DataFrame, hours: int, edges: list[int
     # Hours cut by an edge: raw rows, met by hour.
     raw = sessions.where(F.col("app_user_id").isNotNull()).select(
         "app_user_id", hour_floor(F.col("last_time_used")).alias("_hour"), "last_time_used",
-        "app_category", "app_name", F.col("total_time_minutes").alias("minutes"),
+        "app_category", "app_name", exact_minutes().alias("minutes"),
     )
     cut = refs.withColumn("_age", F.explode(cut_ages)).withColumn("_hour", add_hours(ref_hour, -F.col("_age")))
     cut = cut.join(raw, ["app_user_id", "_hour"]).withColumn(
@@ -168,7 +173,7 @@ def _with_empty(pairs: DataFrame, refs: DataFrame, piece: Column, name: str) ->
             name: piece,
             "app_category": F.lit(None).cast("string"),
             "app_name": F.lit(None).cast("string"),
-            "minutes": F.lit(None).cast("double"),
+            "minutes": F.lit(None).cast(EXACT),
             "_real": F.lit(0),
         }
     )
@@ -178,7 +183,7 @@ def _with_empty(pairs: DataFrame, refs: DataFrame, piece: Column, name: str) ->
 def _per_category(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Minutes and app set per (keys, category); sets are bounded by the app vocabulary."""
     return pairs.groupBy(*keys, "app_category").agg(
-        F.coalesce(F.sum("minutes"), F.lit(0.0)).alias("minutes"),
+        F.coalesce(F.sum("minutes").cast("double"), F.lit(0.0)).alias("minutes"),
         F.collect_set("app_name").alias("apps"),
         F.max("_real").alias("_real"),
     )
@@ -194,22 +199,16 @@ def _app_count() -> Column:
     return F.size(F.array_distinct(F.flatten(F.collect_list("apps"))))
 
 
-def _by_density(sessions: DataFrame, refs: DataFrame, hours: int, limit: int) -> list[tuple[DataFrame, DataFrame] | None]:
-    """(sessions, references) of ordinary users and of dense users.
+def subwindow_rows(sessions: DataFrame, refs: DataFrame, lookback: int, size: int, aligned: bool,
+                   method: str = "pairs") -> DataFrame:
+    """Long sub-window features, one row per (survey, piece) with usage, plus one row with
+    ``piece`` NULL for every survey in the ``pairs`` method.
 
-    One small aggregate decides whether dense users exist at all; usually the
-    second part is None and the plan has no branch for it.
+    ``method`` is the caller's choice and never follows from the data: ``pairs`` joins references
+    with the usage of their window, ``prefix`` reads running sums, linear in rows and references
+    however dense a user is. Both sum decimals and give the same values.
     """
-    dense = dense_users(sessions, hours, limit)
-    if dense.isEmpty():
-        return [(sessions, refs), None]
-    return [tuple(df.join(dense, "app_user_id", how) for df in (sessions, refs)) for how in ("left_anti", "left_semi")]
-
-
-def subwindow_rows(sessions: DataFrame, refs: DataFrame, lookback: int, size: int, aligned: bool,
-                   dense_rows: int = DENSE_ROWS) -> DataFrame:
-    """Long sub-window features, one row per (survey, piece) with usage, plus
-    one row with ``piece`` NULL for every survey."""
+    _check_method(method)
     pieces = lookback // size
     keys = refs.select("survey_response_id", "app_user_id", "ref_ts")
     group = ["survey_response_id", "piece"]
@@ -217,33 +216,37 @@ def subwindow_rows(sessions: DataFrame, refs: DataFrame, lookback: int, size: in
         pairs = aligned_usage(sessions, keys, pieces * size).withColumn("piece", F.floor(F.col("hour_age") / size).cast("int"))
         pairs = _with_empty(pairs.drop("hour_age"), keys, F.lit(None).cast("int"), "piece")
         return _per_category(pairs, group).groupBy(*group).agg(_top().alias("_top"), _app_count().alias("num_apps"))
-    (few, few_refs), dense = _by_density(sessions, keys, pieces * size, dense_rows)
-    pairs = edge_usage(few, few_refs, pieces * size, [size * i for i in range(pieces + 1)])
+    if method == "prefix":
+        spans = [Interval(i, size * i, size * (i + 1), closed=False) for i in range(pieces)]
+        lists = interval_lists(sessions, keys, ["survey_response_id"], spans)
+        cells = [f"struct({i} AS piece, array_min({_entries(i)}) AS _top, a{i} AS num_apps)" for i in range(pieces)]
+        filled = lists.select("survey_response_id", F.expr(f"inline(array({', '.join(cells)}))"))
+        return keys.select("survey_response_id").join(filled, "survey_response_id", "left")
+    pairs = edge_usage(sessions, keys, pieces * size, [size * i for i in range(pieces + 1)])
     pairs = pairs.withColumn("piece", F.floor(F.col("hours_before") / size).cast("int")).drop("hours_before")
-    pairs = _with_empty(pairs.where(F.col("piece") < pieces), few_refs, F.lit(None).cast("int"), "piece")
-    paired = _per_category(pairs, group).groupBy(*group).agg(_top().alias("_top"), _app_count().alias("num_apps"))
-    if dense is None:
-        return paired
-    spans = [Interval(i, size * i, size * (i + 1), closed=False) for i in range(pieces)]
-    lists = interval_lists(*dense, ["survey_response_id"], spans)
-    cells = [f"struct({i} AS piece, array_min({_entries(i)}) AS _top, a{i} AS num_apps)" for i in range(pieces)]
-    return paired.unionByName(lists.select("survey_response_id", F.expr(f"inline(array({', '.join(cells)}))")))
+    pairs = _with_empty(pairs.where(F.col("piece") < pieces), keys, F.lit(None).cast("int"), "piece")
+    return _per_category(pairs, group).groupBy(*group).agg(_top().alias("_top"), _app_count().alias("num_apps"))
+
+
+def _check_method(method: str) -> None:
+    if method not in ("pairs", "prefix"):
+        raise ValueError(f"unknown method {method!r}; use pairs or prefix")
 
 
 def _entries(name: int) -> str:
     """SQL: the used categories of an interval as (negated rounded minutes, name, minutes)."""
     return f"""transform(
         filter(_cats, c -> c.n{name} > 0 AND c.app_category IS NOT NULL),
-        c -> struct(-round(c.m{name}, 6) AS neg, c.app_category AS category, c.m{name} AS minutes))"""
+        c -> struct(-round(c.m{name}, 6) AS neg, c.app_category AS category, cast(c.m{name} AS DOUBLE) AS minutes))"""
 
 
 def subwindow_features(sessions: DataFrame, surveys: DataFrame, lookback: int = 12, size: int = 3,
                        standardized: bool = True, reference_hour: int = REFERENCE_HOUR,
-                       keep: list[str] | None = None, dense_rows: int = DENSE_ROWS) -> DataFrame:
+                       keep: list[str] | None = None, method: str = "pairs") -> DataFrame:
     """Top category, its minutes and distinct apps for each piece of the
     lookback; piece ``i`` covers ``(t-(i+1)s, t-i*s]``. Every survey is kept."""
     refs = reference_times(surveys, standardized, reference_hour)
-    rows = subwindow_rows(sessions, refs, lookback, size, standardized, dense_rows)
+    rows = subwindow_rows(sessions, refs, lookback, size, standardized, method)
     cols = []
     for i in range(lookback // size):
         cols += [
@@ -261,21 +264,20 @@ def normalized_entropy(shares: Column) -> Column:
     plogp = F.aggregate(
         shares, F.lit(0.0), lambda acc, x: acc + F.when(x > 0, (x / total) * F.ln(x / total)).otherwise(0.0)
     )
-    return F.when((F.size(shares) > 1) & (total > 0), -plogp / F.ln(F.size(shares).cast("double"))).otherwise(0.0)
+    return F.when((F.size(shares) > 1) & (total > 0), -plogp / F.ln(F.size(shares).cast("double")) + 0.0).otherwise(0.0)
 
 
-def category_windows(sessions: DataFrame, events: DataFrame, windows: list[int] | None = None,
-                     dense_rows: int = DENSE_ROWS) -> DataFrame:
-    """Category profile of ``[t-W, t]`` for each submission event and window.
+def _prefix_profile(sessions: DataFrame, refs: DataFrame, windows: list[int]) -> DataFrame:
+    keys = refs.columns
+    lists = interval_lists(sessions, refs, keys, [Interval(w, 0, w, closed=True) for w in windows])
+    empty = F.expr("cast(array() AS " + lists.schema["_cats"].dataType.simpleString() + ")")
+    lists = refs.join(lists, keys, "left").withColumn("_cats", F.coalesce("_cats", empty)).na.fill(0, [f"a{w}" for w in windows])
+    return lists.select(*keys, F.inline(F.array(*[_window_profile(w, f"a{w}") for w in windows])))
 
-    ``events`` holds ``screentime_id, app_user_id, ref_ts``. Long form: one
-    row per (event, window), also when the window is empty.
-    """
-    windows = sorted(windows or CATEGORY_WINDOWS)
-    keys = ["screentime_id", "app_user_id", "ref_ts"]
-    all_refs = events.select(*keys).distinct()
-    (few, refs), dense = _by_density(sessions, all_refs, windows[-1], dense_rows)
-    pairs = edge_usage(few, refs, windows[-1], windows)
+
+def _pair_profile(sessions: DataFrame, refs: DataFrame, windows: list[int]) -> DataFrame:
+    keys = refs.columns
+    pairs = edge_usage(sessions, refs, windows[-1], windows)
     ring = F.lit(None).cast("int")
     for w in reversed(windows):
         ring = F.when(F.col("hours_before") <= w, w).otherwise(ring)
@@ -284,7 +286,7 @@ def category_windows(sessions: DataFrame, events: DataFrame, windows: list[int]
     # the event and reuse that placement. The lists are bounded by the
     # category and app vocabularies.
     cats = pairs.repartition(*keys).groupBy(*keys, "app_category").agg(
-        *[F.expr(f"coalesce(sum(CASE WHEN ring <= {w} THEN minutes END), 0.0D) AS m{w}") for w in windows],
+        *[F.expr(f"cast(coalesce(sum(CASE WHEN ring <= {w} THEN minutes END), 0) AS {EXACT}) AS m{w}") for w in windows],
         *[F.expr(f"count_if(ring <= {w} AND _real = 1) AS n{w}") for w in windows],
         F.collect_set(F.when(F.col("app_name").isNotNull(), F.struct("app_name", "ring"))).alias("apps"),
     )
@@ -293,10 +295,22 @@ def category_windows(sessions: DataFrame, events: DataFrame, windows: list[int]
         F.collect_list(F.struct("app_category", *amounts)).alias("_cats"), F.flatten(F.collect_list("apps")).alias("_apps")
     )
     used_apps = "size(array_distinct(transform(filter(_apps, a -> a.ring <= {w}), a -> a.app_name)))"
-    profile = per_event.select(*keys, F.inline(F.array(*[_window_profile(w, used_apps.format(w=w)) for w in windows])))
-    if dense is not None:
-        lists = interval_lists(*dense, keys, [Interval(w, 0, w, closed=True) for w in windows])
-        profile = profile.unionByName(lists.select(*keys, F.inline(F.array(*[_window_profile(w, f"a{w}") for w in windows]))))
+    return per_event.select(*keys, F.inline(F.array(*[_window_profile(w, used_apps.format(w=w)) for w in windows])))
+
+
+def category_windows(sessions: DataFrame, events: DataFrame, windows: list[int] | None = None,
+                     method: str = "pairs") -> DataFrame:
+    """Category profile of ``[t-W, t]`` for each submission event and window.
+    ``method`` as in ``subwindow_rows``.
+
+    ``events`` holds ``screentime_id, app_user_id, ref_ts``. Long form: one
+    row per (event, window), also when the window is empty.
+    """
+    windows = sorted(windows or CATEGORY_WINDOWS)
+    keys = ["screentime_id", "app_user_id", "ref_ts"]
+    _check_method(method)
+    refs = events.select(*keys).distinct()
+    profile = _prefix_profile(sessions, refs, windows) if method == "prefix" else _pair_profile(sessions, refs, windows)
     top = F.get(F.col("_r"), F.lit(0))
     top_time = F.coalesce(top["minutes"], F.lit(0.0))
     out = {
@@ -319,7 +333,7 @@ def _window_profile(w: int, apps: str) -> Column:
     """Totals, distinct apps and the ranked categories of one window from an event's lists."""
     return F.expr(f"""struct(
         {w} AS window_hours,
-        aggregate(_cats, 0.0D, (total, c) -> total + c.m{w}) AS total_screentime,
+        cast(aggregate(_cats, cast(0 AS {EXACT}), (total, c) -> cast(total + c.m{w} AS {EXACT})) AS DOUBLE) AS total_screentime,
         {apps} AS num_apps_used,
         int(exists(_cats, c -> c.n{w} > 0)) AS data_available,
         array_sort({_entries(w)}) AS _r)""")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import feature_columns, split_by_type
 from ..functions.rules import TARGETS
-from .skew import HOT_MIN_ROWS, HOT_SHARE, chunked_row_number, hot_row_number
+from .skew import HOT_MIN_ROWS, chunked_row_number, hot_row_number
 
 HASH_BUCKETS = 128
 
@@ -140,11 +140,10 @@ def split_stratified(df: DataFrame, key: str, label: str, test_size: float = 0.3
 
 
 def split_by_user(df: DataFrame, key: str, label: str, test_size: float = 0.3, seed: int = 42,
-                  share: float = HOT_SHARE, min_rows: int = HOT_MIN_ROWS) -> DataFrame:
+                  min_rows: int = HOT_MIN_ROWS) -> DataFrame:
     """Every user on both sides; stratified inside a user when each of the user's classes has two rows.
 
-    A user with one row trains. Only users holding a large share of all rows
-    are split into hash ranges.
+    A user with one row trains. Users with more than ``min_rows`` rows are split into hash ranges.
     """
     per_class = df.groupBy("app_user_id", label).agg(F.count(F.lit(1)).alias("_n"))
     users = per_class.groupBy("app_user_id").agg(
@@ -154,28 +153,28 @@ def split_by_user(df: DataFrame, key: str, label: str, test_size: float = 0.3, s
     rows = df.join(users, "app_user_id").withColumn("_stratum", F.when(stratify, F.col(label).cast("string")).otherwise(""))
     rows = rows.withColumn("_h", shuffle_key(key, seed))
     placed = hot_row_number(rows, ["app_user_id", "_stratum"], F.substring("_h", 1, 3), [F.col("_h"), F.col(key)],
-                            "_rn", "_n", share, min_rows)
+                            "_rn", "_n", min_rows)
     test = (F.col("_user_n") > 1) & (F.col("_rn") <= F.ceil(F.lit(test_size) * F.col("_n")))
     return placed.withColumn("is_test", test).drop("_user_n", "_smallest", "_classes", "_stratum", "_h", "_rn", "_n")
 
 
-def split_temporal(df: DataFrame, key: str, ts: str, test_size: float = 0.3, share: float = HOT_SHARE,
+def split_temporal(df: DataFrame, key: str, ts: str, test_size: float = 0.3,
                    min_rows: int = HOT_MIN_ROWS) -> DataFrame:
     """Each user's earliest ``floor(n * (1 - test_size))`` rows train, at least one row on each side."""
-    placed = hot_row_number(df, ["app_user_id"], F.to_date(ts), [F.col(ts), F.col(key)], "_rn", "_n", share, min_rows)
+    placed = hot_row_number(df, ["app_user_id"], F.to_date(ts), [F.col(ts), F.col(key)], "_rn", "_n", min_rows)
     cut = F.floor(F.col("_n") * F.lit(1 - test_size))
     cut = F.least(F.greatest(cut, F.lit(1)), F.col("_n") - 1)
     return placed.withColumn("is_test", (F.col("_n") > 1) & (F.col("_rn") > cut)).drop("_rn", "_n")
 
 
-def user_folds(df: DataFrame, folds: int | None = None, exact_limit: int = 200) -> DataFrame:
-    """Leave-one-user-out fold ids while users number at most ``exact_limit``;
-    beyond that, users are hashed into ``folds`` groups. ``folds`` forces grouping."""
-    users = df.select("app_user_id").distinct()
-    if folds is None and users.limit(exact_limit + 1).count() <= exact_limit:
+def user_folds(df: DataFrame, scheme: str = "user", folds: int = 10) -> DataFrame:
+    """Add ``fold``: each user alone (``scheme="user"``: leave one user out), or users hashed into ``folds``
+    groups (``scheme="grouped"``). The scheme is the caller's choice, whatever the number of users."""
+    if scheme == "user":
         return df.withColumn("fold", F.col("app_user_id").cast("string"))
-    grouped = F.pmod(F.xxhash64(F.col("app_user_id")), F.lit(folds or 10))
-    return df.withColumn("fold", grouped.cast("string"))
+    if scheme != "grouped":
+        raise ValueError(f"unknown scheme {scheme!r}; use user or grouped")
+    return df.withColumn("fold", F.pmod(F.xxhash64(F.col("app_user_id")), F.lit(folds)).cast("string"))
 
 
 def fold_report(df: DataFrame, label: str = "label") -> DataFrame:
@@ -203,14 +202,16 @@ def stratified_folds(df: DataFrame, key: str, label: str, preferred: int = 5, mi
     return placed.withColumn("fold", fold).drop("_h", "_rn")
 
 
-def fold_validity(folded: DataFrame, label: str = "label") -> DataFrame:
-    """Whether each fold and its complement hold both classes."""
+def fold_validity(folded: DataFrame, label: str = "label", train_only: bool = False) -> DataFrame:
+    """Whether each fold's complement, and the fold itself unless ``train_only``, holds both classes."""
     per = folded.groupBy("fold").agg(
         F.count(F.lit(1)).alias("rows"), F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) == 0).alias("_q")
     )
     # One row per fold.
     positives, negatives = F.sum("_p").over(Window.partitionBy()), F.sum("_q").over(Window.partitionBy())
-    ok = (F.col("_p") > 0) & (F.col("_q") > 0) & (positives > F.col("_p")) & (negatives > F.col("_q"))
+    ok = (positives > F.col("_p")) & (negatives > F.col("_q"))
+    if not train_only:
+        ok = ok & (F.col("_p") > 0) & (F.col("_q") > 0)
     return per.select("fold", "rows", ok.alias("usable"))
 
 

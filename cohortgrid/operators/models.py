@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import random
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark import keyword_only
+from pyspark import inheritable_thread_target, keyword_only
 from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -14,7 +15,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import Evaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param.shared import HasLabelCol, HasPredictionCol
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .mlprep import fit_scaler, fold_report, scale, user_folds, with_class_weight
+from .mlprep import fit_scaler, fold_report, fold_validity, scale, user_folds, with_class_weight
 
 SEED = 42
 
@@ -74,7 +75,8 @@ def fit_predict(name: str, split: DataFrame, key: str, columns: list[str], scale
         train, test = scale(train, fitted), scale(test, fitted)
     weighted = name != "mlp"
     train = with_class_weight(train) if weighted else train
-    rows = assemble(train, columns).select("label", "features", *(["weight"] if weighted else [])).persist()
+    # Rebalanced: iterations over few rows then run few tasks, over many rows many.
+    rows = assemble(train, columns).select("label", "features", *(["weight"] if weighted else [])).hint("rebalance").persist()
     try:
         model = make_model(name, len(columns), weighted, **params).fit(rows)
     finally:
@@ -90,26 +92,26 @@ def feature_importances(model, columns: list[str], spark, n: int = 20) -> DataFr
     return table.withColumn("share", F.col("importance") / total).orderBy(F.col("importance").desc(), "feature").limit(n)
 
 
-def louo_predict(name: str, df: DataFrame, key: str, columns: list[str], exact_limit: int = 200,
-                 folds: int | None = None, **params) -> DataFrame:
-    """Leave-one-user-out scores, pooled over folds.
+def louo_predict(name: str, df: DataFrame, key: str, columns: list[str], scheme: str = "user", folds: int = 10,
+                 parallelism: int = 4, **params) -> DataFrame:
+    """User-grouped cross-validation scores, pooled over folds: each user left out (``scheme="user"``) or
+    groups of users (``"grouped"``, ``folds`` of them).
 
-    Exact while users number at most ``exact_limit``; beyond that users are
-    grouped into ``folds`` (10). Folds whose training rows lack a class are
-    skipped. Trains one distributed model per fold.
+    Trains one distributed model per fold, ``parallelism`` at a time; a fold's scores are written to the shared
+    folder as it ends. Folds whose training rows lack a class are skipped, as one grouping over all folds tells.
     """
-    folded = materialize(user_folds(df, folds, exact_limit), "folds")
-    ids = [r.fold for r in folded.select("fold").distinct().orderBy("fold").collect()]
-    scored = []
-    for fold in ids:
-        split = folded.withColumn("is_test", F.col("fold") == fold)
-        classes = split.where(~F.col("is_test")).agg(F.count_distinct("label")).first()[0]
-        if classes < 2:
-            continue
-        scored.append(fit_predict(name, split, key, columns, **params).withColumn("fold", F.lit(fold)))
-    if not scored:
+    folded = materialize(user_folds(df, scheme, folds), "folds")
+    valid = fold_validity(folded, train_only=True).where("usable").orderBy("fold")
+    ids = [r.fold for r in valid.select("fold").collect()]
+    if not ids:
         raise ValueError("no fold has both classes in its training rows")
-    return reduce(DataFrame.unionByName, scored)
+
+    def run(fold: str) -> DataFrame:
+        split = folded.withColumn("is_test", F.col("fold") == fold)
+        return materialize(fit_predict(name, split, key, columns, **params).withColumn("fold", F.lit(fold)), "fold-scores")
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        return reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(df.sparkSession)(run), ids))
 
 
 class SafeRecall(Evaluator, HasLabelCol, HasPredictionCol):
@@ -131,19 +133,32 @@ class SafeRecall(Evaluator, HasLabelCol, HasPredictionCol):
         return True
 
 
-def random_search(estimator: Estimator, space: dict[str, list], df: DataFrame, fold_col: str, folds: int,
-                  draws: int = 20, seed: int = SEED, parallelism: int = 2):
-    """Seeded random draw of the parameter grid, cross-validated on given folds with safe recall."""
+# Search spaces of the tuned models, by parameter.
+SPACES: dict[str, dict[str, list]] = {
+    "lr": {"regParam": [0.001, 0.01, 0.1, 1.0], "elasticNetParam": [0.0, 0.5, 1.0]},
+    "rf": {"numTrees": [100, 200, 300], "maxDepth": [5, 10, 15], "minInstancesPerNode": [1, 2, 4]},
+    "gbt": {"maxIter": [100, 300, 600], "maxDepth": [3, 5, 7], "stepSize": [0.01, 0.05, 0.1]},
+}
+
+
+def random_search(name: str, columns: list[str], train: DataFrame, fold_col: str, folds: int, draws: int = 20,
+                  seed: int = SEED, parallelism: int = 4, space: dict[str, list] | None = None, **params):
+    """Seeded random draw of the parameter grid, cross-validated on given folds of the training rows with safe
+    recall. Scaling is a stage of the pipeline, so each fold learns it from its own training part; the best
+    parameters are refit on all training rows."""
+    model = make_model(name, len(columns), **params)
+    raw = VectorAssembler(inputCols=columns, outputCol="raw" if name == "lr" else "features", handleInvalid="keep")
+    stages = [raw, StandardScaler(inputCol="raw", outputCol="features", withMean=True), model] if name == "lr" else [raw, model]
     builder = ParamGridBuilder()
-    for param, values in space.items():
-        builder = builder.addGrid(estimator.getParam(param), values)
+    for param, values in (space or SPACES[name]).items():
+        builder = builder.addGrid(model.getParam(param), values)
     grid = builder.build()
     chosen = random.Random(seed).sample(grid, min(draws, len(grid)))
     search = CrossValidator(
-        estimator=estimator, estimatorParamMaps=chosen, evaluator=SafeRecall(), numFolds=folds,
+        estimator=Pipeline(stages=stages), estimatorParamMaps=chosen, evaluator=SafeRecall(), numFolds=folds,
         foldCol=fold_col, parallelism=parallelism, seed=seed,
     )
-    return search.fit(df)
+    return search.fit(train)
 
 
 __all__ = [

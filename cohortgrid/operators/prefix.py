@@ -1,10 +1,9 @@
-"""Interval totals from prefix sums, for users too dense to pair rows with references.
+"""Interval totals from prefix sums: the ``prefix`` method of the window features.
 
 Pairing every reference with the rows of its window costs (references) x
-(rows per window). Users with more than ``DENSE_ROWS`` rows in a stretch as
-long as the window are handled here instead: every total is a difference of
-running sums read at the window ends, so the work is linear in rows and
-references, however many rows one user holds.
+(rows per window). Here every total is a difference of running sums read at
+the window ends, so the work is linear in rows and references, however many
+rows one user holds. Minutes are decimals, so differences are exact.
 """
 
 from __future__ import annotations
@@ -17,7 +16,8 @@ from pyspark.sql import functions as F
 from ..functions.timecols import US_PER_HOUR, add_hours, epoch_us, hour_floor
 from .skew import chunked_cumulative
 
-DENSE_ROWS = 1000
+# Exact type of minutes and their sums.
+EXACT = "decimal(24,12)"
 
 
 @dataclass(frozen=True)
@@ -45,17 +45,6 @@ class Interval:
         return (self.oldest, not self.closed)
 
 
-def dense_users(sessions: DataFrame, hours: int, limit: int = DENSE_ROWS) -> DataFrame:
-    """Users with more than ``limit`` rows in one stretch of ``hours`` hours.
-
-    Stretches are aligned, so any window of that length seen by another user
-    holds at most twice the limit.
-    """
-    stretch = F.floor(epoch_us(F.col("last_time_used")) / F.lit(float(hours * US_PER_HOUR))).alias("stretch")
-    counts = sessions.where(F.col("app_user_id").isNotNull()).groupBy("app_user_id", stretch).agg(F.count(F.lit(1)).alias("n"))
-    return counts.where(F.col("n") > limit).select("app_user_id").distinct()
-
-
 def running_at(rows: DataFrame, probes: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
     """Sums of ``rows`` (``keys, t, sums``) up to each probe (``keys, t, inclusive, probe``).
 
@@ -91,7 +80,7 @@ def category_amounts(sessions: DataFrame, refs: DataFrame, id_cols: list[str], i
     # NULL is a category of its own here; encode it, since keys are joined.
     coded = F.coalesce(F.concat(F.lit("="), F.col("app_category")), F.lit(""))
     rows = sessions.select("app_user_id", coded.alias("_cat"), F.col("last_time_used").alias("t"),
-                           F.coalesce(F.col("total_time_minutes"), F.lit(0.0)).alias("m"), F.lit(1).alias("n"))
+                           F.coalesce(F.col("total_time_minutes").cast(EXACT), F.lit(0).cast(EXACT)).alias("m"), F.lit(1).alias("n"))
     own = rows.select("app_user_id", "_cat").distinct()
     found = running_at(rows, _probes(refs, id_cols, points).join(own, "app_user_id"), ["app_user_id", "_cat"], ["m", "n"])
     at = found.groupBy(*[F.col(f"probe.{c}").alias(c) for c in id_cols], "_cat").agg(

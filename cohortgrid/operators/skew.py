@@ -10,30 +10,29 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 QUANTILE_CHUNKS = 256
-HOT_SHARE = 0.001
 HOT_MIN_ROWS = 1_000_000
 EXACT_PERCENTILE_VALUES = 100_000
 
 
-def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE, min_rows: int = HOT_MIN_ROWS) -> DataFrame:
-    """Keys holding more than ``share`` of all rows; fewer than ``1/share`` exist,
-    so the result is safe to broadcast whatever the data size."""
+def hot_keys(df: DataFrame, keys: list[str], min_rows: int = HOT_MIN_ROWS) -> DataFrame:
+    """Keys with more than ``min_rows`` rows. The bar is fixed, so no group ordered in one task grows with
+    the data; the list does, so it is joined without a broadcast hint."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).scalar()
-    return counts.where(F.col("_n") > F.greatest(F.lit(min_rows), total * F.lit(share))).drop("_n")
+    return counts.where(F.col("_n") > F.lit(min_rows)).drop("_n")
 
 
 def hot_row_number(df: DataFrame, keys: list[str], chunk: Column, order: list[Column], name: str = "rn",
-                   size_name: str = "n", share: float = HOT_SHARE, min_rows: int = HOT_MIN_ROWS) -> DataFrame:
+                   size_name: str = "n", min_rows: int = HOT_MIN_ROWS) -> DataFrame:
     """1-based position and group size per ``keys``; only hot groups are chunked.
 
     ``chunk`` must rise with ``order``. Ordinary groups take one window; the
     rows of a hot group are spread over its chunks, whose offsets are counted
     separately. Keys must not be NULL.
     """
-    hot = F.broadcast(hot_keys(df, keys, share, min_rows).withColumn("_hot", F.lit(True)))
+    hot = hot_keys(df, keys, min_rows).withColumn("_hot", F.lit(True))
     rows = df.join(hot, keys, "left").withColumn("_chunk", F.when(F.col("_hot"), chunk.cast("string")).otherwise(""))
     offsets = _chunk_offsets(rows.where("_hot"), keys)
     # Placed by group and chunk even when the input is already placed by a
@@ -96,18 +95,23 @@ def chunked_cumulative(df: DataFrame, keys: list[str], order: list[Column], sums
 
     ``sums`` maps a summed column to the output name.
     """
+    def whole(c: str, total: Column) -> Column:
+        # Wider decimals would lose digits when they are added.
+        kind = df.schema[c].dataType
+        return total.cast(kind) if isinstance(kind, T.DecimalType) else total
+
     parts = df.groupBy(*keys, "_chunk").agg(*[F.sum(c).alias(f"_s_{c}") for c in sums])
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = parts.select(
         *keys, "_chunk",
-        *[F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)).alias(f"_before_{c}") for c in sums],
+        *[whole(c, F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0))).alias(f"_before_{c}") for c in sums],
     )
     local = (
         Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     )
     out = df.join(carried, [*keys, "_chunk"])
     for c, alias in sums.items():
-        out = out.withColumn(alias, F.sum(c).over(local) + F.col(f"_before_{c}"))
+        out = out.withColumn(alias, whole(c, F.sum(c).over(local)) + F.col(f"_before_{c}"))
     return out.drop("_chunk", *[f"_before_{c}" for c in sums])
 
 

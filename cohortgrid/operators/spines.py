@@ -57,9 +57,8 @@ def hour_profile_users(df: DataFrame, ts: str, value: str, users: list) -> DataF
         F.count(F.lit(1)).alias("total_records"), F.sum(value).alias("total_value")
     )
     kind = df.schema["app_user_id"].dataType
-    listed = df.sparkSession.createDataFrame([(u,) for u in users], "app_user_id long").select(
-        F.col("app_user_id").cast(kind)
-    )
+    texts = df.sparkSession.createDataFrame([(str(u),) for u in users], "app_user_id string")
+    listed = texts.select(F.col("app_user_id").cast(kind))
     spine = listed.withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(23))))
     return spine.join(stats, ["app_user_id", "hour"], "left").na.fill({"total_records": 0, "total_value": 0.0})
 

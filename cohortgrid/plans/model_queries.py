@@ -8,11 +8,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import lookback, metrics, mlprep, models
+from ..operators import experiments, lookback, metrics, mlprep, models
 from ..session import materialize
 from .align_queries import (
-    _OWN_TIME, COMBINED, COMBINED_VIEWS, COUNTS, HOURS, LABEL, LOOKBACK, METRIC_OUT, SIZE, STD_PARTS, STD_SLOTS, SURVEYS, TEMPORAL,
-    TEMPORAL_SPLIT, combined_of, hourly_of, metric_parts, slot_columns, slot_sql, standard_slots,
+    _OWN_TIME, MULTI_SLOTS, COMBINED, COMBINED_VIEWS, COUNTS, HOURS, LABEL, LOOKBACK, METRIC_OUT, SIZE, STD_PARTS, STD_SLOTS, SURVEYS, TEMPORAL,
+    TEMPORAL_SPLIT, combined_of, hourly_of, metric_parts, slot_columns, slot_sql, standard_slots, training_of,
 )
 from .grid_queries import EVENTS, GRID_PARTS
 from .registry import query, sql
@@ -285,7 +285,7 @@ def rf_predictions(b):
 
 @query("gbt_predictions")
 def gbt_predictions(b):
-    return _predict(b, "gbt", scaled=False, maxIter=30)
+    return _predict(b, "gbt", scaled=False)
 
 
 @query("mlp_predictions")
@@ -296,29 +296,66 @@ def mlp_predictions(b):
 @query("louo_predictions")
 def louo_predictions(b):
     rows, columns = model_frame(b)
-    return models.louo_predict("lr", rows, ID, columns, exact_limit=10, folds=5, maxIter=30)
+    return models.louo_predict("lr", rows, ID, columns)
 
 
 @query("rf_importance")
 def rf_importance(b):
     rows, columns = model_frame(b)
-    weighted = models.assemble(mlprep.with_class_weight(rows), columns).persist()
-    return models.feature_importances(models.make_model("rf", numTrees=50).fit(weighted), columns, b.spark)
+    weighted = models.assemble(mlprep.with_class_weight(rows), columns).hint("rebalance").persist()
+    try:
+        fitted = models.make_model("rf").fit(weighted)
+    finally:
+        weighted.unpersist()
+    return models.feature_importances(fitted, columns, b.spark)
 
 
 @query("tuned_lr")
 def tuned_lr(b):
+    """Every draw with its mean recall over five folds of the training rows; the best one also with its
+    confusion counts on the test rows."""
     rows, columns = model_frame(b)
-    folded = materialize(mlprep.stratified_folds(rows, ID, "label", preferred=3), "folds")
-    scaled = mlprep.scale(folded, mlprep.fit_scaler(folded, columns))
-    data = materialize(models.assemble(mlprep.with_class_weight(scaled), columns), "tuning").persist()
-    found = data.agg(F.max("fold")).first()[0]
-    search = models.random_search(
-        models.make_model("lr", maxIter=30), {"regParam": [0.001, 0.01, 0.1, 1.0], "elasticNetParam": [0.0, 0.5, 1.0]},
-        data, "fold", found + 1, draws=4,
-    )
-    pairs = zip(search.getEstimatorParamMaps(), search.avgMetrics)
-    table = [
-        (i, *[float(v) for _, v in sorted(((p.name, v) for p, v in grid.items()))], float(score)) for i, (grid, score) in enumerate(pairs)
-    ]
-    return b.spark.createDataFrame(table, "draw int, elasticNetParam double, regParam double, recall double")
+    split = materialize(mlprep.split_stratified(rows, ID, "label"), "split")
+    train = materialize(mlprep.with_class_weight(mlprep.stratified_folds(split.where(~F.col("is_test")), ID, "label")).hint("rebalance"), "folds")
+    folds = train.agg(F.max("fold")).first()[0] + 1
+    search = models.random_search("lr", columns, train, "fold", folds)
+    scored = models.score_frame(search.bestModel.transform(split.where("is_test")), ID)
+    hit = metrics.confusion(scored, []).first()
+    best = max(range(len(search.avgMetrics)), key=lambda i: search.avgMetrics[i])
+    table = []
+    for i, (grid, score) in enumerate(zip(search.getEstimatorParamMaps(), search.avgMetrics)):
+        values = {p.name: float(v) for p, v in grid.items()}
+        counts = [int(hit[c]) for c in ("tp", "fp", "fn", "tn")] if i == best else [None] * 4
+        table.append((i, values["elasticNetParam"], values["regParam"], float(score), i == best, *counts))
+    return b.spark.createDataFrame(
+        table, "draw int, elasticNetParam double, regParam double, recall double, best boolean, tp long, fp long, fn long, tn long")
+
+
+# --------------------------------------------------------------- experiments
+
+_RANKED = """SELECT *, row_number() OVER (PARTITION BY window_hours, risk_label ORDER BY md5(concat('42|', survey_response_id)), survey_response_id) AS rs,
+  count(*) OVER (PARTITION BY window_hours, risk_label) AS ns, row_number() OVER u AS rt, count(*) OVER (PARTITION BY window_hours, app_user_id) AS nt,
+  CAST(risk_label = 'at_risk' AS INT) AS y_true, CAST(first_value(risk_label) OVER u = 'at_risk' AS INT) AS y_pred
+  FROM training WINDOW u AS (PARTITION BY window_hours, app_user_id ORDER BY ref_ts, survey_response_id)"""
+_MODES = """SELECT *, 'stratified' AS split_mode, rs <= ceil(CAST(0.3 AS DOUBLE) * ns) AS is_test FROM ranked UNION ALL
+  SELECT *, 'temporal', nt > 1 AND rt > least(greatest(floor(nt * (CAST(1 AS DOUBLE) - CAST(0.3 AS DOUBLE))), 1), nt - 1) FROM ranked"""
+_TESTED = COUNTS.replace("FILTER (y_true", "FILTER (is_test AND y_true")
+
+
+def experiment(b, names: tuple[str, ...]) -> DataFrame:
+    rows = mlprep.encode_binary(training_of(b), LABEL, "at_risk")
+    return experiments.run_experiments(rows, ID, lambda w: [f"hour_{i}" for i in range(w)], lookback.TRAINING_WINDOWS, names=names)
+
+
+@query("experiment_design", sql(f"SELECT window_hours, split_mode, 'baseline' AS model, n_train, n_test, {METRIC_OUT} FROM measured", EVENTS + SURVEYS,
+                                STD_PARTS | {"training": MULTI_SLOTS, "ranked": _RANKED, "modes": _MODES} | metric_parts(
+    f"""SELECT window_hours, split_mode, CAST(count(*) FILTER (NOT is_test) AS BIGINT) AS n_train,
+        CAST(count(*) FILTER (is_test) AS BIGINT) AS n_test, {_TESTED} FROM modes GROUP BY 1, 2""")))
+def experiment_design(b):
+    """Split sizes, supports and the persistence baseline of every experiment, without the trained models."""
+    return experiment(b, ())
+
+
+@query("experiment_results")
+def experiment_results(b):
+    return experiment(b, ("lr", "rf"))

@@ -20,6 +20,7 @@ from ..functions.rules import TARGETS
 from ..functions.taxonomy import collapse_games, resolve_categories
 from ..functions.timecols import add_seconds
 from ..operators import align, fill, lookback, mlprep, surveys, timegrid
+from ..session import materialize
 
 
 def _param(name: str, doc: str, convert=None) -> Param:
@@ -116,7 +117,8 @@ class AppCategorizer(Estimator):
 
     def _fit(self, sessions: DataFrame) -> AppCategories:
         names = sessions.select("app_name").where(F.col("app_name").isNotNull()).distinct()
-        return AppCategories(resolve_categories(names, self.dimension, self.getOrDefault("studyApp") or None).persist())
+        return AppCategories(materialize(
+            resolve_categories(names, self.dimension, self.getOrDefault("studyApp") or None), "categories"))
 
 
 class AppCategories(Model):

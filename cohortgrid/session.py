@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,15 +44,12 @@ def local_session(cores: int | str = 8, memory: str = "12g", shuffle_partitions:
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for written tables.
 
-    On a cluster this sits under ``spark.checkpoint.dir`` (storage every
-    executor sees). A machine-local folder is used only by a local master.
+    It sits under ``spark.checkpoint.dir`` (storage every executor sees), or under the
+    warehouse, which is shared too, where that is unset.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        master = spark.sparkContext.master
-        if not master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        base = tempfile.mkdtemp(prefix="cohortgrid-")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
@@ -66,3 +62,11 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
     path = shared_dir(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def release(df: DataFrame) -> None:
+    """Delete the files of a table made by ``materialize`` that nothing reads any more."""
+    jvm, hadoop = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(hadoop).delete(path, True)

@@ -37,7 +37,7 @@ VIEWS: dict[str, tuple] = {
     "category_sessions": (["events", "part"], """
         SELECT e.event_id AS screentime_id, e.user_id AS app_user_id, p.p_name AS app_name,
                p.p_type AS app_category, e.value AS total_time_minutes, e.ts AS last_time_used
-        FROM {events} e JOIN {part} p ON p.p_partkey = e.event_id % 150
+        FROM {events} e JOIN {part} p ON p.p_partkey = e.event_id % (SELECT count(*) FROM {part})
         WHERE e.event_type <> 'error'"""),
     "survey_response": (["orders"], """
         SELECT o_orderkey AS id, o_custkey AS app_user_id,

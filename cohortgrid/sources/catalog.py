@@ -17,8 +17,9 @@ class Catalog:
     """Tables by name, read lazily from a folder of parquet files, JDBC or given frames."""
 
     def __init__(self, spark: SparkSession, root: str | None = None, tables: dict[str, DataFrame] | None = None,
-                 jdbc: dict[str, str] | None = None):
-        self.spark, self.root, self.jdbc = spark, root, jdbc
+                 jdbc: dict[str, str] | None = None, ranges: dict[str, tuple[str, int, int, int]] | None = None):
+        """``ranges``: for each JDBC table the integer column, bounds and number of its parallel reads."""
+        self.spark, self.root, self.jdbc, self.ranges = spark, root, jdbc, dict(ranges or {})
         self.tables = dict(tables or {})
 
     def table(self, name: str) -> DataFrame:
@@ -29,7 +30,9 @@ class Catalog:
 
     def _read(self, name: str) -> DataFrame:
         if self.jdbc:
-            return self.spark.read.format("jdbc").options(**self.jdbc, dbtable=name).load()
+            if name not in self.ranges:
+                raise KeyError(f"give the range of {name!r}, or it is read through one connection")
+            return self.partitioned(name, *self.ranges[name])
         if self.root is None:
             raise KeyError(f"no table {name!r} in the catalog")
         return self.spark.read.parquet(f"{self.root}/{name}.parquet")

@@ -82,21 +82,21 @@ def sessions(rows, *data):
     return rows(schema, *[(1, a, c, m, t if "-" in t else DAY + t) for a, c, m, t in data])
 
 
-@pytest.mark.parametrize("standardized, dense_rows", [(True, 1000), (False, 1000), (False, 0)])
-def test_subwindow_edges(rows, standardized, dense_rows):
+@pytest.mark.parametrize("standardized, method", [(True, "pairs"), (False, "pairs"), (False, "prefix")])
+def test_subwindow_edges(rows, standardized, method):
     used = sessions(rows, ("a", "X", 1.0, "09:00"), ("b", "Y", 2.0, "07:00"), ("c", "Z", 4.0, "05:00"))
-    got = lookback.subwindow_features(used, survey(rows, "09:00"), 4, 2, standardized=standardized, dense_rows=dense_rows).first()
+    got = lookback.subwindow_features(used, survey(rows, "09:00"), 4, 2, standardized=standardized, method=method).first()
     assert (got.most_used_category_sw0, got.most_used_category_time_sw0, got.num_apps_sw0) == ("X", 1.0, 1)
     assert (got.most_used_category_sw1, got.most_used_category_time_sw1, got.num_apps_sw1) == ("Y", 2.0, 1)
     none = lookback.subwindow_features(used.where("app_user_id = 2"), survey(rows, "09:00"), 4, 2, standardized=standardized).first()
     assert (none.most_used_category_sw0, none.most_used_category_time_sw0, none.num_apps_sw0) == (None, 0.0, 0)
 
 
-@pytest.mark.parametrize("dense_rows", [1000, 0])
-def test_category_windows_include_both_edges(rows, dense_rows):
+@pytest.mark.parametrize("method", ["pairs", "prefix"])
+def test_category_windows_include_both_edges(rows, method):
     used = sessions(rows, ("a", "X", 1.0, "09:00"), ("b", "Y", 3.0, "08:00"), ("c", None, 5.0, "07:30"), ("d", "Z", 7.0, "09:00:00.000001"))
     refs = rows("screentime_id long, app_user_id long, ref_ts ts", (1, 1, DAY + "09:00"), (2, 2, DAY + "09:00"))
-    got = {(r.screentime_id, r.window_hours): r for r in lookback.category_windows(used, refs, [1, 3], dense_rows).collect()}
+    got = {(r.screentime_id, r.window_hours): r for r in lookback.category_windows(used, refs, [1, 3], method).collect()}
     assert len(got) == 4
     one, three, empty = got[(1, 1)], got[(1, 3)], got[(2, 3)]
     assert (one.total_screentime, one.most_used_category, one.category_rank_2, one.num_apps_used) == (4.0, "Y", "X", 2)
@@ -107,8 +107,8 @@ def test_category_windows_include_both_edges(rows, dense_rows):
     assert empty.most_used_category_proportion is None
 
 
-@pytest.mark.parametrize("dense_rows", [1000, 2, 0])
-def test_category_windows_match_brute_force(spark, dense_rows):
+@pytest.mark.parametrize("method", ["pairs", "prefix"])
+def test_category_windows_match_brute_force(spark, method):
     import random
 
     rng = random.Random(3)
@@ -119,7 +119,7 @@ def test_category_windows_match_brute_force(spark, dense_rows):
     used = spark.createDataFrame(data, schema)
     times = [(i, u, t) for i, (u, _, _, _, t) in enumerate(data[:40])]
     refs = spark.createDataFrame(times, "screentime_id long, app_user_id long, ref_ts timestamp_ntz")
-    got = {(r.screentime_id, r.window_hours): r for r in lookback.category_windows(used, refs, [1, 6, 24], dense_rows).collect()}
+    got = {(r.screentime_id, r.window_hours): r for r in lookback.category_windows(used, refs, [1, 6, 24], method).collect()}
     for sid, user, t in times:
         for w in (1, 6, 24):
             inside = [d for d in data if d[0] == user and t - dt.timedelta(hours=w) <= d[4] <= t]
@@ -130,12 +130,31 @@ def test_category_windows_match_brute_force(spark, dense_rows):
             assert r.data_available == int(bool(inside))
 
 
-def test_subwindows_of_dense_users_equal_those_of_others(bound):
-    plain = lookback.subwindow_features(bound.category_sessions, bound.surveys, 12, 3, standardized=False)
-    dense = lookback.subwindow_features(bound.category_sessions, bound.surveys, 12, 3, standardized=False, dense_rows=0)
-    digits = [F.round(c, 6).alias(c) if "time_sw" in c else F.col(c) for c in plain.columns]
-    assert plain.count() == dense.count() == bound.surveys.count()
-    assert plain.select(digits).exceptAll(dense.select(digits)).count() == 0
+def test_methods_agree_to_the_last_digit(spark, rows):
+    """A dense user with fractional minutes, ties between categories and windows that sum to zero."""
+    import random
+
+    rng = random.Random(5)
+    data = []
+    for k in range(600):
+        t = f"2025-01-01 {rng.randint(0, 9):02d}:{rng.randint(0, 59):02d}:{rng.randint(0, 59):02d}"
+        data.append((f"app{k % 7}", "ABC"[k % 3], [0.1, 0.2, 0.3, 1 / 3, 0.0, 6351.046510025935][k % 6], t))
+    data += [("zero", "A", 0.0, "2025-01-03 08:30:00"), ("zero2", "B", 0.0, "2025-01-03 08:40:00")]
+    used = sessions(rows, *data)
+    refs = rows("screentime_id long, app_user_id long, ref_ts ts", *[(h, 1, f"2025-01-01 {h:02d}:30:00") for h in range(1, 12)],
+                (50, 1, "2025-01-03 09:00:00"), (51, 2, "2025-01-01 09:00:00"))
+    pairs, prefix = (lookback.category_windows(used, refs, [1, 3, 6, 24], m) for m in ("pairs", "prefix"))
+    assert pairs.count() == prefix.count() == 13 * 4
+    assert pairs.exceptAll(prefix).count() == 0 and prefix.exceptAll(pairs.select(prefix.columns)).count() == 0
+    with pytest.raises(ValueError):
+        lookback.category_windows(used, refs, [1], "auto")
+
+
+def test_subwindow_methods_agree(bound):
+    pairs, prefix = (lookback.subwindow_features(bound.category_sessions, bound.surveys, 12, 3, standardized=False, method=m)
+                     for m in ("pairs", "prefix"))
+    assert pairs.count() == prefix.count() == bound.surveys.count()
+    assert pairs.exceptAll(prefix).count() == 0
 
 
 def test_weekly_mean_counts_missing_days_as_zero(rows):
@@ -293,7 +312,7 @@ def test_entropy(spark, shares, expected):
 def test_temporal_split(spark, n, train, min_rows):
     base = dt.datetime(2025, 1, 1)
     df = spark.createDataFrame([(i, 1, base + dt.timedelta(hours=7 * i)) for i in range(n)], "id long, app_user_id long, t timestamp_ntz")
-    got = mlprep.split_temporal(df, "id", "t", share=0.0 if min_rows == 1 else 0.001, min_rows=min_rows)
+    got = mlprep.split_temporal(df, "id", "t", min_rows=min_rows)
     assert listed(got.where(~F.col("is_test")), "id") == list(range(train))
     assert got.count() == n
 

@@ -30,6 +30,17 @@ def test_rows_only_queries(spark, name):
     assert QUERIES[name](spark, ROOT).count() > 0
 
 
+def test_experiment_rows_follow_from_their_counts(spark):
+    design = {(r.window_hours, r.split_mode): r for r in QUERIES["experiment_design"](spark, ROOT).collect()}
+    got = QUERIES["experiment_results"](spark, ROOT).collect()
+    assert {(r.window_hours, r.split_mode) for r in got} == set(design)
+    for r in got:
+        same = design[(r.window_hours, r.split_mode)]
+        assert (r.n_train, r.n_test, r.support_positive) == (same.n_train, same.n_test, same.support_positive)
+        assert r.tp + r.fp + r.fn + r.tn == r.n_test and r.accuracy == pytest.approx((r.tp + r.tn) / r.n_test, abs=1e-6)
+        assert r.f1 == pytest.approx(2 * r.tp / max(1, 2 * r.tp + r.fp + r.fn), abs=1e-6)
+
+
 @pytest.mark.parametrize("name", ["dedup_start", "latest_cumulative", "app_sessions", "one_survey_per_day", "weekly_labels", "top_apps"])
 def test_first_rows_are_limited_before_the_shuffle(spark, name):
     plan = QUERIES[name](spark, ROOT)._jdf.queryExecution().executedPlan().toString()

@@ -62,7 +62,7 @@ def test_learns_a_separable_label(spark):
     split = mlprep.split_stratified(df, "id", "label")
     scored = models.fit_predict("lr", split, "id", ["x"]).collect()
     assert all(r.y_true == r.y_pred for r in scored) and len(scored) == 60
-    pooled = models.louo_predict("lr", df, "id", ["x"], folds=3)
+    pooled = models.louo_predict("lr", df, "id", ["x"], scheme="grouped", folds=3)
     assert pooled.count() == 200 and pooled.select("fold").distinct().count() == 3
 
 
