@@ -32,6 +32,7 @@ K = 5
 CELLS = 64
 BLOCK = 4096
 QUERIES = 1024
+LATEST = 64
 FIRST = 4
 
 
@@ -83,12 +84,14 @@ def _blocks(grid: dict[int, tuple[list[int], list[int]]] | None, size: int):
 
 
 def _scan(grid: dict[int, tuple[list[int], list[int]]], k: int):
-    """Bounds of a query block against a vector block; what can't be among the k best of this block is out."""
+    """Bounds of a query block against a vector block; what can't be among the k best of the blocks that the
+    task has seen for these queries is out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, np.ndarray] = {}  # of the latest query blocks, each query's k largest lower bounds
         for batch in batches:
             out = []
-            for dim, qn, qc, qd, vn, vc, vd in zip(*[c.to_pylist() for c in batch.columns]):
+            for dim, block, qn, qc, qd, vn, vc, vd in zip(*[c.to_pylist() for c in batch.columns]):
                 low, high = (np.array(x, np.float64) for x in grid[dim])
                 step = np.maximum((high - low) / CELLS, 1e-9)
                 q = np.frombuffer(qd, "<i8").reshape(qn, dim).astype(np.float64)
@@ -96,8 +99,12 @@ def _scan(grid: dict[int, tuple[list[int], list[int]]], k: int):
                 score = q @ centre.T
                 # Half a cell in every dimension, and room for rounding.
                 error = np.abs(q) @ (step / 2) * (1 + 1e-9) + 1e-6 * (1 + np.abs(score).max(axis=1, initial=0))
-                best = np.partition(score, vn - k, axis=1)[:, vn - k] if vn > k else score.min(axis=1, initial=np.inf)
-                i, j = np.nonzero(score >= (best - 2 * error)[:, None])
+                lower = (np.partition(score, vn - k, axis=1)[:, vn - k:] if vn > k else score) - error[:, None]
+                known = np.concatenate((seen.pop(block, np.full((qn, k), -np.inf)), lower), axis=1)
+                seen[block] = known = np.partition(known, known.shape[1] - k, axis=1)[:, -k:]
+                if len(seen) > LATEST:
+                    seen.pop(next(iter(seen)))
+                i, j = np.nonzero(score + error[:, None] >= known.min(axis=1)[:, None])
                 out.append((np.frombuffer(qc, "<i8")[i], np.frombuffer(vc, "<i8")[j], score[i, j] - error[i], score[i, j] + error[i]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate([o[c] for o in out]) if out else [], t) for c, t in enumerate(
@@ -138,7 +145,7 @@ def top_k(rows: DataFrame, is_query: Column, k: int = K, vec_id: str = "vec_id",
                             F.col("data").alias("qd"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
     right = approximations.join(blocks, "dim").select(
         "dim", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int").alias("g"), "n", "cids", "data", F.explode("qblocks").alias("qblock"))
-    pairs = left.join(right, ["dim", "qblock", "g"]).select("dim", "qn", "qc", "qd", "n", "cids", "data")
+    pairs = left.join(right, ["dim", "qblock", "g"]).select("dim", "qblock", "qn", "qc", "qd", "n", "cids", "data")
     bounded = stored(pairs.mapInArrow(_scan(grid, k + 1), "q long, cid long, low double, high double"), "bounds")
     by_low = Window.partitionBy("q").orderBy(F.desc("low"))
     kth = bounded.withColumn("_r", F.row_number().over(by_low)).where(F.col("_r") <= k + 1).groupBy("q").agg(
