@@ -7,7 +7,7 @@ two unpacked pieces that fill the widened gap more tightly, as long as there are
 sequence partly empty, so the cost of dealing is below one sequence in ``GROUP`` pieces.
 
 Words are tokenized once per worker: the tokenizer splits at white space and nothing crosses it, so a text's
-ids are its words' ids in order. The memory of words is emptied when it holds ``WORDS`` of them.
+ids are its words' ids in order. A memory of words is emptied when it holds ``WORDS`` of them.
 
 Edge cases: a null or empty text is one piece that holds the end id alone; repeated rows are packed each on
 their own; ids may be null; an empty table gives an empty result; other columns are left out.
@@ -15,9 +15,10 @@ their own; ids may be null; an empty table gives an empty result; other columns
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -31,51 +32,122 @@ CAPACITY = 4096
 END_ID = 1
 GROUP = 20_000
 WORDS = 500_000
-SPLIT = b" \t\n\x0b\x0c\r"
+
+
+class Store:
+    """Growing list of id sequences, kept in three arrays."""
+
+    def __init__(self):
+        self.flat, self.used = np.empty(1 << 16, np.uint32), 0
+        self.start, self.size, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+
+    def add(self, flat: np.ndarray, sizes: np.ndarray) -> range:
+        while len(self.flat) < self.used + len(flat):
+            self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
+        while len(self.start) < self.count + len(sizes):
+            self.start, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.size))
+        first = self.count
+        self.flat[self.used: self.used + len(flat)] = flat
+        self.start[first: first + len(sizes)] = self.used + np.cumsum(sizes) - sizes
+        self.size[first: first + len(sizes)] = sizes
+        self.used, self.count = self.used + len(flat), first + len(sizes)
+        return range(first, self.count)
+
+    def get(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sequences one after another, and their sizes."""
+        sizes = self.size[at]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.flat[np.repeat(self.start[at] - ends + sizes, sizes) + np.arange(total)], sizes
+
+
+# Letters that lower-casing and normalization treat one by one; marks that form a token run of their own.
+MARKS = b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+JOINED = 512
 
 
 class Words:
-    """Token ids of texts, by way of a bounded memory of words."""
+    """Token ids of texts, by way of bounded memories of words and of their parts.
+
+    A plain word is its letters in lower case and the marks after them, which the tokenizer splits anyway; other
+    words are taken whole. New parts are encoded many at a time, with blanks between: each ends in the one token
+    that closes it."""
 
     def __init__(self, path: str, words: int = WORDS):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words = Tokenizer.from_file(path), words
-        self.clear()
-
-    def clear(self) -> None:
+        tokenizer = Tokenizer.from_file(path)
+        self.encode_batch = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)  # without offsets
+        self.closes = np.zeros(tokenizer.get_vocab_size(), bool)
+        self.closes[[i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        self.words = words
         self.known: dict[bytes, int] = {}
-        self.ids, self.n_ids = np.empty(1 << 16, np.uint32), 0
-        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.parts: dict[bytes, int] = {b"": 0}
+        self.word_ids, self.part_ids = Store(), Store()
+        self.part_ids.add(np.empty(0, np.uint32), np.zeros(1, np.int64))
 
-    def learn(self, new: list[bytes]) -> None:
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)  # without offsets
-        found = [e.ids for e in encode([w.decode() for w in new], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.encode_batch(texts, add_special_tokens=False)]
+
+    def _add(self, parts: list[bytes], found: list[list[int]], sizes: np.ndarray | None = None) -> None:
+        if sizes is None:
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
-        first = len(self.known)
-        while len(self.ids) < self.n_ids + len(flat):
-            self.ids = np.concatenate((self.ids, np.empty_like(self.ids)))
-        while len(self.start) < first + len(new):
-            self.start, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.size))
-        self.ids[self.n_ids: self.n_ids + len(flat)] = flat
-        self.start[first: first + len(new)] = self.n_ids + np.cumsum(sizes) - sizes
-        self.size[first: first + len(new)] = sizes
-        self.n_ids += len(flat)
-        self.known.update(zip(new, range(first, first + len(new))))
+        self.parts.update(zip(parts, self.part_ids.add(flat, sizes)))
+
+    def _encode_plain(self, parts: list[bytes]) -> None:
+        for at in range(0, len(parts), JOINED):
+            some = parts[at: at + JOINED]
+            ids = self._encode([b" ".join(some).decode()])[0]
+            sizes = np.diff(np.flatnonzero(self.closes[ids]), prepend=-1)
+            if len(sizes) == len(some):
+                self._add(some, [ids], sizes)
+            else:
+                self._add(some, self._encode([p.decode() for p in some]))
+
+    def learn(self, new: list[bytes]) -> None:
+        pairs: list[bytes] = []
+        plain, whole = set(), set()
+        for w in new:
+            stem = w.rstrip(MARKS)
+            if stem.isalpha():
+                mark, stem = w[len(stem):], stem.lower()
+            elif stem and LATIN.fullmatch(s := stem.decode()):
+                mark, stem = w[len(stem):], s.lower().encode()
+            else:
+                pairs += (w, b"")
+                if w not in self.parts:
+                    whole.add(w)
+                continue
+            pairs += (stem, mark)
+            if stem not in self.parts:
+                plain.add(stem)
+            if mark not in self.parts:
+                plain.add(mark)
+        self._encode_plain(list(plain))
+        if whole:
+            self._add(list(whole), self._encode([w.decode() for w in whole]))
+        flat, sizes = self.part_ids.get(np.fromiter(map(self.parts.__getitem__, pairs), np.int64, len(pairs)))
+        self.known.update(zip(new, self.word_ids.add(flat, sizes.reshape(-1, 2).sum(axis=1))))
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        if len(self.parts) > self.words or len(self.known) > self.words:
+            self.known, self.word_ids = {}, Store()
+        if len(self.parts) > self.words:
+            self.parts, self.part_ids = {b"": 0}, Store()
+            self.part_ids.add(np.empty(0, np.uint32), np.zeros(1, np.int64))
         split = [text.encode().split() for text in texts]
-        if len(self.known) > self.words:
-            self.clear()
-        if new := {w for parts in split for w in parts if w not in self.known}:
-            self.learn(sorted(new))
+        words = list(chain.from_iterable(split))
+        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            self.learn(list({words[k] for k in missing}))
+            at[missing] = [self.known[words[k]] for k in missing]
+        start = 0
         for parts in split:
-            at = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
-            sizes = self.size[at]
-            ends = np.cumsum(sizes)
-            total = int(ends[-1]) if len(ends) else 0
-            yield self.ids[np.repeat(self.start[at] - ends + sizes, sizes) + np.arange(total)]
+            yield self.word_ids.get(at[start: start + len(parts)])[0]
+            start += len(parts)
 
 
 _WORDS: dict[str, Words] = {}
