@@ -19,7 +19,7 @@ HEADLINE = [
     "subwindow_features_actual", "multiwindow_category", "combined_features", "sweep_features",
     "app_sessions", "gap_repair", "hourly_screentime", "categorize_apps", "category_stats",
     "category_cooccurrence", "risk_labels", "daily_labels_averaged", "status_matrix", "split_by_user",
-    "classification_metrics", "roc_auc",
+    "classification_metrics", "roc_auc", "category_insights", "impute_median", "lr_predictions", "rf_predictions",
 ]
 
 

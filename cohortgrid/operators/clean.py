@@ -100,7 +100,8 @@ def repair_gaps(sessions: DataFrame, max_gap_seconds: int = 120) -> DataFrame:
 
     Overlaps count as following. The previous row is looked up inside each
     (user, day); the first row of a day takes the last end of the user's
-    previous active day, so no user is ordered in one task.
+    previous active day, so no user is ordered in one task. Rows without a
+    user follow no other.
     """
     day = F.to_date("start_time")
     rows = sessions.withColumn("_day", day)
@@ -112,6 +113,7 @@ def repair_gaps(sessions: DataFrame, max_gap_seconds: int = 120) -> DataFrame:
     out = rows.join(carried, ["app_user_id", "_day"], "left")
     out = out.withColumn("_first", F.row_number().over(in_day) == 1)
     out = out.withColumn("previous_end", F.when(F.col("_first"), F.col("_carried")).otherwise(F.lag("end_time").over(in_day)))
+    out = out.withColumn("previous_end", F.when(F.col("app_user_id").isNotNull(), F.col("previous_end")))
     close = seconds_between(F.col("previous_end"), F.col("start_time")) <= max_gap_seconds
     repaired = F.when(close, F.col("previous_end")).otherwise(F.col("start_time"))
     return out.withColumn("start_time", repaired).drop("_day", "_first", "_carried")

@@ -49,19 +49,25 @@ def top_with_other(sessions: DataFrame, n: int = 10) -> DataFrame:
     return named.groupBy("category").agg(F.sum("hours").alias("hours"))
 
 
+def largest(sums: DataFrame, n: int) -> DataFrame:
+    """The ``n`` categories with most time, from sums ``app_category, .., ms``: a ranking of a small table."""
+    totals = sums.where(F.col("app_category").isNotNull()).groupBy("app_category").agg((F.sum("ms") / 3_600_000.0).alias("hours"))
+    return totals.orderBy(F.col("hours").desc(), "app_category").limit(n)
+
+
 def category_by_hour(sessions: DataFrame, n: int = 10) -> DataFrame:
-    """Hours per (category, clock hour) for the top categories, wide, missing 0."""
-    top = sessions.join(top_categories(sessions, n), "app_category", "left_semi")
+    """Hours per (category, clock hour) for the top categories, wide, missing 0. One pass over the sessions."""
     hour = F.hour("last_time_used")
     ms = [F.coalesce(F.sum(F.when(hour == h, F.col("total_time_ms"))) / 3_600_000.0, F.lit(0.0)).alias(f"h{h}") for h in range(24)]
-    return top.groupBy("app_category").agg(*ms)
+    wide = sessions.where(F.col("app_category").isNotNull()).groupBy("app_category").agg(hours().alias("_hours"), *ms)
+    return wide.orderBy(F.col("_hours").desc(), "app_category").limit(n).drop("_hours")
 
 
 def category_by_weekday(sessions: DataFrame, n: int = 10) -> DataFrame:
     """Hours per (weekday, category) for the top categories, Monday first, missing 0."""
-    top = top_categories(sessions, n)
-    rows = sessions.join(top, "app_category", "left_semi")
-    sums = rows.groupBy("app_category", F.weekday("last_time_used").alias("weekday")).agg(hours().alias("hours"))
+    sums = sessions.groupBy("app_category", F.weekday("last_time_used").alias("weekday")).agg(F.sum("total_time_ms").alias("ms"))
+    top = largest(sums, n)
+    sums = sums.select("app_category", "weekday", (F.col("ms") / 3_600_000.0).alias("hours"))
     spine = top.select("app_category").withColumn("weekday", F.explode(F.sequence(F.lit(0), F.lit(6))))
     names = F.element_at(F.array(*[F.lit(d) for d in WEEKDAYS]), F.col("weekday") + 1)
     joined = spine.join(sums, ["app_category", "weekday"], "left").na.fill(0.0, ["hours"])
@@ -124,8 +130,9 @@ def category_cooccurrence(sessions: DataFrame) -> DataFrame:
 
 
 def category_trend(sessions: DataFrame, n: int = 5) -> DataFrame:
-    rows = sessions.join(top_categories(sessions, n), "app_category", "left_semi")
-    return rows.groupBy(F.to_date("last_time_used").alias("date"), "app_category").agg(hours().alias("hours"))
+    sums = sessions.groupBy(F.to_date("last_time_used").alias("date"), "app_category").agg(F.sum("total_time_ms").alias("ms"))
+    rows = sums.join(largest(sums, n), "app_category", "left_semi")
+    return rows.select("date", "app_category", (F.col("ms") / 3_600_000.0).alias("hours"))
 
 
 def screentime_completeness(sessions: DataFrame) -> DataFrame:
@@ -170,10 +177,10 @@ def insights(sessions: DataFrame) -> DataFrame:
 
 def top_apps(sessions: DataFrame, categories: int = 6, apps: int = 5) -> DataFrame:
     """The largest apps inside each of the largest categories."""
-    rows = sessions.join(top_categories(sessions, categories), "app_category", "left_semi")
-    stats = rows.groupBy("app_category", "app_name").agg(
-        hours().alias("hours"), F.count_distinct("app_user_id").alias("unique_users")
+    stats = sessions.groupBy("app_category", "app_name").agg(
+        F.sum("total_time_ms").alias("ms"), hours().alias("hours"), F.count_distinct("app_user_id").alias("unique_users")
     )
+    stats = stats.join(largest(stats, categories), "app_category", "left_semi").drop("ms")
     return keep_first(stats, ["app_category"], [F.col("hours").desc(), F.col("app_name")], apps, "place")
 
 
