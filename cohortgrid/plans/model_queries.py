@@ -137,7 +137,19 @@ def class_weights(b):
     return mlprep.class_weights(encoded_of(b))
 
 
-@query("weighted_resample")
+_DRAWN = {
+    "e": "SELECT survey_response_id, app_user_id, CAST(risk_label = 'at_risk' AS DOUBLE) AS label FROM surveys",
+    "n": "SELECT label, count(*) AS c FROM e GROUP BY 1",
+    "w": "SELECT label, CAST((SELECT sum(c) FROM n) AS DOUBLE) / CAST((SELECT count(*) FROM n) * c AS DOUBLE) AS weight FROM n",
+    "r": "SELECT label, CAST(ceil(weight) AS INT) AS trials, weight / ceil(weight) AS rate FROM w",
+    "cdf": """SELECT label, i, sum(exp(-rate) * pow(rate, i) / factorial(CAST(i AS INT))) OVER (PARTITION BY label ORDER BY i) AS upto
+      FROM (SELECT label, rate, unnest(range(24)) AS i FROM r)""",
+    "t": "SELECT survey_response_id, app_user_id, label, unnest(range(1, trials + 1)) AS trial FROM e JOIN r USING (label)",
+    "u": """SELECT *, CAST('0x' || substr(md5(concat('42|', survey_response_id, '|', trial)), 1, 12) AS BIGINT) / CAST(281474976710656 AS DOUBLE) AS u FROM t""",
+}
+
+
+@query("weighted_resample", sql("SELECT survey_response_id, app_user_id, u.label FROM u JOIN cdf ON u.label = cdf.label AND u.u > cdf.upto", SURVEYS, _DRAWN))
 def weighted_resample(b):
     return mlprep.weighted_resample(encoded_of(b).select(ID, "app_user_id", "label"), ID)
 
