@@ -34,16 +34,8 @@ def encode_binary(df: DataFrame, column: str, positive: str) -> DataFrame:
     return kept.withColumn("label", (F.col(column) == positive).cast("double"))
 
 
-def levels_of(df: DataFrame, column: str, limit: int = 10_000) -> list[str]:
-    """Sorted distinct levels; a column with more than ``limit`` should be hashed instead."""
-    rows = df.select(F.col(column).cast("string").alias("v")).where(F.col("v").isNotNull()).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{column} has more than {limit} levels; use hash_features")
-    return sorted(r.v for r in rows)
-
-
 def one_hot(df: DataFrame, column: str, levels: list[str], drop_first: bool = False) -> DataFrame:
-    """0/1 column per level, named ``<column>_<level>``."""
+    """0/1 column per given level, named ``<column>_<level>``; use ``hash_features`` where levels are not known."""
     used = levels[1:] if drop_first else levels
     hot = {f"{column}_{v}": F.coalesce((F.col(column) == v).cast("int"), F.lit(0)) for v in used}
     return df.withColumns(hot).drop(column)

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize, release
+
 QUANTILE_CHUNKS = 256
 HOT_MIN_ROWS = 1_000_000
 EXACT_PERCENTILE_VALUES = 100_000
@@ -116,19 +118,23 @@ def chunked_cumulative(df: DataFrame, keys: list[str], order: list[Column], sums
 
 
 def exact_median(df: DataFrame, column: str, small: int = EXACT_PERCENTILE_VALUES) -> float | None:
-    """Exact median of one column, read by narrowing a bracket.
+    """Exact median of one column, read by narrowing a bracket. The column is written once, so what it comes
+    from is not run again by each pass.
 
     Each pass sends at most ``QUANTILE_CHUNKS`` bucket counts to the driver;
     the final percentile sees at most ``small`` distinct values.
     """
-    values = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
-    n = values.count()
-    if n == 0:
-        return None
-    lower, upper = _kth(values, (n + 1) // 2, small), None
-    if n % 2 == 0:
-        upper = _kth(values, n // 2 + 1, small)
-    return lower if upper is None else (lower + upper) / 2.0
+    values = materialize(df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull()), "median")
+    try:
+        n = values.count()
+        if n == 0:
+            return None
+        lower, upper = _kth(values, (n + 1) // 2, small), None
+        if n % 2 == 0:
+            upper = _kth(values, n // 2 + 1, small)
+        return lower if upper is None else (lower + upper) / 2.0
+    finally:
+        release(values)
 
 
 def _kth(values: DataFrame, k: int, small: int) -> float:

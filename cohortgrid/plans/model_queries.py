@@ -41,6 +41,7 @@ def label_encode(b):
     return mlprep.encode_binary(b.surveys.select(ID, "app_user_id", LABEL), LABEL, "at_risk")
 
 
+# The app categories of the benchmark tables, and the blank.
 _LEVELS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD", "missing"]
 _HOT = ", ".join(f"CAST(coalesce(most_used_category_sw0, 'missing') = '{v}' AS INT) AS most_used_category_sw0_{v}" for v in _LEVELS[1:])
 
@@ -48,7 +49,7 @@ _HOT = ", ".join(f"CAST(coalesce(most_used_category_sw0, 'missing') = '{v}' AS I
 @query("onehot_features", sql(f"SELECT survey_response_id, {_HOT} FROM combined", COMBINED_VIEWS, COMBINED))
 def onehot_features(b):
     rows = matrix_of(b).select(ID, "most_used_category_sw0")
-    return mlprep.one_hot(rows, "most_used_category_sw0", mlprep.levels_of(rows, "most_used_category_sw0"), drop_first=True)
+    return mlprep.one_hot(rows, "most_used_category_sw0", _LEVELS, drop_first=True)
 
 
 @query("hashed_features")
@@ -61,7 +62,7 @@ def model_frame(b) -> tuple[DataFrame, list[str]]:
     """Numeric features and ``label`` for the classifiers, with its feature names."""
     rows = materialize(matrix_of(b), "features")
     for column in CATEGORIES:
-        rows = mlprep.one_hot(rows, column, mlprep.levels_of(rows, column))
+        rows = mlprep.one_hot(rows, column, _LEVELS)
     rows = mlprep.encode_binary(rows, LABEL, "at_risk")
     return rows, [c for c in rows.columns if c not in (ID, "app_user_id", LABEL, "label")]
 
