@@ -1,22 +1,25 @@
-"""HTML extraction by template deduction over pages of the same host.
+"""HTML extraction by template deduction over the pages of a host.
 
-Pages of a host are read in blocks. Every tag and close tag of a page is a token whose role is its name, its
-class, id and role words, and the path of open elements above it. Tokens with the same occurrence vector (how
-often they occur on each page of the block) form an equivalence class. A class is valid if its tokens come in
-one order, round after round, on every page; the valid class that occurs once on a page is the template's
-outer frame, and valid classes that occur more often nest in the slots between its tokens. What is left
-between template tokens are the slots' contents.
+Every tag and close tag of a page is a token whose role is its name, its class, id and role words, and the path
+of open elements above it. Tokens with the same occurrence vector (how often they occur on each distinct page
+of the block) form an equivalence class. A class is valid if its tokens come in one order, round after round, on
+every page; the valid classes that occur once on every page are the template's outer frame, and valid classes
+of two tokens or more that are on most pages and lie below the frame are nested in it. What is left between
+template tokens are the slots' contents.
 
-A slot is part of the main text if it lies in the article (or, without one, in the main element; else in a
-slot whose text differs between pages) and no element above it is a menu, header, footer, sidebar, notice,
-advert, form, comment list or the like, by its name or its class, id and role words.
+The template decides slot by slot: a slot whose texts repeat on the host (half of them or fewer are distinct)
+goes, one whose texts vary stays. Further evidence, page by page: text in an article (or, without one, in the
+main element) stays even if it repeats, beside it only slots stay that are on most pages and vary; text below
+a menu, header, footer, sidebar, notice, advert, form, comment list or the like, by its name or its class, id
+and role words, goes. Hosts of one or two distinct pages have no template, so only the evidence counts.
 
 Pages are dealt by range of (host, hash of the page), so a host with any share of the pages spreads over many
 tasks, and blocks are cut from the sorted pages, so a task holds one block at a time.
 
 Edge cases: a null html gives an empty text; a null url is a host of its own; null or repeated ids stay as
-they are; unclosed, misnested and unknown elements are read as browsers do in the usual cases; an empty table
-gives an empty result; only the three columns are read, so others can't clash.
+they are; equal pages of a host count once in its template; unclosed, misnested and unknown elements are read
+as browsers do in the usual cases; an empty table gives an empty result; only the three columns are read, so
+others can't clash.
 """
 
 from __future__ import annotations
@@ -27,15 +30,16 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from .common import query, table
 
 BLOCK_PAGES = 256
 BLOCK_CHARS = 4_000_000
+LEAST_PAGES = 3
 
 # Elements of HTML by what they do to text, and words that mark what isn't main text.
 RAW = "script style textarea noscript template iframe svg math select option button title xmp".split()
@@ -61,18 +65,23 @@ PART = re.compile(r"[a-z0-9]+")
 @dataclass
 class Element:
     name: str
-    words: tuple[str, ...]
-    path: tuple
+    role: int
     noise: bool
     main: str  # "article", "main" or ""
 
 
 @dataclass
 class Page:
-    """Tokens ``(role, place in runs)`` and runs ``(text, element, starts a block)`` of one page."""
+    """Tokens ``(role, place in runs)``, runs ``(text, element, starts a block)`` and the role above each role."""
 
-    tokens: list[tuple] = field(default_factory=list)
+    tokens: list[tuple[int, int]] = field(default_factory=list)
     runs: list[tuple[str, Element, bool]] = field(default_factory=list)
+    above: dict[int, int] = field(default_factory=dict)
+
+
+def _hash(*of) -> int:
+    """64 bits, signed."""
+    return xxh64_intdigest("\x00".join(map(str, of))) - (1 << 63)
 
 
 def _element(name: str, attrs: str, above: Element) -> Element:
@@ -88,16 +97,20 @@ def _element(name: str, attrs: str, above: Element) -> Element:
             elif name == "article":
                 noise = noise or not {"comment", "comments", "reply", "ad", "ads", "advert", "sponsored", "promo"}.isdisjoint(found)
     main = "article" if name == "article" or above.main == "article" else "main" if name == "main" or "main" in above.main else ""
-    return Element(name, tuple(words), (*above.path, (name, *words)), noise, main)
+    return Element(name, _hash(above.role, name, *words), noise, main)
 
 
-ROOT = Element("", (), (), False, "")
+ROOT = Element("", 0, False, "")
 
 
 def read(html: str) -> Page:
     """A page's tokens and text runs. Elements that HTML closes by itself are closed where the next begins."""
     page, stack, at, fresh = Page(), [ROOT], 0, True
 
+    def token(role: int, above: int) -> None:
+        page.tokens.append((role, len(page.runs)))
+        page.above[role] = above
+
     def text(a: int, b: int) -> None:
         nonlocal fresh
         if b > a:
@@ -108,7 +121,7 @@ def read(html: str) -> Page:
         text(at, m.start())
         at = m.end()
         if m["raw"]:
-            page.tokens.append(((*stack[-1].path, m["raw"].lower()), len(page.runs)))
+            token(_hash(stack[-1].role, m["raw"].lower()), stack[-1].role)
             fresh = fresh or m["raw"].lower() == "title"
             continue
         if not m["name"]:
@@ -119,12 +132,12 @@ def read(html: str) -> Page:
         if m["close"]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].name == name:
-                    page.tokens.append(((*stack[k].path, "/"), len(page.runs)))
+                    token(_hash(stack[k].role, "/"), stack[k].role)
                     del stack[k:]
                     break
             continue
         if name in VOID:
-            page.tokens.append(((*stack[-1].path, name), len(page.runs)))
+            token(_hash(stack[-1].role, name), stack[-1].role)
             continue
         if not inline:
             closes = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
@@ -135,63 +148,110 @@ def read(html: str) -> Page:
                 elif stack[k].name not in INLINE and stack[k].name != "p":
                     break
         one = _element(name, m["attrs"], stack[-1])
-        page.tokens.append((one.path, len(page.runs)))
+        token(one.role, stack[-1].role)
         if not m["attrs"].endswith("/") or not inline:
             stack.append(one)
     text(at, len(html))
     return page
 
 
-def classes(pages: list[Page]) -> dict[tuple[int, ...], list[tuple]]:
-    """Valid equivalence classes of roles by occurrence vector, each in the order of its tokens."""
+def rounds(roles: list[int], classed: dict[int, int]) -> dict[int, int | None]:
+    """For each class on a page, a hash of its tokens' order, or None if rounds differ in it. ``classed``: the
+    class of each role; ``roles``: the page's tokens."""
+    sizes, seen = Counter(classed.values()), {}
+    for role in roles:
+        if role in classed:
+            seen.setdefault(classed[role], []).append(role)
+    out = {}
+    for one, found in seen.items():
+        n = sizes[one]
+        order = found[:n]
+        good = len(set(order)) == n and found == order * (len(found) // n)
+        out[one] = _hash(*order) if good else None
+    return out
+
+
+def classes(pages: list[Page]) -> dict[tuple[int, ...], list[int]]:
+    """Valid equivalence classes of roles by occurrence vector."""
     counts = [Counter(role for role, _ in p.tokens) for p in pages]
-    vectors: dict[tuple, np.ndarray] = {}
-    for k, c in enumerate(counts):
-        for role, n in c.items():
-            vectors.setdefault(role, np.zeros(len(pages), np.int32))[k] = n
-    groups: dict[bytes, list[tuple]] = {}
+    vectors = {role: tuple(c[role] for c in counts) for role in {r for c in counts for r in c}}
+    numbers = {v: k for k, v in enumerate(set(vectors.values()))}
+    classed = {role: numbers[v] for role, v in vectors.items()}
+    orders: dict[int, set] = {}
+    for p in pages:
+        for one, order in rounds([r for r, _ in p.tokens], classed).items():
+            orders.setdefault(one, set()).add(order)
+    out: dict[tuple[int, ...], list[int]] = {}
     for role, v in vectors.items():
-        groups.setdefault(v.tobytes(), []).append(role)
-    out = {}
-    for key, roles in groups.items():
-        inside, order = set(roles), None
-        for p in pages:
-            seen = [role for role, _ in p.tokens if role in inside]
-            round_ = seen[: len(roles)]
-            if seen and order is None and len(set(round_)) == len(roles):
-                order = round_
-            if seen and (order is None or seen != order * (len(seen) // len(roles))):
-                break
-        else:
-            out[tuple(np.frombuffer(key, np.int32).tolist())] = order or roles
+        if len(orders[numbers[v]]) == 1 and None not in orders[numbers[v]]:
+            out.setdefault(v, []).append(role)
     return out
 
 
-def template(pages: list[Page]) -> set[tuple]:
+def nest(roles: list[tuple[int, int, int, bool]]) -> set[int]:
+    """The template from ``(role, role above, class, once on every page)`` of the roles in valid classes on most
+    pages, and of those of invalid ones with class None: the frame and what is nested below it."""
+    frame = {role for role, _, one, once in roles if once and one is not None}
+    above, sizes = {r[0]: r[1] for r in roles}, Counter(r[2] for r in roles)
+    below: dict[int, bool] = {}
+    for start in above:
+        way, at = [], start
+        while at in above and at not in below:
+            way.append(at)
+            at = above[at]
+        inside = below.get(at, False) or at in frame
+        for role in reversed(way):
+            below[role] = inside
+            inside = inside or role in frame
+    return frame | {role for role, _, one, _ in roles if one is not None and sizes[one] > 1 and below[role]}
+
+
+def template(pages: list[Page]) -> set[int]:
     """Roles of the template: the frame that every page has once, and the valid classes nested in it."""
-    found = classes(pages)
-    frame = {role for vector, roles in found.items() if set(vector) == {1} for role in roles}
-    for vector, roles in found.items():
-        # Nested: its elements lie below the frame, and it is frequent or large enough not to be chance.
-        if sum(1 for n in vector if n) * 2 > len(pages) and len(roles) > 1:
-            frame |= {r for r in roles if any(tuple(r[:k]) in frame for k in range(1, len(r)))}
-    return frame
-
-
-def slots(page: Page, frame: set[tuple]) -> list[tuple[tuple, list[tuple[str, Element, bool]]]]:
-    """The runs between template tokens, with the template token that each slot follows."""
-    out, at, last = [], 0, ()
-    for role, place in page.tokens:
+    above = {role: up for p in pages for role, up in p.above.items()}
+    valid = {role: (k, set(v) == {1}) for k, (v, roles) in enumerate(classes(pages).items()) for role in roles}
+    seen = Counter(role for p in pages for role in p.above)
+    return nest([(r, above[r], *valid.get(r, (None, False))) for r, n in seen.items() if 2 * n > len(pages)])
+
+
+def slots(tokens: list[tuple[int, int]], n: int, frame: set[int]) -> list[tuple[int | None, int, int]]:
+    """The stretches of the ``n`` runs between template tokens, with the template token that each follows."""
+    out, at, last = [], 0, None
+    for role, place in tokens:
         if role in frame:
             if place > at:
-                out.append((last, page.runs[at:place]))
+                out.append((last, at, place))
                 at = place
             last = role
-    if len(page.runs) > at:
-        out.append((last, page.runs[at:]))
+    if n > at:
+        out.append((last, at, n))
     return out
 
 
+def marks(page: Page) -> list[int]:
+    """A hash for each run; 0 for blank runs and those that aren't main text by their elements."""
+    return [0 if e.noise or not text.strip() else _hash(*text.split()) for text, e, _ in page.runs]
+
+
+def contents(tokens: list[tuple[int, int]], runs: list[int], frame: set[int]) -> list[tuple[int, int, int]]:
+    """``(template token, hash of the slot's text, 1 if it is the token's first on the page else 0)`` of a page's
+    slots that have a text."""
+    out, seen = [], set()
+    for after, a, b in slots(tokens, len(runs), frame):
+        texts = [m for m in runs[a:b] if m]
+        if after is not None and texts:
+            out.append((after, _hash(*texts), int(after not in seen)))
+            seen.add(after)
+    return out
+
+
+def judged(seen: int, texts: int, on: int, pages: int) -> bool | None:
+    """True: a slot seen so often, with so many distinct texts on so many pages, varies; False: it repeats; None: neither is shown."""
+    if seen >= LEAST_PAGES and 2 * texts <= seen:
+        return False
+    return True if 2 * on > pages and 2 * texts > seen else None
+
+
 def _text(runs: list[tuple[str, Element, bool]]) -> str:
     parts = []
     for text, _, fresh in runs:
@@ -201,35 +261,42 @@ def _text(runs: list[tuple[str, Element, bool]]) -> str:
     return " ".join("".join(parts).split())
 
 
+def choose(page: Page, frame: set[int], decided: dict[int, bool]) -> str:
+    """A page's main text by its host's template and ``decided``, which has True for slots that vary and False
+    for those that repeat."""
+    kinds = {e.main for _, e, _ in page.runs if not e.noise}
+    kind = "article" if "article" in kinds else "main" if "main" in kinds else ""
+    # Runs keep their block starts: a run that follows a skipped one starts a block.
+    kept, skipped = [], True
+    for after, a, b in slots(page.tokens, len(page.runs), frame):
+        varies = decided.get(after)
+        for text, e, fresh in page.runs[a:b]:
+            stays = e.main == kind or varies if kind else varies is not False
+            if e.noise or not stays:
+                skipped = skipped or fresh
+                continue
+            kept.append((text, e, fresh or skipped))
+            skipped = False
+    return _text(kept)
+
+
 def extract(htmls: list[str | None]) -> list[str]:
     """Main texts of pages of one host."""
     pages = [read(h or "") for h in htmls]
-    frame = template(pages)
-    cut = [slots(p, frame) for p in pages]
-    where = {e.main for p in pages for _, e, _ in p.runs if not e.noise}
-    constant: set[tuple] = set()
-    if "article" not in where and "main" not in where and len(pages) > 2:
-        # Without an article element: a slot whose text is the same on most pages belongs to the template.
-        texts: dict[tuple, Counter] = {}
-        for one in cut:
-            for after, runs in one:
-                texts.setdefault(after, Counter())[_text(runs)] += 1
-        constant = {after for after, c in texts.items() if c.most_common(1)[0][1] * 2 > len(pages)}
-    out = []
-    for one in cut:
-        kinds = {e.main for _, runs in one for _, e, _ in runs if not e.noise}
-        kind = "article" if "article" in kinds else "main" if "main" in kinds else ""
-        # Runs keep their block starts: a run that follows a skipped one starts a block.
-        kept, skipped = [], True
-        for after, runs in one:
-            for text, e, fresh in runs:
-                if e.noise or e.main != kind or (not kind and after in constant):
-                    skipped = skipped or fresh
-                    continue
-                kept.append((text, e, fresh or skipped))
-                skipped = False
-        out.append(_text(kept))
-    return out
+    distinct = list({h or "": p for h, p in zip(htmls, pages)}.values())
+    frame: set[int] = set()
+    decided: dict[int, bool] = {}
+    if len(distinct) >= LEAST_PAGES:
+        frame = template(distinct)
+        found: dict[int, list[tuple[int, int]]] = {}
+        for p in distinct:
+            for after, text, first in contents(p.tokens, marks(p), frame):
+                found.setdefault(after, []).append((text, first))
+        for after, seen in found.items():
+            one = judged(len(seen), len({t for t, _ in seen}), sum(k for _, k in seen), len(distinct))
+            if one is not None:
+                decided[after] = one
+    return [choose(p, frame, decided) for p in pages]
 
 
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

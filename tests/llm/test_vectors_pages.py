@@ -72,6 +72,25 @@ def test_template_classes_nest():
     assert len(template.template(pages)) == 8
 
 
+SITE = """<html><body><div class=strip>{strip}</div><article><h2>Teaser {n}</h2></article><div class=story><p>Story {n} a.</p>
+<p>Story {n} b.</p></div><div class=legal>All rights</div></body></html>"""
+BARE = "<html><body><div class=strip>{strip}</div><div class=story><p>Bare {n} a.</p><p>Bare {n} b.</p></div><div class=legal>All rights</div></body></html>"
+
+
+def test_template_decides(monkeypatch):
+    # The strip takes turns among few texts, so it repeats; what varies stays, beside an article too.
+    strips = ["Up", "Down"]
+    pages = [SITE.format(n=n, strip=strips[n % 2]) for n in range(8)]
+    want = [f"Teaser {n} Story {n} a. Story {n} b." for n in range(8)]
+    assert template.extract(pages) == want
+    bare = [BARE.format(n=n, strip=strips[n % 2]) for n in range(8)]
+    assert template.extract(bare) == [f"Bare {n} a. Bare {n} b." for n in range(8)]
+    # Copies of a page are one page of the template: they don't make its own text a repeated one.
+    assert template.extract([*bare, *[bare[0]] * 20])[:8] == template.extract(bare)
+    monkeypatch.setattr(template, "template", lambda pages: set())
+    assert template.extract(pages) != want and template.extract(bare)[0].startswith("Up")
+
+
 def test_main_text_of_table(spark):
     got = {r["page_id"]: r for r in template.main_text(spark.read.parquet(f"{SF}/pages.parquet")).collect()}
     for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
