@@ -2,7 +2,7 @@
 
 Every tag and close tag of a page is a token whose role is its name, its class, id and role words, and the path
 of open elements above it. Tokens with the same occurrence vector (how often they occur on each distinct page
-of the block) form an equivalence class. A class is valid if its tokens come in one order, round after round, on
+of the host) form an equivalence class. A class is valid if its tokens come in one order, round after round, on
 every page; the valid classes that occur once on every page are the template's outer frame, and valid classes
 of two tokens or more that are on most pages and lie below the frame are nested in it. What is left between
 template tokens are the slots' contents.
@@ -13,8 +13,9 @@ main element) stays even if it repeats, beside it only slots stay that are on mo
 a menu, header, footer, sidebar, notice, advert, form, comment list or the like, by its name or its class, id
 and role words, goes. Hosts of one or two distinct pages have no template, so only the evidence counts.
 
-Pages are dealt by range of (host, hash of the page), so a host with any share of the pages spreads over many
-tasks, and blocks are cut from the sorted pages, so a task holds one block at a time.
+Occurrence vectors are gathered over the whole host: a role's vector is held as the exclusive-or of hashes of
+(page, count), so it is summed before the shuffle and no task holds a host. Pages are then joined with their
+host's decisions by host; AQE broadcasts the small side or splits a host with many pages.
 
 Edge cases: a null html gives an empty text; a null url is a host of its own; null or repeated ids stay as
 they are; equal pages of a host count once in its template; unclosed, misnested and unknown elements are read
@@ -35,10 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import query, table
+from .common import dropped, query, stored, table
 
-BLOCK_PAGES = 256
-BLOCK_CHARS = 4_000_000
 LEAST_PAGES = 3
 
 # Elements of HTML by what they do to text, and words that mark what isn't main text.
@@ -299,35 +298,95 @@ def extract(htmls: list[str | None]) -> list[str]:
     return [choose(p, frame, decided) for p in pages]
 
 
+def decisions(rows: DataFrame) -> DataFrame:
+    """``(_host, frame, slots, varies)`` for each host with a template, from ``(_host, html)``."""
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pages = [read(h or "") for h in batch.column(2).to_pylist()]
+            counts = [Counter(role for role, _ in p.tokens) for p in pages]
+            held = [[r for r, _ in p.tokens] for p in pages], [[k for _, k in p.tokens] for p in pages], [marks(p) for p in pages]
+            kinds = [list(c) for c in counts], [list(c.values()) for c in counts], [[p.above[r] for r in c] for p, c in zip(pages, counts)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1),
+                 *[pa.array(x, pa.list_(t)) for x, t in zip((*held, *kinds), (pa.int64(), pa.int32(), pa.int64()) * 2)]],
+                ["_host", "_h", "tokens", "places", "runs", "roles", "times", "above"])
+
+    parsed = rows.select("_host", F.xxhash64(F.coalesce("html", F.lit(""))).alias("_h"), "html").mapInArrow(
+        parse, "_host string, _h long, tokens array<long>, places array<int>, runs array<long>, roles array<long>, times array<int>, above array<long>")
+    # Equal pages count once, and hosts of fewer than LEAST_PAGES have no template.
+    pages = stored(parsed.dropDuplicates(["_host", "_h"]), "page-tokens")
+    hosts = stored(pages.groupBy("_host").agg(F.count("*").alias("pages")).where(F.col("pages") >= LEAST_PAGES), "hosts")
+    each = pages.select("_host", "_h", F.explode(F.arrays_zip("roles", "times", "above")).alias("r")).select("_host", "_h", "r.*")
+    vectors = each.groupBy("_host", F.col("roles").alias("role")).agg(
+        F.min("above").alias("above"), F.bit_xor(F.xxhash64("_h", "times")).alias("vector"), F.count("*").alias("n"),
+        F.max("times").alias("most"))
+    # At most twice as many roles as a page has tokens are on most pages of a host.
+    common = vectors.join(hosts, "_host").where("2 * n > pages").withColumn("once", F.expr("most = 1 AND n = pages"))
+    classed = stored(common.groupBy("_host").agg(F.collect_list(F.struct("role", "above", "vector", "once")).alias("common")), "common-roles")
+
+    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for host, tokens, common in zip(*[c.to_pylist() for c in batch.columns]):
+                out += [(host, *x) for x in rounds(tokens, {c["role"]: c["vector"] for c in common}).items()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))],
+                                             ["_host", "vector", "ordered"])
+
+    orders = pages.join(classed, "_host").select("_host", "tokens", "common").mapInArrow(order, "_host string, vector long, ordered long")
+    valid = orders.groupBy("_host", "vector").agg(
+        F.min("ordered").alias("a"), F.max("ordered").alias("b"), F.count_if(F.col("ordered").isNull()).alias("bad"))
+    valid = valid.where("bad = 0 AND a = b").groupBy("_host").agg(F.collect_list("vector").alias("valid"))
+
+    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for common, valid in zip(*[c.to_pylist() for c in batch.columns[1:]]):
+                good = set(valid or ())
+                out.append(sorted(nest([(c["role"], c["above"], c["vector"] if c["vector"] in good else None, c["once"]) for c in common])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["_host", "frame"])
+
+    templates = stored(classed.join(valid, "_host", "left").select("_host", "common", "valid").mapInArrow(
+        frames, "_host string, frame array<long>"), "templates")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for host, tokens, places, runs, frame in zip(*[c.to_pylist() for c in batch.columns]):
+                out += [(host, *x) for x in contents(list(zip(tokens, places)), runs, set(frame))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int32()))],
+                ["_host", "slot", "content", "first"])
+
+    cuts = pages.join(templates, "_host").select("_host", "tokens", "places", "runs", "frame").mapInArrow(
+        cut, "_host string, slot long, content long, first int")
+    # Summed by (slot, text) first, so that a slot of a large host spreads.
+    texts = cuts.groupBy("_host", "slot", "content").agg(F.count("*").alias("seen"), F.sum("first").alias("on"))
+    told = texts.groupBy("_host", "slot").agg(F.sum("seen").alias("seen"), F.count("*").alias("texts"), F.sum("on").alias("on"))
+    told = told.join(hosts, "_host")
+    varies = F.expr(f"CASE WHEN seen >= {LEAST_PAGES} AND 2 * texts <= seen THEN false WHEN 2 * on > pages AND 2 * texts > seen THEN true END")
+    told = told.withColumn("varies", varies).where("varies IS NOT NULL").groupBy("_host").agg(
+        F.collect_list(F.struct("slot", "varies")).alias("s"))
+    out = stored(templates.join(told, "_host", "left").select("_host", "frame", "s.slot", "s.varies"), "decisions")
+    dropped(pages)
+    return out
+
+
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """``(page_id, url, text, n_chars)`` for every page."""
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
-    host = F.coalesce(F.regexp_extract(F.lower("url"), r"^(?:[a-z][a-z0-9+.-]*:)?//([^/?#:]*)", 1), F.lit(""))
-    rows = rows.withColumns({"_host": host, "_h": F.xxhash64("page_id", "url")})
-    dealt = rows.repartitionByRange("_host", "_h").sortWithinPartitions("_host", "_h")
+    rows = rows.withColumn("_host", F.coalesce(F.regexp_extract(F.lower("url"), r"^(?:[a-z][a-z0-9+.-]*:)?//([^/?#:]*)", 1), F.lit("")))
+    whole = rows.join(decisions(rows.select("_host", "html")), "_host", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        host, chars = None, 0
-
-        def emit() -> pa.RecordBatch:
-            texts = extract([h for _, _, h in held])
-            return pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in held], pa.int64()), pa.array([r[1] for r in held], pa.string()),
-                 pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
-
         for batch in batches:
-            for *row, at in zip(*[batch.column(c).to_pylist() for c in ("page_id", "url", "html", "_host")]):
-                if held and (at != host or len(held) >= BLOCK_PAGES or chars > BLOCK_CHARS):
-                    yield emit()
-                    held, chars = [], 0
-                host = at
-                held.append(tuple(row))
-                chars += len(row[2] or "")
-        if held:
-            yield emit()
-
-    return dealt.select("page_id", "url", "html", "_host").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+            texts = [choose(read(h or ""), set(frame or ()), dict(zip(slot or (), varies or ())))
+                     for h, frame, slot, varies in zip(*[c.to_pylist() for c in batch.columns[2:]])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
+                                             ["page_id", "url", "text", "n_chars"])
+
+    return whole.select("page_id", "url", "html", "frame", "slot", "varies").mapInArrow(
+        run, "page_id long, url string, text string, n_chars long")
 
 
 @query("op10_extract")

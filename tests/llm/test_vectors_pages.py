@@ -91,6 +91,20 @@ def test_template_decides(monkeypatch):
     assert template.extract(pages) != want and template.extract(bare)[0].startswith("Up")
 
 
+def test_template_is_of_the_whole_host(spark):
+    # One page with an article among 600 without: at any number of partitions the others lose what they share.
+    tuned(spark)
+    rows = [(n, f"http://h/{n}", BARE.format(n=n, strip="Welcome")) for n in range(600)]
+    rows += [(600, "http://h/a", SITE.format(n=600, strip="Welcome")), (601, "http://other/", BARE.format(n=601, strip="Welcome"))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for parts in (1, 7):
+        got = {r["page_id"]: r["text"] for r in template.main_text(pages.repartition(parts)).collect()}
+        assert all(got[n] == f"Bare {n} a. Bare {n} b." for n in range(600))
+        assert got[600] == "Teaser 600 Story 600 a. Story 600 b."
+        assert got[601] == "Welcome Bare 601 a. Bare 601 b. All rights"
+    assert [got[n] for n in range(601)] == template.extract([r[2] for r in rows[:601]])
+
+
 def test_main_text_of_table(spark):
     got = {r["page_id"]: r for r in template.main_text(spark.read.parquet(f"{SF}/pages.parquet")).collect()}
     for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
