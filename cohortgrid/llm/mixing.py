@@ -72,12 +72,13 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     rows = rows.withColumn("_whole", F.floor("_e")).withColumn("_p", F.col("_e") - F.col("_whole"))
     odds, some = F.col("_p") / (1 - F.col("_p")), F.col("_p") > 0
     rows = rows.withColumn("_q", F.when(some, F.col("_u") / (1 - F.col("_u")) / odds))
-    # A place in (0, 1) that rises with the rank and is even when weights are: the bucket comes from it.
+    # A place in (0, 1) that rises with the rank and is even when weights are: the bucket comes from it. Documents
+    # without a rank, as all of a capped source, are spread by their random number; they take no words from it.
     scaled = F.col("_q") * F.when(usual > 0, usual / (1 - usual)).otherwise(F.lit(1.0))
-    rows = rows.withColumn("_bucket", F.floor(scaled / (1 + scaled) * F.ceil(F.col("_n") / BUCKET)))
-    light = rows.select(F.col(source).alias("_source"), "_bucket", "size", "_whole", "target")
+    rows = rows.withColumn("_bucket", F.floor(F.coalesce(scaled / (1 + scaled), F.col("_u")) * F.ceil(F.col("_n") / BUCKET)))
+    light = rows.select(F.col(source).alias("_source"), "_bucket", "size", "_p", "_whole", "target")
     sums = stored(light.groupBy("_source", "_bucket").agg(
-        F.sum(F.when(F.col("_bucket").isNotNull(), F.col("size")).otherwise(F.lit(0))).alias("_words"),
+        F.sum(F.when(some, F.col("size")).otherwise(F.lit(0))).alias("_words"),
         F.sum(F.col("_whole") * F.col("size")).alias("_certain"), F.first("target").alias("target")), "mix-buckets")
     ahead = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(

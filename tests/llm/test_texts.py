@@ -267,6 +267,23 @@ def test_mix(documents, say, monkeypatch):
     assert mixing.mix(documents()).count() == 0
 
 
+def test_mix_spreads_capped_sources(documents, say, monkeypatch):
+    # Source a stops at three times its size, so none of its documents has a rank; still no bucket holds them all.
+    monkeypatch.setattr(mixing, "BUCKET", 20)
+    held = {}
+
+    def keep(df, purpose, stored=mixing.stored):
+        held[purpose] = stored(df, purpose)
+        return held[purpose]
+
+    monkeypatch.setattr(mixing, "stored", keep)
+    rows = [(k, say(k, 10), "a") for k in range(200)] + [(1000 + k, say(k, 100), "b") for k in range(300)]
+    got = mixing.mix(documents(*rows)).collect()
+    assert all(r["copies"] == 3 for r in got if r["source"] == "a")
+    sums = held["mix-buckets"].where("_source = 'a'").collect()
+    assert len(sums) == 10 and sum(r["_words"] for r in sums) == 0
+
+
 def test_shard(documents, say):
     rows = [(k, say(k, 20 + k * 7 % 300)) for k in range(800)] + [(1000 + k, say(1, 50)) for k in range(400)] + [(None, None), (3000, ""), (5, say(5, 55))]
     got = sharding.shard(documents(*rows).withColumn("shard", F.lit("clash")).drop("lang")).collect()
