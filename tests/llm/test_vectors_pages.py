@@ -152,3 +152,29 @@ def test_pipeline_stages(spark, documents, say):
     for _, stage in pipeline.STAGES:
         empty = stage(spark, empty, SF)
     assert empty.count() == 0
+
+
+def test_pipeline_near_dedup(spark, documents, say):
+    import corpus_pipeline as pipeline
+    from cohortgrid.llm import jaccard
+
+    def changed(seed, n, *at):
+        w = say(seed, n).split()
+        for k in at:
+            w[k] = "other"
+        return " ".join(w)
+
+    def jac(a, b):
+        a, b = ({tuple(t.lower().split()[k:k + 5]) for k in range(len(t.split()) - 4)} for t in (a, b))
+        return len(a & b) / len(a | b)
+
+    # 20 pairs above the bar and 20 just below it.
+    rows = [(k, say(k + 1, 200)) for k in range(40)]
+    rows += [(100 + k, changed(k + 1, 200, 20, 60, 100, 140) if k < 20 else changed(k + 1, 200, 20, 60, 100, 140, 180)) for k in range(40)]
+    # A chain: the first and the last are alike only by what lies between.
+    rows += [(300 + k, changed(77, 200, *range(10, 10 + 40 * k, 40))) for k in range(5)]
+    assert all((jac(rows[k][1], rows[40 + k][1]) >= 0.8) == (k < 20) for k in range(40)) and jac(rows[80][1], rows[83][1]) >= 0.8
+    want = {*range(40), *range(120, 140), 300}
+    assert {r["doc_id"] for r in pipeline.near_dedup(spark, documents(*rows), SF).collect()} == want
+    same = jaccard.bands(jaccard.shingles(rows[0][1])) == jaccard.bands(jaccard.shingles(rows[40][1]))
+    assert same.any() and not same.all()
