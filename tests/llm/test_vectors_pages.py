@@ -178,3 +178,11 @@ def test_pipeline_near_dedup(spark, documents, say):
     assert {r["doc_id"] for r in pipeline.near_dedup(spark, documents(*rows), SF).collect()} == want
     same = jaccard.bands(jaccard.shingles(rows[0][1])) == jaccard.bands(jaccard.shingles(rows[40][1]))
     assert same.any() and not same.all()
+
+
+def test_pipeline_near_dedup_of_shared_ids(spark, documents, say):
+    import corpus_pipeline as pipeline
+
+    rows = [(1, say(1, 60)), (2, say(2, 60)), (2, say(1, 60) + " x"), (2, say(3, 60)), (None, say(1, 60))]
+    got = sorted(((str(r["doc_id"]), r["text"]) for r in pipeline.near_dedup(spark, documents(*rows), SF).collect()))
+    assert got == sorted([("1", say(1, 60)), ("2", say(2, 60)), ("2", say(3, 60)), ("None", say(1, 60))])
