@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from . import newton
 from .mlprep import fit_scaler, fold_report, fold_validity, scale, user_folds, with_class_weight
 
 SEED = 42
@@ -97,9 +98,12 @@ def louo_predict(name: str, df: DataFrame, key: str, columns: list[str], scheme:
     """User-grouped cross-validation scores, pooled over folds: each user left out (``scheme="user"``) or
     groups of users (``"grouped"``, ``folds`` of them).
 
-    Trains one distributed model per fold, ``parallelism`` at a time; a fold's scores are written to the shared
-    folder as it ends. Folds whose training rows lack a class are skipped, as one grouping over all folds tells.
+    Logistic models of all folds are solved together (``newton.leave_one_out``). Other models train one
+    distributed fit per fold, ``parallelism`` at a time; a fold's scores are written to the shared folder as it ends.
+    Folds whose training rows lack a class are skipped, as one grouping over all folds tells.
     """
+    if name == "lr" and set(params) <= {"regParam"}:
+        return newton.leave_one_out(user_folds(df, scheme, folds), key, columns, "fold", reg=params.get("regParam", newton.REG))
     folded = materialize(user_folds(df, scheme, folds), "folds")
     valid = fold_validity(folded, train_only=True).where("usable").orderBy("fold")
     ids = [r.fold for r in valid.select("fold").collect()]

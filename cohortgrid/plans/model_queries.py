@@ -312,6 +312,15 @@ def louo_predictions(b):
     return models.louo_predict("lr", rows, ID, columns)
 
 
+@query("louo_membership", sql("""SELECT e.survey_response_id, CAST(e.app_user_id AS VARCHAR) AS fold, e.y AS y_true FROM (
+  SELECT survey_response_id, app_user_id, CAST(risk_label = 'at_risk' AS INT) AS y FROM combined) e
+  JOIN (SELECT app_user_id FROM (SELECT app_user_id, sum(y) AS p, sum(1 - y) AS q, sum(sum(y)) OVER () AS ps, sum(sum(1 - y)) OVER () AS qs FROM (
+    SELECT app_user_id, CAST(risk_label = 'at_risk' AS INT) AS y FROM combined) GROUP BY 1) WHERE ps > p AND qs > q) u USING (app_user_id)""", COMBINED_VIEWS, COMBINED))
+def louo_membership(b):
+    """Who is scored in which fold with which truth, from the scores of every user's model."""
+    return louo_predictions(b).select(ID, "fold", "y_true")
+
+
 @query("rf_importance")
 def rf_importance(b):
     rows, columns = model_frame(b)

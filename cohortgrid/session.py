@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,6 +42,12 @@ def local_session(cores: int | str = 8, memory: str = "12g", shuffle_partitions:
     return apply_runtime_conf(spark)
 
 
+def importable(spark: SparkSession) -> SparkSession:
+    """Let Python workers find this package where it is not installed."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[1]))
+    return spark
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for written tables.
 
