@@ -349,23 +349,30 @@ def sweep_pairs(spark, max_lookback: int) -> DataFrame:
     return sizes.where(F.col("lookback_hours") % F.col("subwindow_hours") == 0)
 
 
-def sweep_features(sessions: DataFrame, surveys: DataFrame, max_lookback: int = 30,
-                   reference_hour: int = REFERENCE_HOUR) -> DataFrame:
-    """Sub-window features of every sweep pair from one join at the longest lookback.
+def sweep_pieces(sessions: DataFrame, surveys: DataFrame, max_lookback: int = 30, reference_hour: int = REFERENCE_HOUR) -> DataFrame:
+    """``(survey_response_id, subwindow_hours, piece, _top, num_apps)`` for every sub-window size up to the longest
+    lookback, pieces with usage only. A piece depends on the size and its index, so it serves all lookbacks.
 
-    A piece depends on the sub-window size and its index only, so it is
-    computed once per size and then repeated for the lookbacks it divides.
-    Long form, pieces with usage only.
-    """
+    Usage is summed to (survey, hour, category, app) and dealt out by survey before it is repeated for the sizes, so
+    the repeated rows are grouped where they are made."""
     refs = reference_times(surveys, True, reference_hour).select("survey_response_id", "app_user_id", "ref_ts")
-    usage = aligned_usage(sessions, refs, max_lookback)
+    usage = aligned_usage(sessions, refs, max_lookback).groupBy("survey_response_id", "hour_age", "app_category", "app_name").agg(
+        F.sum("minutes").cast(EXACT).alias("minutes")).repartition("survey_response_id")
     usage = usage.withColumn("subwindow_hours", F.explode(F.sequence(F.lit(1), F.lit(max_lookback))))
     piece = F.floor(F.col("hour_age") / F.col("subwindow_hours")).cast("int")
     usage = usage.withColumn("piece", piece).where((F.col("piece") + 1) * F.col("subwindow_hours") <= max_lookback)
     keys = ["survey_response_id", "subwindow_hours", "piece"]
-    per_size = _per_category(usage.withColumn("_real", F.lit(1)), keys).groupBy(*keys).agg(
-        _top().alias("_top"), _app_count().alias("num_apps")
-    )
+    return _per_category(usage.withColumn("_real", F.lit(1)), keys).groupBy(*keys).agg(_top().alias("_top"), _app_count().alias("num_apps"))
+
+
+def sweep_features(sessions: DataFrame, surveys: DataFrame, max_lookback: int = 30,
+                   reference_hour: int = REFERENCE_HOUR) -> DataFrame:
+    """Sub-window features of every sweep pair from one join at the longest lookback.
+
+    A piece is computed once per size and then repeated for the lookbacks it divides. Long form, pieces with
+    usage only.
+    """
+    per_size = sweep_pieces(sessions, surveys, max_lookback, reference_hour)
     multiples = F.sequence((F.col("piece") + 1) * F.col("subwindow_hours"), F.lit(max_lookback), F.col("subwindow_hours"))
     return per_size.withColumn("lookback_hours", F.explode(multiples)).select(
         "survey_response_id", "lookback_hours", "subwindow_hours", "piece",
@@ -375,6 +382,24 @@ def sweep_features(sessions: DataFrame, surveys: DataFrame, max_lookback: int =
     )
 
 
+def sweep_vectors(sessions: DataFrame, surveys: DataFrame, levels: list[str], max_lookback: int = 30,
+                  reference_hour: int = REFERENCE_HOUR) -> DataFrame:
+    """``(survey_response_id, subwindow_hours, x)`` for every survey and size: piece by piece its minutes, its apps
+    and one 0/1 number for each level but the first; zeros where there was no usage. The features of a pair are the
+    first ``lookback / size`` pieces."""
+    pieces = sweep_pieces(sessions, surveys, max_lookback, reference_hour)
+    cells = [F.coalesce(F.col("_top.minutes"), F.lit(0.0)), F.col("num_apps").cast("double"),
+             *[F.coalesce((F.col("_top.category") == v).cast("double"), F.lit(0.0)) for v in levels[1:]]]
+    filled = pieces.groupBy("survey_response_id", "subwindow_hours").agg(
+        F.map_from_entries(F.collect_list(F.struct("piece", F.array(*cells)))).alias("held"))
+    sizes = F.explode(F.sequence(F.lit(1), F.lit(max_lookback)))
+    every = surveys.select("survey_response_id").withColumn("subwindow_hours", sizes).join(filled, ["survey_response_id", "subwindow_hours"], "left")
+    blank = F.array_repeat(F.lit(0.0), len(cells))
+    numbers = F.expr(f"sequence(0, {max_lookback} div subwindow_hours - 1)")
+    return every.select("survey_response_id", "subwindow_hours",
+                        F.flatten(F.transform(numbers, lambda i: F.coalesce(F.col("held")[i], blank))).alias("x"))
+
+
 def sweep_coverage(sessions: DataFrame, surveys: DataFrame, max_lookback: int = 30,
                    reference_hour: int = REFERENCE_HOUR) -> DataFrame:
     """The sweep grid with, per pair, its piece count, the surveys with usage and the pieces filled."""

@@ -8,11 +8,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import experiments, lookback, metrics, mlprep, models
+from ..operators import experiments, lookback, metrics, mlprep, models, sweep
 from ..session import materialize
 from .align_queries import (
-    _OWN_TIME, MULTI_SLOTS, COMBINED, COMBINED_VIEWS, COUNTS, HOURS, LABEL, LOOKBACK, METRIC_OUT, SIZE, STD_PARTS, STD_SLOTS, SURVEYS, TEMPORAL,
-    TEMPORAL_SPLIT, combined_of, hourly_of, metric_parts, slot_columns, slot_sql, standard_slots, training_of,
+    _OWN_TIME, MULTI_SLOTS, COMBINED, COMBINED_VIEWS, COUNTS, HOURS, LABEL, LOOKBACK, METRIC_OUT, ONE_PER_DAY, SIZE, STD_PARTS, STD_SLOTS,
+    SURVEYS, SWEEP_PARTS, TEMPORAL, TEMPORAL_SPLIT, combined_of, hourly_of, metric_parts, one_per_day_of, slot_columns, slot_sql, standard_slots, training_of,
 )
 from .grid_queries import EVENTS, GRID_PARTS
 from .registry import query, sql
@@ -353,6 +353,42 @@ def tuned_lr(b):
         table, "draw int, elasticNetParam double, regParam double, recall double, best boolean, tp long, fp long, fn long, tn long")
 
 
+# -------------------------------------------------------------- sweep results
+
+_SWEEP_SPLIT = {"one_per_day": ONE_PER_DAY, "grid": SWEEP_PARTS["grid"], "s": _SPLIT.format(t="one_per_day"), "split": SPLIT_PARTS["split"]}
+
+
+def sweep_table(b, names: tuple[str, ...] = sweep.MODELS) -> DataFrame:
+    return sweep.sweep_results(b.category_sessions, one_per_day_of(b), LABEL, "at_risk", _LEVELS[:-1], names)
+
+
+@query("sweep_results")
+def sweep_results(b):
+    """Both models of every pair of the grid, with supports and metrics."""
+    return sweep_table(b)
+
+
+@query("sweep_supports", sql("""SELECT lookback_hours, subwindow_hours, n_samples, n_train, n_test, support_positive, support_negative FROM grid CROSS JOIN (
+  SELECT count(*) AS n_samples, count(*) FILTER (NOT is_test) AS n_train, count(*) FILTER (is_test) AS n_test,
+    count(*) FILTER (is_test AND risk_label = 'at_risk') AS support_positive, count(*) FILTER (is_test AND risk_label <> 'at_risk') AS support_negative FROM split)""",
+                             SURVEYS, _SWEEP_SPLIT))
+def sweep_supports(b):
+    """Keys and supports, as the trained models' confusion counts give them."""
+    return sweep_table(b, ("lr",)).select(
+        "lookback_hours", "subwindow_hours", "n_samples", "n_train", "n_test", "support_positive", "support_negative")
+
+
+@query("sweep_f1_heatmap")
+def sweep_f1_heatmap(b):
+    """Mean F1 over models by sub-window and lookback."""
+    return metrics.pivot_metric(sweep_table(b, ("lr",)), "subwindow_hours", "lookback_hours", list(range(1, 31)), "f1")
+
+
+@query("sweep_best")
+def sweep_best(b):
+    return sweep.best_pairs(sweep_table(b, ("lr",)))
+
+
 # --------------------------------------------------------------- experiments
 
 _RANKED = """SELECT *, row_number() OVER (PARTITION BY window_hours, risk_label ORDER BY md5(concat('42|', survey_response_id)), survey_response_id) AS rs,
