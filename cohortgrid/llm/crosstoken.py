@@ -43,10 +43,12 @@ from .packing import Store
 
 RANGE = 1 << 16
 FAN = 16
+RANGES_PER_TASK = 8
 BLOCK = 4 << 20
 UNITS = 400_000
 SLICE = 1 << 20
 WIDE = 256
+JOINED = 256
 # A blank between two other characters than white space: both tokenizers begin a token with it, and none crosses it.
 PARTED = re.compile(r"(?<=\S) (?=\S)")
 
@@ -86,6 +88,9 @@ class Tokenizers:
         self.n_b = len(pieces)
         if len(self.a_bytes) * self.n_b >= 1 << 32:
             raise ValueError("a pair of ids has to fit in 32 bits")
+        # Every id with each of the marks that may follow it.
+        ids = range(max(len(self.a_bytes), self.n_b))
+        self.marked = np.array([f"{i}{mark}" for i in ids for mark in ",|;\n"], object)
         self.a_size, self.b_size = (np.array([len(t) for t in x], np.int64) for x in (self.a_bytes, self.b_bytes))
 
     def encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
@@ -194,42 +199,83 @@ class Memory:
         self.table = np.zeros((1 << 12, 5), np.int64)  # A tokens, B tokens, groups, links, exact
 
     def learn(self, units: list[str]) -> None:
-        a, b = self.t.encode(units)
-        codes, times, sizes, counts, first = [], [], [], [], len(self.text)
-        n_b, a_size, b_size = self.t.n_b, self.t.a_size, self.t.b_size
-        for unit, x, y in zip(units, a, b):
-            self.known[unit] = len(self.text)
-            if not self.t.exact(unit, x, y):
-                self.text.append("")
-                counts.append((0, 0, 0, 0, False))
-                sizes.append(0)
-                continue
-            if len(x) == 1 or len(y) == 1:
-                found = [(x, y, 0)]
+        """Units are encoded many at a time, as they would stand in a text: nothing crosses the blanks between them.
+        Those with white space at an end, of a text that isn't given back byte by byte, or with groups of very many
+        links, go one by one."""
+        single = [u for u in units if u[0].isspace() or u[-1].isspace()]
+        inner = [u for u in units if not (u[0].isspace() or u[-1].isspace())]
+        joined = [inner[at: at + JOINED] for at in range(0, len(inner), JOINED)]
+        texts = [" ".join(some) for some in joined]
+        many, a, b = [], [], []
+        for some, text, x, y in zip(joined, texts, *self.t.encode(texts)):
+            if self.t.exact(text, x, y):
+                many += some
+                a += x
+                b += y
             else:
-                found = list(groups(x, list(accumulate(a_size[x].tolist())), y, list(accumulate(b_size[y].tolist()))))
-            n, links = 0, 0
-            for p, q, _ in found:
-                links += len(p) * len(q)
-                if len(p) * len(q) <= WIDE:
-                    pairs = [i * n_b + j for i in p for j in q]
-                    codes += pairs
-                    times += [1] * len(pairs)
-                    n += len(pairs)
-                else:
-                    pairs = linked(p, q, n_b)
-                    codes += pairs.keys()
-                    times += pairs.values()
-                    n += len(pairs)
-            self.text.append(";".join([written(p, q) for p, q, _ in found]))
-            counts.append((len(x), len(y), len(found), links, True))
-            sizes.append(n)
-        at = np.array(sizes, np.int64)
-        self.codes.add(np.array(codes, np.uint32), at)
-        self.times.add(np.array(times, np.uint32), at)
+                single += some
+        if many:
+            single += self._learn_many(many, np.array(a, np.int64), np.array(b, np.int64))
+        if single:
+            for unit, x, y in zip(single, *self.t.encode(single)):
+                self._learn_one(unit, x, y)
+
+    def _add(self, units: list[str], texts: list[str], counts: np.ndarray, codes: np.ndarray, times: np.ndarray, sizes: np.ndarray) -> None:
+        first = len(self.text)
+        self.known.update(zip(units, range(first, first + len(units))))
+        self.text += texts
         while len(self.table) < len(self.text):
             self.table = np.concatenate((self.table, np.zeros_like(self.table)))
         self.table[first: len(self.text)] = counts
+        self.codes.add(codes.astype(np.uint32), sizes)
+        self.times.add(times.astype(np.uint32), sizes)
+
+    def _learn_one(self, unit: str, a: list[int], b: list[int]) -> None:
+        t, pairs, found, links = self.t, {}, [], 0
+        exact = t.exact(unit, a, b)
+        if exact:
+            found = list(groups(a, list(accumulate(t.a_size[a].tolist())), b, list(accumulate(t.b_size[b].tolist()))))
+            for p, q, _ in found:
+                links += len(p) * len(q)
+                for code, n in linked(p, q, t.n_b).items():
+                    pairs[code] = pairs.get(code, 0) + n
+        counts = np.array([[len(a), len(b), len(found), links, 1] if exact else [0] * 5])
+        self._add([unit], [";".join([written(p, q) for p, q, _ in found])], counts, np.array(list(pairs), np.int64),
+                  np.array(list(pairs.values()), np.int64), np.array([len(pairs)]))
+
+    def _learn_many(self, units: list[str], a: np.ndarray, b: np.ndarray) -> list[str]:
+        """Units whose ids are ``a`` and ``b``, one after another; returns those that are left to do."""
+        t = self.t
+        ends = np.cumsum(np.fromiter((len(u.encode()) + 1 for u in units), np.int64, len(units)))
+        a_ends, b_ends = np.cumsum(t.a_size[a]), np.cumsum(t.b_size[b])
+        common = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        if not np.isin(ends, common, assume_unique=True).all():
+            return units
+        of_a, of_b, unit = np.searchsorted(common, a_ends), np.searchsorted(common, b_ends), np.searchsorted(ends, common)
+        n_a, n_b = np.bincount(of_a, minlength=len(common)), np.bincount(of_b, minlength=len(common))
+        links = n_a * n_b
+        n = len(units)
+        wide = np.bincount(unit, links > WIDE, n) > 0
+        counts = np.stack([np.bincount(unit, w, n) for w in (n_a, n_b, np.ones(len(common)), links, np.zeros(len(common)))], axis=1).astype(np.int64)
+        counts[:, 4] = 1
+        # Each A token with all B tokens of its group.
+        use = np.flatnonzero(~wide[unit[of_a]])
+        group, many = of_a[use], n_b[of_a[use]]
+        upto = np.cumsum(many)
+        place = np.repeat((np.cumsum(n_b) - n_b)[group] - upto + many, many) + np.arange(int(many.sum()))
+        codes = np.repeat(a[use], many) * t.n_b + b[place]
+        # The written groups: A before B, and after each id what comes before the next.
+        key = np.concatenate((2 * of_a, 2 * of_b + 1))
+        order = np.argsort(key, kind="stable")
+        key, ids = key[order], np.concatenate((a, b))[order]
+        last = np.append(key[1:] != key[:-1], True)
+        closes = np.append(unit[1:] != unit[:-1], True)[key >> 1]
+        mark = np.where(~last, 0, np.where(key % 2 == 0, 1, np.where(closes, 3, 2)))
+        texts = "".join(t.marked[ids * 4 + mark].tolist()).split("\n")[:-1]
+        keep = np.flatnonzero(~wide)
+        sizes = counts[keep, 3]
+        self._add([units[i] for i in keep], [texts[i] for i in keep], counts[keep], codes, np.ones(len(codes), np.int64), sizes)
+        return [units[i] for i in np.flatnonzero(wide)]
 
     def documents(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
         """For some texts: a row of A tokens, B tokens, groups and links each, their groups' hashes, and all texts'
@@ -479,7 +525,9 @@ def long_documents(docs: DataFrame, paths: tuple[str, str], width: int = RANGE)
     ``(doc_id, text)``, cut into ranges of ``width`` bytes."""
     n_b = tokenizers(paths).n_b
     pieces = stored(docs.mapInArrow(_cut(width), PIECE_SQL), "ranges")
-    found = stored(pieces.repartition("row", "k").mapInArrow(_fragments(paths), OPEN_SQL), "fragments")
+    # Tokenizing takes far longer than its bytes suggest: a few ranges a task, whatever their size.
+    tasks = -(-pieces.count() // RANGES_PER_TASK)
+    found = stored(pieces.repartition(max(1, tasks), "row", "k").mapInArrow(_fragments(paths), OPEN_SQL), "fragments")
     opened = ["row", "k", "first", "pa", "pb", "sa", "sb"]
     closed = ["row", "pos", "groups", "codes", "times", "n_a", "n_b", "n_groups", "n_links", "ok"]
     parts, level, n = found.select(*closed), found.select(*opened), (found.agg(F.max("k")).first()[0] or 0) + 1
