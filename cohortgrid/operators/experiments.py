@@ -1,64 +1,162 @@
-"""Experiments over windows, splits and models: one row of counts and metrics for each combination."""
+"""Experiments over targets, windows, splits and models: one row of counts and metrics for each combination.
+
+All experiments are one table. A training row is repeated for the targets it has a label of and for the split modes,
+with its features as one array, so an experiment is a filter, never a table of its own: strata, users and first labels
+are counted within (target, window) by keys that hold both. The logistic models of all experiments are solved together
+(``newton.fit_keyed``); forests and boosted trees are one distributed fit for each, a few at a time.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, release
-from . import metrics, mlprep, models, surveys
+from . import metrics, mlprep, models, newton
 
 BASELINE = "baseline"
-SPLITS: dict[str, Callable[[DataFrame, str, str], DataFrame]] = {
-    "stratified": lambda df, key, ts: mlprep.split_stratified(df, key, "label"),
-    "by_user": lambda df, key, ts: mlprep.split_by_user(df, key, "label"),
-    "temporal": lambda df, key, ts: mlprep.split_temporal(df, key, ts),
-}
-COUNTS = "window_hours int, split_mode string, model string, n_train long, n_test long, tp long, fp long, fn long, tn long"
-
-
-def baseline_scores(split: DataFrame, ts: str) -> DataFrame:
-    """Test rows with each user's first label as the prediction."""
-    rows = surveys.first_label_baseline(split.withColumn("survey_ts", F.col(ts)), "label").where("is_test")
-    return rows.select(F.col("label").cast("int").alias("y_true"), F.col("predicted").cast("int").alias("y_pred"))
-
-
-def run_experiments(training: DataFrame, key: str, features: Callable[[int], list[str]], windows: list[int],
-                    ts: str = "ref_ts", splits: tuple[str, ...] = ("stratified", "temporal"),
-                    names: tuple[str, ...] = ("lr", "rf"), parallelism: int = 4) -> DataFrame:
-    """Train and score every model on every split of every window, and the persistence baseline beside them.
-
-    ``training`` is the long multi-window form with ``window_hours`` and a numeric ``label``; ``features(w)``
-    names the columns of window w. A combination whose training rows lack a class has no row for its models;
-    one without test rows has none at all. The training table and each split are written once and read by
-    all fits; ``parallelism`` combinations run at a time. The driver sees four counts of each.
-    """
-    rows = materialize(training, "experiment")
-
-    def run(one: tuple[int, str]) -> list[tuple]:
-        window, mode = one
-        split = materialize(SPLITS[mode](rows.where(F.col("window_hours") == window), key, ts), "experiment-split")
-        size = split.agg(F.count_if(~F.col("is_test")).alias("train"), F.count_if("is_test").alias("test"),
-                         F.count_distinct(F.when(~F.col("is_test"), F.col("label"))).alias("classes")).first()
-        out = []
-        for name in (BASELINE, *names):
-            if not size.test or (name != BASELINE and size.classes < 2):
-                continue
-            columns = features(window)
-            filled = split.na.fill(0.0, columns)
-            scored = baseline_scores(split, ts) if name == BASELINE else models.fit_predict(
-                name, filled, key, columns, scaled=name in ("lr", "mlp"))
-            hit = metrics.confusion(scored, []).first()
-            out.append((window, mode, name, size.train, size.test, hit.tp, hit.fp, hit.fn, hit.tn))
-        release(split)
-        return out
+SPLITS = ("stratified", "by_user", "temporal")
+KEYS = ["target", "window_hours", "split_mode"]
+COUNTS = "target string, window_hours int, split_mode string, model string, n_train long, n_test long, tp long, fp long, fn long, tn long"
+
+
+def stacked(training: DataFrame, targets: dict[str, tuple[str, str]], features: Callable[[int], list[str]], windows: Iterable[int],
+            key: str, ts: str = "ref_ts", user: str = "app_user_id") -> DataFrame:
+    """``(target, window_hours, key, user, ts, label, x)``: a row of the long multi-window table for each target whose
+    label it has. ``targets`` gives a target's column and positive class; ``N/A`` counts as no label."""
+    labels = F.array(*[F.struct(F.lit(name).alias("target"), F.when(F.col(column) != "N/A", (F.col(column) == positive).cast("double")).alias("label"))
+                       for name, (column, positive) in targets.items()])
+    x: Column = F.lit(None).cast("array<double>")
+    for w in windows:
+        x = F.when(F.col("window_hours") == w, F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features(w)])).otherwise(x)
+    long = training.where(F.col("window_hours").isin(*windows)).select(
+        F.explode(labels).alias("t"), F.col("window_hours").cast("int").alias("window_hours"), key, F.col(user).alias("user"), F.col(ts).alias("ts"), x.alias("x"))
+    return long.select("t.target", "window_hours", key, "user", "ts", "t.label", "x").where("label IS NOT NULL")
+
+
+def split_all(rows: DataFrame, key: str, modes: Iterable[str] = SPLITS, test_size: float = 0.3) -> DataFrame:
+    """The stacked rows once for each split mode, with ``split_mode`` and ``is_test``."""
+    def within(*more: str) -> Column:
+        return F.concat_ws("|", "target", "window_hours", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in more])
+
+    made = []
+    for mode in modes:
+        if mode == "stratified":
+            out = mlprep.split_stratified(rows.withColumn("_stratum", within("label")), key, "_stratum", test_size).drop("_stratum")
+        elif mode == "by_user":
+            out = mlprep.split_by_user(rows.withColumn("app_user_id", within("user")), key, "label", test_size).drop("app_user_id")
+        elif mode == "temporal":
+            out = mlprep.split_temporal(rows.withColumn("app_user_id", within("user")), key, "ts", test_size).drop("app_user_id")
+        else:
+            raise ValueError(f"unknown split mode {mode!r}; use {', '.join(SPLITS)}")
+        made.append(out.select(*rows.columns, F.lit(mode).alias("split_mode"), "is_test"))
+    return reduce(DataFrame.unionByName, made)
+
+
+def _sizes(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*KEYS).agg(F.count_if(~F.col("is_test")).alias("n_train"), F.count_if("is_test").alias("n_test"),
+                                   F.count_distinct(F.when(~F.col("is_test"), F.col("label"))).alias("classes")).where("n_test > 0")
+
+
+def _baseline(rows: DataFrame, key: str) -> DataFrame:
+    """Each user's first label, for the user's test rows."""
+    own = [*KEYS, "_user"]
+    rows = rows.withColumn("_user", F.coalesce(F.col("user").cast("string"), F.lit("")))
+    first = rows.groupBy(*own).agg(F.min_by("label", F.struct("ts", key)).alias("y_pred"))
+    return rows.where("is_test").join(first, own).select(*KEYS, F.col("label").alias("y_true"), "y_pred")
+
+
+def _joint(rows: DataFrame, open_: DataFrame) -> DataFrame:
+    """Scores of the logistic models of all experiments in ``open_``."""
+    named = rows.join(open_.select(*KEYS), KEYS).select("is_test", "label", "x", F.concat_ws("/", *KEYS).alias("k"))
+    named = materialize(named.hint("rebalance"), "experiment-rows")
+    fitted = newton.fit_keyed(named.where(~F.col("is_test")).select("k", "label", "x"))
+    scored = materialize(newton.score_keyed(named.where("is_test").select("k", "label", "x"), fitted, []), "experiment-scores")
+    release(named)
+    part = F.split("model_key", "/")
+    return scored.select(part[0].alias("target"), part[1].cast("int").alias("window_hours"), part[2].alias("split_mode"), "y_true", "y_pred")
+
+
+def _one_by_one(rows: DataFrame, name: str, open_: DataFrame, parallelism: int, keep: Callable[[list[tuple]], None], **params) -> None:
+    def run(one) -> None:
+        own = rows.where((F.col("target") == one.target) & (F.col("window_hours") == one.window_hours) & (F.col("split_mode") == one.split_mode))
+        own = own.select("is_test", "label", array_to_vector("x").alias("features"))
+        train = mlprep.with_class_weight(own.where(~F.col("is_test"))).hint("rebalance").persist()
+        try:
+            model = models.make_model(name, **params).fit(train)
+        finally:
+            train.unpersist()
+        scored = model.transform(own.where("is_test")).select(F.col("label").alias("y_true"), F.col("prediction").alias("y_pred"))
+        hit = metrics.confusion(scored, []).first()
+        keep([(one.target, one.window_hours, one.split_mode, name, one.n_train, one.n_test, hit.tp, hit.fp, hit.fn, hit.tn)])
 
     with ThreadPoolExecutor(parallelism) as pool:
-        found = pool.map(inheritable_thread_target(training.sparkSession)(run), [(w, m) for w in windows for m in splits])
-        counts = [row for part in found for row in part]
+        list(pool.map(inheritable_thread_target(rows.sparkSession)(run), open_.collect()))
+
+
+def run_experiments(rows: DataFrame, key: str, names: tuple[str, ...] = ("lr", "rf"), splits: tuple[str, ...] = SPLITS, baseline: bool = True,
+                    parallelism: int = 4, path: str | None = None, **params) -> DataFrame:
+    """Train and score every model on every experiment of the stacked ``rows``, with the persistence baseline.
+
+    An experiment whose training rows lack a class has no row for its models; one without test rows has none at all.
+    With ``path``, rows are appended there as they are found, and those that are there already are not run again.
+    ``params`` go to the models that are fitted one by one. The driver sees four counts for each row."""
+    spark = rows.sparkSession
+    rows = materialize(rows, "stacked")
+    table = materialize(split_all(rows, key, splits), "experiments")
     release(rows)
-    return metrics.classification_metrics(training.sparkSession.createDataFrame(counts, COUNTS))
+    sizes = materialize(_sizes(table), "experiment-sizes")
+    try:
+        found = [tuple(r) for r in spark.read.schema(COUNTS).parquet(path).collect()] if path else []
+    except AnalysisException:  # nothing is there yet
+        found = []
+    known = {r[:4] for r in found}
+
+    def keep(new: list[tuple]) -> None:
+        found.extend(new)
+        if path and new:
+            spark.createDataFrame(new, COUNTS).coalesce(1).write.mode("append").parquet(path)
+
+    def left(name: str) -> DataFrame:
+        some = [k[:3] for k in known if k[3] == name]
+        if not some:
+            return sizes
+        return sizes.join(spark.createDataFrame(some, "target string, window_hours int, split_mode string"), KEYS, "left_anti")
+
+    def counted(scored: DataFrame, name: str, open_: DataFrame) -> list[tuple]:
+        hits = metrics.confusion(scored, KEYS).join(open_, KEYS)
+        return [tuple(r) for r in hits.select(*KEYS, F.lit(name), "n_train", "n_test", "tp", "fp", "fn", "tn").collect()]
+
+    if baseline:
+        keep(counted(_baseline(table, key), BASELINE, left(BASELINE)))
+    for name in names:
+        open_ = left(name).where("classes > 1")
+        if name == "lr":
+            if open_.take(1):
+                keep(counted(_joint(table, open_), name, open_))
+        else:
+            _one_by_one(table, name, open_, parallelism, keep, **params)
+    for t in (table, sizes):
+        release(t)
+    return metrics.classification_metrics(spark.createDataFrame(found, COUNTS))
+
+
+def comparison(results: DataFrame, metric: str = "f1") -> DataFrame:
+    """All rows, best first within each target, with their place."""
+    order = ["window_hours", "split_mode", "model"]
+    return metrics.best_rows(results.withColumn("_m", F.round(metric, 9)), ["target"], "_m", order, 1_000_000, "place").drop("_m")
+
+
+def best_of(results: DataFrame, criteria: Iterable[str] = ("f1", "balanced_accuracy", "recall", "accuracy")) -> DataFrame:
+    """The best trained row of each target by each criterion."""
+    names = list(criteria)
+    cells = ", ".join(f"'{m}', round({m}, 9)" for m in names)
+    long = results.where(F.col("model") != BASELINE).select(*KEYS, "model", F.expr(f"stack({len(names)}, {cells}) as (criterion, value)"))
+    return metrics.best_rows(long, ["target", "criterion"], "value", ["window_hours", "split_mode", "model"])

@@ -8,14 +8,16 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import experiments, lookback, metrics, mlprep, models, sweep
+from ..functions import rules
+from ..operators import experiments, lookback, metrics, mlprep, models, sweep, timegrid
 from ..session import materialize
 from .align_queries import (
     _OWN_TIME, MULTI_SLOTS, COMBINED, COMBINED_VIEWS, COUNTS, HOURS, LABEL, LOOKBACK, METRIC_OUT, ONE_PER_DAY, SIZE, STD_PARTS, STD_SLOTS,
     SURVEYS, SWEEP_PARTS, TEMPORAL, TEMPORAL_SPLIT, combined_of, hourly_of, metric_parts, one_per_day_of, slot_columns, slot_sql, standard_slots, training_of,
 )
-from .grid_queries import EVENTS, GRID_PARTS
+from .grid_queries import APP_PARTS, EVENTS, GRID_PARTS, SESSIONS, app_sessions_of
 from .registry import query, sql
+from .survey_queries import BASE, DAILY, PHQ9_PARTS, RESPONSES, labels_of, phq9_of, scored_parts
 
 SLOTS = [f"hour_{i}" for i in range(HOURS)]
 CATEGORIES = [f"most_used_category_sw{i}" for i in range(LOOKBACK // SIZE)]
@@ -394,18 +396,24 @@ def sweep_best(b):
 _RANKED = """SELECT *, row_number() OVER (PARTITION BY window_hours, risk_label ORDER BY md5(concat('42|', survey_response_id)), survey_response_id) AS rs,
   count(*) OVER (PARTITION BY window_hours, risk_label) AS ns, row_number() OVER u AS rt, count(*) OVER (PARTITION BY window_hours, app_user_id) AS nt,
   CAST(risk_label = 'at_risk' AS INT) AS y_true, CAST(first_value(risk_label) OVER u = 'at_risk' AS INT) AS y_pred
-  FROM training WINDOW u AS (PARTITION BY window_hours, app_user_id ORDER BY ref_ts, survey_response_id)"""
+  , count(*) OVER v AS nu, row_number() OVER (PARTITION BY window_hours, app_user_id, CASE WHEN kinds > 1 AND least_n >= 2 THEN risk_label ELSE '' END
+      ORDER BY md5(concat('42|', survey_response_id)), survey_response_id) AS ru,
+  count(*) OVER (PARTITION BY window_hours, app_user_id, CASE WHEN kinds > 1 AND least_n >= 2 THEN risk_label ELSE '' END) AS ms
+  FROM training JOIN (SELECT window_hours, app_user_id, count(*) AS kinds, min(n) AS least_n FROM (
+    SELECT window_hours, app_user_id, risk_label, count(*) AS n FROM training GROUP BY 1, 2, 3) GROUP BY 1, 2) USING (window_hours, app_user_id)
+  WINDOW u AS (PARTITION BY window_hours, app_user_id ORDER BY ref_ts, survey_response_id), v AS (PARTITION BY window_hours, app_user_id)"""
 _MODES = """SELECT *, 'stratified' AS split_mode, rs <= ceil(CAST(0.3 AS DOUBLE) * ns) AS is_test FROM ranked UNION ALL
+  SELECT *, 'by_user', nu > 1 AND ru <= ceil(CAST(0.3 AS DOUBLE) * ms) FROM ranked UNION ALL
   SELECT *, 'temporal', nt > 1 AND rt > least(greatest(floor(nt * (CAST(1 AS DOUBLE) - CAST(0.3 AS DOUBLE))), 1), nt - 1) FROM ranked"""
 _TESTED = COUNTS.replace("FILTER (y_true", "FILTER (is_test AND y_true")
 
 
-def experiment(b, names: tuple[str, ...]) -> DataFrame:
-    rows = mlprep.encode_binary(training_of(b), LABEL, "at_risk")
-    return experiments.run_experiments(rows, ID, lambda w: [f"hour_{i}" for i in range(w)], lookback.TRAINING_WINDOWS, names=names)
+def experiment(b, names: tuple[str, ...], **more) -> DataFrame:
+    rows = experiments.stacked(training_of(b), {"risk": (LABEL, "at_risk")}, lambda w: [f"hour_{i}" for i in range(w)], lookback.TRAINING_WINDOWS, ID)
+    return experiments.run_experiments(rows, ID, names, **more)
 
 
-@query("experiment_design", sql(f"SELECT window_hours, split_mode, 'baseline' AS model, n_train, n_test, {METRIC_OUT} FROM measured", EVENTS + SURVEYS,
+@query("experiment_design", sql(f"SELECT 'risk' AS target, window_hours, split_mode, 'baseline' AS model, n_train, n_test, {METRIC_OUT} FROM measured", EVENTS + SURVEYS,
                                 STD_PARTS | {"training": MULTI_SLOTS, "ranked": _RANKED, "modes": _MODES} | metric_parts(
     f"""SELECT window_hours, split_mode, CAST(count(*) FILTER (NOT is_test) AS BIGINT) AS n_train,
         CAST(count(*) FILTER (is_test) AS BIGINT) AS n_test, {_TESTED} FROM modes GROUP BY 1, 2""")))
@@ -416,4 +424,64 @@ def experiment_design(b):
 
 @query("experiment_results")
 def experiment_results(b):
+    """Logistic models and forests on three splits of four windows, and the baseline beside them."""
     return experiment(b, ("lr", "rf"))
+
+
+@query("experiment_boosted")
+def experiment_boosted(b):
+    """Boosted trees, 600 rounds, on every split and window."""
+    return experiment(b, ("gbt",), baseline=False, parallelism=8)
+
+
+# ------------------------------------------------------- all targets together
+
+TARGET_WINDOWS = [12, 24, 48]
+
+
+def target_rows(b) -> DataFrame:
+    """The ten targets' labels of each survey with the hourly app usage before it, in three windows."""
+    severity = phq9_of(b).select(ID, "severity_label")
+    labelled = labels_of(b).join(severity, ID, "left")
+    columns = [column for column, _, _ in rules.TARGETS.values()]
+    usage = timegrid.hourly_screentime(app_sessions_of(b))
+    wide = lookback.multiwindow_slots(usage, labelled, "hourly_screentime", TARGET_WINDOWS, keep=columns)
+    targets = {name: (column, positive) for name, (column, positive, _) in rules.TARGETS.items()}
+    return experiments.stacked(wide, targets, lambda w: [f"hour_{i}" for i in range(w)], TARGET_WINDOWS, ID)
+
+
+_STACK = " UNION ALL ".join(
+    f"SELECT survey_response_id, '{name}' AS target, {column} AS label, '{positive}' AS positive FROM all_labels" for name, (column, positive, _) in rules.TARGETS.items())
+
+
+@query("target_supports", sql("""SELECT target, w AS window_hours, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(*) FILTER (label = positive) AS BIGINT) AS positives
+FROM held JOIN stack USING (survey_response_id) WHERE label IS NOT NULL AND label <> 'N/A' GROUP BY 1, 2""",
+                              list(dict.fromkeys([*SESSIONS, *DAILY, *RESPONSES])), APP_PARTS | BASE | scored_parts("typed", False) | PHQ9_PARTS | {
+    "all_labels": "SELECT l.*, p.severity_label FROM labels l LEFT JOIN phq9_labelled p USING (survey_response_id)",
+    "usage_hours": "SELECT DISTINCT app_user_id, date_trunc('hour', calculated_start_time) AS datetime FROM app_sessions WHERE app_user_id IS NOT NULL",
+    "held": f"""SELECT DISTINCT survey_response_id, w FROM (SELECT *, date_trunc('day', survey_ts) + to_hours(9) AS ref FROM all_labels) j
+      CROSS JOIN (SELECT unnest({TARGET_WINDOWS}) AS w) JOIN usage_hours u ON u.app_user_id = j.app_user_id AND u.datetime < ref AND u.datetime >= ref - to_hours(w)""",
+    "stack": _STACK}))
+def target_supports(b):
+    """Rows and positives of every target and window, as the experiments take them."""
+    return target_rows(b).groupBy("target", "window_hours").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("label") == 1).alias("positives"))
+
+
+def target_table(b) -> DataFrame:
+    return experiments.run_experiments(target_rows(b), ID, ("lr",))
+
+
+@query("target_experiments")
+def target_experiments(b):
+    """Every target in every window and split: the logistic models, solved together, and the baseline."""
+    return target_table(b)
+
+
+@query("target_comparison")
+def target_comparison(b):
+    return experiments.comparison(target_table(b)).select("target", "place", "window_hours", "split_mode", "model", "f1", "accuracy", "recall")
+
+
+@query("target_best")
+def target_best(b):
+    return experiments.best_of(target_table(b))
