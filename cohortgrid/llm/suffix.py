@@ -16,8 +16,8 @@ next position. The interleave starts as blocks of rows that share a first symbol
 rows that agree on h symbols agree on 2h if the rows h steps on agree too. Rows of a shard are in order already, so
 a shard's rows come in runs, and only one key for each run is sorted: no suffix is sorted again. A row's block at h
 tells if it has h symbols in common with its neighbours; at ``window`` symbols, blocks of two or more rows are the
-repeated intervals. Where an anchor is split, each group sends one hash of 128 bits for each of its blocks, and
-blocks that several groups have, repeat too.
+repeated intervals. Where an anchor is split, each group sends one hash of 128 bits for each of its blocks, packed by
+buckets of hashes, and blocks that several groups have, repeat too.
 
 Long documents are read in pieces of ``PIECE`` bytes. Spans are named by (anchor, 128-bit hash of their content).
 
@@ -44,6 +44,8 @@ LONGEST = 1024
 PIECE = 1 << 20
 GROUP = 1 << 20
 SHARD = 1 << 18
+GROUPS_PER_TASK = 4
+BUCKET = 1 << 19
 RESULTS = ("n_bytes", "n_removed", "n_spans", "removed", "kept")
 
 # ---------------------------------------------------------------- spans
@@ -240,13 +242,33 @@ def repeats(contents: list[bytes], weights: np.ndarray, window: int, shard: int
     return of, offset, block, np.bincount(block, weights[of])[block].astype(np.int64)
 
 
-FOUND = pa.schema([("anchor", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("lo", pa.list_(pa.int32())), ("hi", pa.list_(pa.int32())),
-                   ("w1", pa.int64()), ("w2", pa.int64()), ("weight", pa.int32()), ("at", pa.int32())])
-FOUND_SQL = "anchor long, c1 long, c2 long, lo array<int>, hi array<int>, w1 long, w2 long, weight int, at int"
+RANGES = pa.schema([("anchor", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("lo", pa.list_(pa.int32())), ("hi", pa.list_(pa.int32()))])
+RANGES_SQL = "anchor long, c1 long, c2 long, lo array<int>, hi array<int>"
+FOUND = pa.schema([*RANGES, ("bucket", pa.int64()), ("hashes", pa.binary()), ("sure", pa.binary()), ("of", pa.binary()), ("at", pa.binary()),
+                   ("names", pa.binary())])
+FOUND_SQL = RANGES_SQL + ", bucket long, hashes binary, sure binary, of binary, at binary, names binary"
 
 
-def _group(window: int):
-    """A group's contents with the ranges of their repeated windows; of split anchors, a row for each block."""
+def _ranges(of: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, list[int], list[int]]]:
+    """Contents with their runs of offsets: number, starts, ends."""
+    order = np.lexsort((at, of))
+    of, at = of[order], at[order]
+    new = np.ones(len(of), bool)
+    new[1:] = (of[1:] != of[:-1]) | (at[1:] != at[:-1] + 1)
+    starts = np.flatnonzero(new)
+    lows, highs, of = at[starts], at[np.append(starts[1:], len(at)) - 1] + 1, of[starts]
+    cuts = np.flatnonzero(np.diff(of, prepend=-1))
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(of)]):
+        yield int(of[a]), lows[a:b].tolist(), highs[a:b].tolist()
+
+
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+
+def _group(window: int, buckets: int):
+    """A group's contents with the ranges of their repeated windows. The blocks of split anchors go out packed, one
+    row for each bucket of hashes: hash, whether the block repeats already, and else its content and offset."""
 
     def run(rows: pa.Table) -> pa.Table:
         names = list(zip(*(rows.column(c).to_pylist() for c in ("anchor", "c1", "c2"))))
@@ -256,33 +278,46 @@ def _group(window: int):
         held, weights, split = (rows.column(c).take(pa.array(keep)) for c in ("content", "weight", "split"))
         contents, split = held.to_pylist(), np.array(split.to_pylist(), bool)
         of, offset, block, count = repeats(contents, np.array(weights.to_pylist(), np.int64), window)
-        out = []
         sure = count >= 2
-        order = np.lexsort((offset[sure], of[sure]))
-        a, b = of[sure][order], offset[sure][order]
-        new = np.ones(len(a), bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1] + 1)
-        starts = np.flatnonzero(new)
-        last = np.append(starts[1:], len(a)) - 1
-        ranges: dict[int, tuple[list, list]] = {}
-        for k, lo, hi in zip(a[starts].tolist(), b[starts].tolist(), (b[last] + 1).tolist() if len(a) else []):
-            lows, highs = ranges.setdefault(k, ([], []))
-            lows.append(lo)
-            highs.append(hi)
-        for k, (lows, highs) in ranges.items():
-            out.append((*names[k], lows, highs, None, None, None, None))
+        out = [(*names[k], lows, highs, *[None] * 6) for k, lows, highs in _ranges(of[sure], offset[sure])] if sure.any() else []
         wide = np.flatnonzero(split[of])
         _, one = np.unique(block[wide], return_index=True)
-        for k in wide[one].tolist():
-            c, at = int(of[k]), int(offset[k])
-            w1, w2 = _numbers([digest(contents[c][at: at + window])])[0].tolist()
-            name = (None, None, None) if sure[k] else names[c]
-            out.append((*name, None, None, w1, w2, 2 if sure[k] else 1, at))
-        return pa.Table.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(FOUND)], schema=FOUND)
+        one = wide[one]
+        if len(one):
+            hashes = _numbers([digest(contents[c][at: at + window]) for c, at in zip(of[one].tolist(), offset[one].tolist())])
+            bucket = hashes[:, 0] % buckets
+            order = np.argsort(bucket, kind="stable")
+            one, hashes, bucket = one[order], hashes[order], bucket[order]
+            cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(one)]):
+                used, number = np.unique(of[one[a:b]], return_inverse=True)
+                known = np.array([names[k] for k in used.tolist()], "<i8")
+                out.append((*[None] * 5, int(bucket[a]), hashes[a:b].tobytes(), sure[one[a:b]].tobytes(), number.astype("<u4").tobytes(),
+                            offset[one[a:b]].astype("<u4").tobytes(), known.tobytes()))
+        return _table(out, FOUND)
 
     return run
 
 
+def _bucket(rows: pa.Table) -> pa.Table:
+    """Blocks that several groups have: the ranges of the contents for which this is news."""
+    rows = rows.to_pylist()
+    names = [np.frombuffer(r["names"], "<i8").reshape(-1, 3) for r in rows]
+    base = np.cumsum([0, *map(len, names)])
+    hashes = np.concatenate([np.frombuffer(r["hashes"], "<i8").reshape(-1, 2) for r in rows])
+    sure = np.concatenate([np.frombuffer(r["sure"], bool) for r in rows])
+    of = np.concatenate([np.frombuffer(r["of"], "<u4").astype(np.int64) + b for r, b in zip(rows, base)])
+    at = np.concatenate([np.frombuffer(r["at"], "<u4").astype(np.int64) for r in rows])
+    order = np.lexsort((hashes[:, 1], hashes[:, 0]))
+    same = np.zeros(len(order), bool)
+    same[1:] = (hashes[order][1:] == hashes[order][:-1]).all(axis=1)
+    again = np.empty(len(order), bool)
+    again[order] = same | np.append(same[1:], False)
+    new = again & ~sure
+    names = np.concatenate(names)
+    return _table([(*names[k].tolist(), lows, highs) for k, lows, highs in _ranges(of[new], at[new])] if new.any() else [], RANGES)
+
+
 # ---------------------------------------------------------------- Spark
 
 NAME = ["anchor", "c1", "c2"]
@@ -310,7 +345,8 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     spark = docs.sparkSession
     found = stored(docs.mapInArrow(_spans(window, anchor), SPAN_SQL), "spans")
     contents = stored(found.groupBy(*NAME).agg(F.count("*").alias("weight"), F.max("many").alias("many"), F.min(F.struct("k1", "k2", "start", "n")).alias("one")), "contents")
-    per_anchor = contents.groupBy("anchor").agg(F.count("*").alias("kinds"), F.max("many").alias("many"), F.sum(F.col("one.n") + (window - 1)).alias("size"))
+    per_anchor = contents.groupBy("anchor").agg(F.count("*").alias("kinds"), F.max("many").alias("many"), F.sum(F.col("one.n") + (window - 1)).alias("size"),
+                                                F.sum("one.n").alias("windows"))
     per_anchor = stored(per_anchor.where("kinds > 1 OR many"), "anchors")
     total = per_anchor.agg(F.sum("size")).first()[0] or 0
     groups = max(1, -(-total // group), min(int(spark.conf.get("spark.sql.shuffle.partitions")), total >> 16))
@@ -321,15 +357,16 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     # An anchor's parts, and which group each goes to.
     parts = F.ceil(F.col("size") / (group // 2))
     salted = open_.join(per_anchor.select("anchor", parts.alias("parts")), "anchor").withColumn("split", F.col("parts") > 1)
-    salted = salted.withColumn("g", F.pmod(F.xxhash64("anchor", F.pmod("c1", "parts")), F.lit(groups)))
-    merged = stored(salted.drop("parts").groupBy("g").applyInArrow(_group(window), FOUND_SQL), "merged")
+    salted = salted.withColumn("g", F.pmod(F.xxhash64("anchor", F.pmod("c1", "parts")), F.lit(groups))).drop("parts")
+    hot = per_anchor.where(F.col("size") > group // 2).agg(F.sum("windows")).first()[0] or 0
+    # Sorting takes far longer than its bytes suggest: few groups a task.
+    tasks = salted.repartition(-(-groups // GROUPS_PER_TASK), "g").groupBy("g")
+    merged = stored(tasks.applyInArrow(_group(window, max(1, hot // BUCKET)), FOUND_SQL), "merged")
     dropped(open_)
-    # Blocks that several groups have.
-    blocks = merged.where("w1 IS NOT NULL")
-    again = blocks.groupBy("w1", "w2").agg(F.sum("weight").alias("all")).where("all > 1").select("w1", "w2")
-    late = blocks.where("anchor IS NOT NULL").join(again, ["w1", "w2"]).groupBy(*NAME).agg(F.collect_list(F.struct(F.col("at").alias("lo"), (F.col("at") + 1).alias("hi"))).alias("ranges"))
-    early = merged.where("lo IS NOT NULL").select(*NAME, F.arrays_zip("lo", "hi").alias("ranges"))
-    once = early.unionByName(late).join(contents.where("weight = 1").select(*NAME, "one"), NAME).select("one.k1", "one.k2", "one.start", "ranges")
+    early = merged.where("lo IS NOT NULL").select(*NAME, "lo", "hi")
+    late = merged.where("hashes IS NOT NULL").drop(*NAME, "lo", "hi").groupBy("bucket").applyInArrow(_bucket, RANGES_SQL)
+    again = early.unionByName(late).select(*NAME, F.arrays_zip("lo", "hi").alias("ranges"))
+    once = again.join(contents.where("weight = 1").select(*NAME, "one"), NAME).select("one.k1", "one.k2", "one.start", "ranges")
     copies = found.join(contents.where("weight > 1").select(*NAME), NAME).select(
         "k1", "k2", "start", F.array(F.struct(F.lit(0).alias("lo"), F.col("n").alias("hi"))).alias("ranges"))
     ranges = once.unionByName(copies).select("k1", "k2", F.explode(F.transform("ranges", lambda r: F.struct(

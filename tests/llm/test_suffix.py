@@ -50,6 +50,7 @@ def test_against_all_windows(documents, monkeypatch, window, anchor, group):
     monkeypatch.setattr(suffix, "PIECE", 500)
     monkeypatch.setattr(suffix, "LONGEST", 40)
     monkeypatch.setattr(suffix, "SHARD", 600)
+    monkeypatch.setattr(suffix, "BUCKET", 300)
     rows = corpus(window)
     docs = documents(*rows).withColumnRenamed("n_chars", "n_spans").repartition(5)
     assert got(docs, window=window, anchor=anchor, group=group) == brute(rows, window)
