@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .skew import exact_median
+from .skew import exact_medians
 
 FILL_ALIASES = {"linear": "interpolate", "ffill": "ffill_bfill", "bfill": "ffill_bfill", "fill": "ffill_bfill"}
 FILL_METHODS = ("interpolate", "ffill_bfill", "zero")
@@ -61,7 +61,8 @@ def fit_imputer(df: DataFrame, columns: list[str], strategy: str) -> dict[str, f
         row = df.agg(*[F.avg(c).alias(c) for c in columns]).first()
         values = {c: row[c] for c in columns}
     elif strategy == "median":
-        values = {c: exact_median(df, c) for c in columns}
+        row = exact_medians(df, [], columns).first()
+        values = {c: row[c] if row else None for c in columns}
     elif strategy == "zero":
         values = {c: 0.0 for c in columns}
     else:

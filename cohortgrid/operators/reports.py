@@ -151,27 +151,44 @@ def screentime_completeness(sessions: DataFrame) -> DataFrame:
 
 
 def insights(sessions: DataFrame) -> DataFrame:
-    """One row of headline figures."""
-    stats = category_stats(sessions)
-    place = F.row_number().over(Window.orderBy(F.col("total_hours").desc(), "app_category"))
-    ranked = stats.withColumn("place", place)
-    top = ranked.agg(
-        F.max(F.when(F.col("place") == 1, F.col("app_category"))).alias("top_category"),
-        F.sum(F.when(F.col("place") <= 3, F.col("pct_of_total"))).alias("top3_share"),
-        F.count(F.lit(1)).alias("categories"),
-        F.min_by("app_category", F.struct(-F.col("unique_users"), "app_category")).alias("most_adopted"),
+    """One row of headline figures, from one pass: sums by (user, category), by clock hour and by weekday are grouping
+    sets of one aggregation, and all figures are aggregates of its rows."""
+    sets = sessions.select("app_user_id", "app_category", F.hour("last_time_used").alias("h"), F.weekday("last_time_used").alias("d"), "total_time_ms")
+    sets = sets.groupingSets([["app_user_id", "app_category"], ["h"], ["d"]], "app_user_id", "app_category", "h", "d").agg(
+        F.grouping_id().alias("set"), F.sum("total_time_ms").alias("ms"), F.count("total_time_ms").alias("n"))
+    # Columns that a set leaves out are ones in its id: 0011, 1101, 1110.
+    pairs, by_hour, by_day = (F.col("set") == x for x in (3, 13, 14))
+    known = F.col("app_category").isNotNull()
+    share = F.when(F.col("ms_user") > 0, F.col("ms_top") / F.col("ms_user") * 100).otherwise(0.0)
+    # The rest runs on one row for each (user, category), hour and weekday.
+    per_user = sets.where(pairs & known & F.col("app_user_id").isNotNull()).groupBy("app_user_id").agg(
+        F.sum("ms").alias("ms_user"), F.max("ms").alias("ms_top"))
+    focused = per_user.agg(F.count_if(share > 50)).scalar()
+    kinds = sets.groupBy(F.when(pairs, F.lit("c")).when(by_hour, F.lit("h")).otherwise("d").alias("kind"),
+                         F.when(pairs, F.col("app_category")).alias("app_category"), F.when(by_hour, F.col("h")).when(by_day, F.col("d")).alias("place")).agg(
+        F.sum("ms").alias("ms"), F.sum("n").alias("n"), F.count("app_user_id").alias("users"))
+    hours_ = F.round(F.col("ms") / F.lit(3_600_000.0), 2)
+    category = (F.col("kind") == "c") & known
+    ranked = F.sort_array(F.collect_list(F.when(category, F.struct((-hours_).alias("neg"), "app_category"))))  # one entry a category
+    everything = F.aggregate("_ranked", F.lit(0.0), lambda t, e: t - e["neg"])
+    top = kinds.agg(
+        ranked.alias("_ranked"),
+        F.min(F.when(category, F.struct((-F.col("users")).alias("neg"), "app_category"))).alias("_adopted"),
+        F.min(F.when(F.col("kind") == "h", F.struct((-F.col("ms")).alias("neg"), "place"))).alias("_hour"),
+        F.min(F.when(F.col("kind") == "d", F.struct((-F.col("ms")).alias("neg"), "place"))).alias("_day"),
+        (F.sum(F.when(F.col("kind") == "c", F.col("ms"))) / F.sum(F.when(F.col("kind") == "c", F.col("n")))).alias("_mean"),
     )
-    by_hour = sessions.groupBy(F.hour("last_time_used").alias("h")).agg(F.sum("total_time_ms").alias("ms"))
-    weekdays = sessions.groupBy(F.weekday("last_time_used").alias("d")).agg(F.sum("total_time_ms").alias("ms"))
-    users = user_behavior(sessions)
     names = F.array(*[F.lit(d) for d in WEEKDAYS])
-    return top.withColumns(
-        {
-            "peak_hour": by_hour.agg(F.min_by("h", F.struct(-F.col("ms"), "h"))).scalar(),
-            "peak_day": F.element_at(names, weekdays.agg(F.min_by("d", F.struct(-F.col("ms"), "d"))).scalar() + 1),
-            "focused_users": users.agg(F.count_if(F.col("top_category_pct") > 50)).scalar(),
-            "mean_session_minutes": sessions.agg(F.avg(F.col("total_time_ms") / F.lit(60000.0))).scalar(),
-        }
+    parts = F.transform(F.slice("_ranked", 1, 3), lambda e: F.round(-e["neg"] / everything * 100, 2))
+    return top.select(
+        F.get("_ranked", F.lit(0))["app_category"].alias("top_category"),
+        F.aggregate(parts, F.lit(0.0), lambda t, x: t + x).alias("top3_share"),
+        F.size("_ranked").cast("long").alias("categories"),
+        F.col("_adopted.app_category").alias("most_adopted"),
+        F.col("_hour.place").alias("peak_hour"),
+        F.element_at(names, F.col("_day.place") + 1).alias("peak_day"),
+        focused.alias("focused_users"),
+        (F.col("_mean") / F.lit(60000.0)).alias("mean_session_minutes"),
     )
 
 

@@ -12,11 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialize, release
 
 QUANTILE_CHUNKS = 256
 HOT_MIN_ROWS = 1_000_000
-EXACT_PERCENTILE_VALUES = 100_000
+SKETCH = 10_000
+MARGIN = 3
+WHOLE_GROUP = 20_000
 
 
 def hot_keys(df: DataFrame, keys: list[str], min_rows: int = HOT_MIN_ROWS) -> DataFrame:
@@ -117,43 +118,34 @@ def chunked_cumulative(df: DataFrame, keys: list[str], order: list[Column], sums
     return out.drop("_chunk", *[f"_before_{c}" for c in sums])
 
 
-def exact_median(df: DataFrame, column: str, small: int = EXACT_PERCENTILE_VALUES) -> float | None:
-    """Exact median of one column, read by narrowing a bracket. The column is written once, so what it comes
-    from is not run again by each pass.
+def exact_medians(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """``keys`` and the exact median of each column, for all groups and columns in two aggregations.
 
-    Each pass sends at most ``QUANTILE_CHUNKS`` bucket counts to the driver;
-    the final percentile sees at most ``small`` distinct values.
+    The first gives every (group, column) its count and a bracket around its middle from a sketch. The sketch is off
+    by at most one rank in ``SKETCH``, so ``MARGIN`` ranks in ``SKETCH`` on either side hold the middle; groups of at
+    most ``WHOLE_GROUP`` rows take all their values. The second counts what is below the bracket in one number and
+    the values inside one by one, about a thousandth of a large group. No buffer holds a group's values. Keys must
+    not be NULL; missing values don't count, and a group without values has no row.
     """
-    values = materialize(df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull()), "median")
-    try:
-        n = values.count()
-        if n == 0:
-            return None
-        lower, upper = _kth(values, (n + 1) // 2, small), None
-        if n % 2 == 0:
-            upper = _kth(values, n // 2 + 1, small)
-        return lower if upper is None else (lower + upper) / 2.0
-    finally:
-        release(values)
-
-
-def _kth(values: DataFrame, k: int, small: int) -> float:
-    """The k-th smallest value (1-based)."""
-    bracket, cuts = values, [i / QUANTILE_CHUNKS for i in range(1, QUANTILE_CHUNKS)]
-    while True:
-        distinct = bracket.agg(F.approx_count_distinct("v", 0.02)).first()[0]
-        if distinct <= small:
-            tally = bracket.groupBy("v").count()
-            running = F.sum("count").over(Window.orderBy("v"))
-            hit = tally.withColumn("_run", running).where(F.col("_run") >= k)
-            return hit.agg(F.min("v")).first()[0]
-        edges = sorted(set(bracket.agg(F.percentile_approx("v", cuts, 10_000)).first()[0]))
-        bucket = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < F.col("v")))
-        for number, rows in sorted(bracket.groupBy(bucket.alias("b")).count().collect()):
-            if k <= rows:
-                break
-            k -= rows
-        if number > 0:
-            bracket = bracket.where(F.col("v") > edges[number - 1])
-        if number < len(edges):
-            bracket = bracket.where(F.col("v") <= edges[number])
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_v")) for c in columns]))
+    values = df.select(*keys, cells.alias("_cell")).select(*keys, "_cell._c", "_cell._v").where(F.col("_v").isNotNull())
+    group, half = [*keys, "_c"], MARGIN / SKETCH
+    ends = F.percentile_approx("_v", [0.5 - half, 0.5 + half], SKETCH)
+    brackets = values.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), ends.alias("_e"))
+    wide = F.col("_n") <= WHOLE_GROUP
+    brackets = brackets.select(*group, "_n", F.when(wide, F.lit(float("-inf"))).otherwise(F.col("_e")[0]).alias("_lo"),
+                               F.when(wide, F.lit(float("nan"))).otherwise(F.col("_e")[1]).alias("_hi"))  # NaN is above all
+    inside = values.join(brackets, group).where(F.col("_v") <= F.col("_hi"))
+    counted = inside.groupBy(*group, "_n", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_at")).agg(F.count(F.lit(1)).alias("_rows"))
+    upto = F.sum("_rows").over(Window.partitionBy(*group).orderBy(F.col("_at").asc_nulls_first()))
+    middle = counted.withColumn("_upto", upto).groupBy(*group).agg(
+        F.min(F.when(F.col("_upto") >= F.expr("(_n + 1) div 2"), F.col("_at"))).alias("_low"),
+        F.min(F.when(F.col("_upto") >= F.expr("_n div 2 + 1"), F.col("_at"))).alias("_high"))
+    median = (F.col("_low") + F.col("_high")) / F.lit(2.0)
+    return middle.groupBy(*keys).agg(*[F.max(F.when(F.col("_c") == c, median)).alias(c) for c in columns])
+
+
+def exact_median(df: DataFrame, column: str) -> float | None:
+    """Exact median of one column; None without values."""
+    row = exact_medians(df.select(column), [], [column]).first()
+    return row[0] if row else None

@@ -30,9 +30,13 @@ def daily_totals(df: DataFrame, ts: str, value: str, start: str, end: str) -> Da
     return user_days(per_day, "total", start, 0.0)
 
 
+def counts_per_day(df: DataFrame, ts: str, start: str, end: str) -> DataFrame:
+    """Records of each user and study day that has any."""
+    return study_days(df, ts, start, end).groupBy("app_user_id", "day").agg(F.count(F.lit(1)).alias("count"))
+
+
 def daily_counts(df: DataFrame, ts: str, start: str, end: str) -> DataFrame:
-    per_day = study_days(df, ts, start, end).groupBy("app_user_id", "day").agg(F.count(F.lit(1)).alias("count"))
-    return user_days(per_day, "count", start)
+    return user_days(counts_per_day(df, ts, start, end), "count", start)
 
 
 def daily_flags(df: DataFrame, ts: str, start: str, end: str, name: str = "submitted") -> DataFrame:
@@ -106,21 +110,31 @@ def availability(daily: DataFrame, count: str = "count") -> DataFrame:
 STATUS_NAMES = ["none", "data", "survey", "both"]
 
 
+BITS = 63
+
+
 def status_matrix(data: DataFrame, surveys: DataFrame, data_col: str, survey_col: str) -> DataFrame:
-    """none / data / survey / both for the union of users and of days.
+    """none / data / survey / both for the union of users, on days 1 to the last day of either input.
 
-    Both inputs are complete spines; the union of their user and day sets is
-    formed per user, so the larger day range is reached without a cross join.
+    Inputs hold ``(app_user_id, day)`` rows, complete spines or only the days that have something. A user's days are
+    bits of words of ``BITS`` days, so one aggregation over both inputs holds the whole matrix, and no calendar is
+    joined.
     """
-    tagged = data.select("app_user_id", "day", F.col(data_col).alias("v"), F.lit(0).alias("s")).unionByName(
-        surveys.select("app_user_id", "day", F.lit(0).alias("v"), F.col(survey_col).alias("s"))
-    )
-    cells = tagged.groupBy("app_user_id", "day").agg(F.max("v").alias("v"), F.max("s").alias("s"))
-    last = tagged.agg(F.max("day")).scalar()
-    spine = tagged.select("app_user_id").distinct().withColumn("day", F.explode(F.sequence(F.lit(1), last)))
-    state = (F.coalesce("v", F.lit(0)) > 0).cast("int") + 2 * (F.coalesce("s", F.lit(0)) > 0).cast("int")
-    joined = spine.join(cells, ["app_user_id", "day"], "left").withColumn("state", state)
-    return joined.select(
+    def tagged(df: DataFrame, column: str, place: int) -> DataFrame:
+        on = F.coalesce(F.col(column), F.lit(0)) > 0
+        return df.select("app_user_id", "day", *[(on if i == place else F.lit(False)).alias(c) for i, c in enumerate("vs")])
+
+    days = tagged(data, data_col, 0).unionByName(tagged(surveys, survey_col, 1))
+    word = F.expr(f"(day - 1) div {BITS}")
+    mask = F.expr(f"shiftleft(1L, cast((day - 1) % {BITS} as int))")
+    words = days.groupBy("app_user_id", word.alias("word")).agg(
+        *[F.coalesce(F.bit_or(F.when(F.col(c), mask)), F.lit(0)).cast("long").alias(c) for c in "vs"], F.max("day").alias("last"))
+    users = words.groupBy("app_user_id").agg(F.map_from_entries(F.collect_list(F.struct("word", F.struct("v", "s")))).alias("words"))
+    spread = users.withColumn("day", F.explode(F.sequence(F.lit(1), words.agg(F.max("last")).scalar())))
+    held = F.col("words")[word]
+    on = [F.coalesce(held[c].bitwiseAND(mask) != 0, F.lit(False)).cast("int") for c in "vs"]
+    spread = spread.withColumn("state", on[0] + 2 * on[1])
+    return spread.select(
         "app_user_id", "day", "state", F.element_at(F.array(*[F.lit(n) for n in STATUS_NAMES]), F.col("state") + 1).alias("status")
     )
 

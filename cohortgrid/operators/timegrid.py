@@ -11,6 +11,7 @@ from ..functions.columns import value_column
 from ..functions.timecols import hour_floor, week_columns, week_start
 from .clean import ALL_USERS, dedup_start, filter_dates, filter_user
 from .fill import fill_gaps
+from .skew import exact_medians
 
 
 def _sum0(c: Column) -> Column:
@@ -25,7 +26,7 @@ AGGREGATES = {
     "min": F.min,
     "max": F.max,
     "count": F.count,
-    "median": F.median,
+    "median": F.median,  # of groups that fit in a buffer; ``bucket_metric`` selects medians of any size
 }
 
 # Metric -> (aggregate, daily column, hourly column).
@@ -55,7 +56,8 @@ def bucket_metric(df: DataFrame, agg: str | list[str], unit: str, start: str = "
                   app_user_id: int = ALL_USERS, date_range=None, dedup_keys: list[str] | None = None) -> DataFrame:
     """One metric per (user, time bucket): ``app_user_id, time_key, value``.
 
-    A list of aggregates gives ``value_<name>`` columns from one pass.
+    A list of aggregates gives ``value_<name>`` columns from one pass; a median takes two more (``exact_medians``),
+    so that no bucket's values are held in one buffer.
     """
     value = value or value_column(df)
     rows = dedup_start(df, start, keys=dedup_keys)
@@ -65,9 +67,14 @@ def bucket_metric(df: DataFrame, agg: str | list[str], unit: str, start: str = "
     if "app_user_id" in df.columns:
         rows, keys = rows.where(F.col("app_user_id").isNotNull()), ["app_user_id", "time_key"]
     named = {"value": agg} if isinstance(agg, str) else {f"value_{a}": a for a in agg}
-    return rows.withColumn("time_key", time_key(unit, start)).groupBy(*keys).agg(
-        *[aggregate(a)(F.col(value)).alias(name) for name, a in named.items()]
-    )
+    rows = rows.withColumn("time_key", time_key(unit, start))
+    medians = [name for name, a in named.items() if a == "median"]
+    plain = [aggregate(a)(F.col(value)).alias(name) for name, a in named.items() if a != "median"]
+    out = rows.groupBy(*keys).agg(*plain) if plain else rows.select(*keys).distinct()
+    for name in medians:
+        middle = exact_medians(rows.select(*keys, value), keys, [value]).withColumnRenamed(value, name)
+        out = out.join(middle, keys, "left")
+    return out.select(*keys, *named)
 
 
 def tag_metrics(tables: dict[str, DataFrame], start: str = "start_timestamp") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import align, clean, fill, reports, spines, timegrid
+from ..operators.clean import study_days
 from .align_queries import LABEL, ONE_PER_DAY, SURVEYS, one_per_day_of
 from .grid_queries import APP_PARTS, EVENTS, FILL_PARTS, GRID_PARTS, SESSIONS, VALUES_D, categorized_of
 from .registry import query, sql
@@ -170,7 +171,8 @@ def submission_flags(b):
   FROM (SELECT app_user_id FROM spine UNION SELECT app_user_id FROM spine_s) u CROSS JOIN (SELECT day FROM spine UNION SELECT day FROM spine_s) d
   LEFT JOIN spine a USING (app_user_id, day) LEFT JOIN spine_s s USING (app_user_id, day))""", EVENTS + SURVEYS, COUNT_SPINE | SURVEY_SPINE))
 def status_matrix(b):
-    return spines.status_matrix(counts_of(b), spines.daily_flags(b.surveys, "survey_ts", START, END), "count", "submitted")
+    days = [study_days(df, ts, START, END).withColumn("n", F.lit(1)) for df, ts in ((b.metric_events, "start_timestamp"), (b.surveys, "survey_ts"))]
+    return spines.status_matrix(*days, "n", "n")
 
 
 @query("completeness_score", sql("""SELECT app_user_id, CAST(count(*) FILTER (v > 0) AS BIGINT) AS days_with_data,

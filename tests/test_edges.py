@@ -387,3 +387,13 @@ def test_cooccurrence(rows):
 def test_mapping_keeps_unknown_users(rows):
     df, mapping = rows("app_user_id long", (1,), (2,)), rows("row_id long, app_user_id long, participant_id string", (1, 1, "old"), (2, 1, "new"))
     assert listed(align.map_participants(df, mapping), "app_user_id") == ["2", "new"]
+
+
+def test_status_matrix_of_sparse_days_and_long_studies(rows):
+    """Users of either input, more days than a word holds, days with nothing."""
+    data = rows("app_user_id int, day int, n int", (1, 1, 1), (1, 64, 2), (1, 63, 0), (2, 130, 1))
+    surveys = rows("app_user_id int, day int, n int", (1, 64, 1), (3, 126, 1), (3, 127, None))
+    got = {(r.app_user_id, r.day): r.status for r in spines.status_matrix(data, surveys, "n", "n").collect()}
+    want = {(u, d): "none" for u in (1, 2, 3) for d in range(1, 131)}
+    want |= {(1, 1): "data", (1, 64): "both", (2, 130): "data", (3, 126): "survey"}
+    assert got == want

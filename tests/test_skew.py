@@ -7,7 +7,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cohortgrid.operators import fill, metrics, mlprep
-from cohortgrid.operators.skew import _kth, chunked_row_number, exact_median, hot_keys, hot_row_number, with_quantile_chunk
+from cohortgrid.operators import skew
+from cohortgrid.operators.skew import chunked_row_number, exact_median, hot_keys, hot_row_number, with_quantile_chunk
 
 
 @pytest.fixture(scope="module")
@@ -65,16 +66,28 @@ def test_auc_equals_pair_counting(skewed):
     assert metrics.roc_auc(scored, []).first().auc == pytest.approx(expected)
 
 
-def test_exact_median_narrows_to_the_value(skewed):
+def test_exact_median_narrows_to_the_value(skewed, monkeypatch):
     values = sorted(r.score for r in skewed.collect())
     expected = (values[499] + values[500]) / 2
     assert exact_median(skewed, "score") == pytest.approx(expected)
-    assert exact_median(skewed, "score", small=8) == pytest.approx(expected)
-    column = skewed.select(F.col("score").alias("v"))
-    assert [_kth(column, k, 4) for k in (1, 250, 1000)] == [values[0], values[249], values[999]]
+    monkeypatch.setattr(skew, "WHOLE_GROUP", 10)
+    assert exact_median(skewed, "score") == pytest.approx(expected)
     assert exact_median(skewed.where("id < 0"), "score") is None
 
 
+def test_medians_of_all_groups_and_columns(spark):
+    """One group holds nearly all rows; others have one, two, or only missing values."""
+    hot = spark.range(100_001).select(F.lit("hot").alias("k"), (F.col("id") * 7919 % 100_003).cast("double").alias("a"),
+                                      F.when(F.col("id") % 4 > 0, F.col("id") % 11).cast("double").alias("b"))
+    few = spark.createDataFrame([("one", 5.0, None), ("two", 1.0, 2.0), ("two", 4.0, 2.5), ("none", None, None)], "k string, a double, b double")
+    rows = hot.unionByName(few).repartition(6)
+    got = {r.k: (r.a, r.b) for r in skew.exact_medians(rows, ["k"], ["a", "b"]).collect()}
+    want = {r.k: (r.a, r.b) for r in rows.groupBy("k").agg(F.median("a").alias("a"), F.median("b").alias("b")).where("k <> 'none'").collect()}
+    assert got == want
+    plan = skew.exact_medians(rows, ["k"], ["a"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "median" not in plan.replace("exact_median", "") and "collect_list" not in plan
+
+
 def test_median_imputer(spark):
     df = spark.createDataFrame([(1.0,), (None,), (9.0,), (4.0,)], "v double")
     assert sorted(r.v for r in fill.impute(df, ["v"], "median").collect()) == [1.0, 4.0, 4.0, 9.0]
