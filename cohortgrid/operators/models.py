@@ -5,13 +5,16 @@ from __future__ import annotations
 import random
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from itertools import product
 
-from pyspark import inheritable_thread_target, keyword_only
+from pyspark import SparkContext, inheritable_thread_target, keyword_only
 from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.classification import (
+    GBTClassificationModel,
     GBTClassifier,
     LogisticRegression,
     MultilayerPerceptronClassifier,
+    RandomForestClassificationModel,
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import Evaluator
@@ -22,7 +25,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, release
 from . import newton
 from .mlprep import fit_scaler, fold_report, fold_validity, scale, user_folds, with_class_weight
 
@@ -165,7 +168,65 @@ def random_search(name: str, columns: list[str], train: DataFrame, fold_col: str
     return search.fit(train)
 
 
+# The parameter that counts a model's trees: a model with more holds those with fewer.
+COUNTED = {"rf": "numTrees", "gbt": "maxIter"}
+
+
+def first_trees(name: str, model, n: int):
+    """The model of a fitted forest's or boosted model's first ``n`` trees."""
+    jvm, gateway, held = SparkContext._active_spark_context._jvm, SparkContext._active_spark_context._gateway, model._java_obj
+    kinds = jvm.org.apache.spark.ml
+    if name == "rf":
+        trees = gateway.new_array(kinds.classification.DecisionTreeClassificationModel, n)
+        for i in range(n):
+            trees[i] = held.trees()[i]
+        cut = kinds.classification.RandomForestClassificationModel(held.uid(), trees, held.numFeatures(), held.numClasses())
+        return RandomForestClassificationModel(cut)
+    trees, weights = gateway.new_array(kinds.regression.DecisionTreeRegressionModel, n), gateway.new_array(jvm.double, n)
+    for i in range(n):
+        trees[i], weights[i] = held.trees()[i], held.treeWeights()[i]
+    return GBTClassificationModel(kinds.classification.GBTClassificationModel(held.uid(), trees, weights, held.numFeatures(), held.numClasses()))
+
+
+def staged_search(name: str, columns: list[str], train: DataFrame, fold_col: str, folds: int, draws: int = 20, seed: int = SEED,
+                  parallelism: int = 4, space: dict[str, list] | None = None, **params):
+    """Seeded random draw of a forest's or boosted model's grid, cross-validated on given folds with safe recall.
+
+    Points that differ only in how many trees they have share one fit for each fold: the one with the most trees,
+    whose first trees are scored for the others. Returns ``([(point, mean recall)], best point, model)`` with the best
+    point refitted on all training rows; earlier draws win ties."""
+    space, counted = space or SPACES[name], COUNTED[name]
+    points = [dict(zip(space, values)) for values in product(*space.values())]
+    chosen = random.Random(seed).sample(points, min(draws, len(points)))
+    shared: dict[tuple, set[int]] = {}
+    for point in chosen:
+        shared.setdefault(tuple((k, v) for k, v in point.items() if k != counted), set()).add(point[counted])
+    rows = materialize(assemble(train, columns).select("label", "features", "weight", fold_col).hint("rebalance"), "search")
+
+    def run(task: tuple[tuple, int]) -> list[tuple[tuple, int, float]]:
+        rest, fold = task
+        counts = sorted(shared[rest])
+        model = make_model(name, len(columns), **(params | dict(rest) | {counted: counts[-1]})).fit(rows.where(F.col(fold_col) != fold))
+        held_out = rows.where(F.col(fold_col) == fold)
+        stages = [(n, model if n == counts[-1] else first_trees(name, model, n)) for n in counts]
+        return [(rest, n, SafeRecall().evaluate(m.transform(held_out))) for n, m in stages]
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        done = list(pool.map(inheritable_thread_target(train.sparkSession)(run), [(rest, f) for rest in shared for f in range(folds)]))
+    recalls: dict[tuple, list[float]] = {}
+    for rest, n, recall in (r for part in done for r in part):
+        recalls.setdefault((rest, n), []).append(recall)
+    table = []
+    for point in chosen:
+        found = recalls[(tuple((k, v) for k, v in point.items() if k != counted), point[counted])]
+        table.append((point, sum(found) / len(found)))
+    best = max(table, key=lambda t: t[1])[0]
+    model = make_model(name, len(columns), **(params | best)).fit(rows)
+    release(rows)
+    return table, best, model
+
+
 __all__ = [
     "SafeRecall", "assemble", "feature_importances", "fit_predict", "fold_report", "louo_predict",
-    "make_model", "model_map", "random_search", "score_frame", "Pipeline",
+    "first_trees", "make_model", "model_map", "random_search", "score_frame", "staged_search", "Pipeline",
 ]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..operators import experiments, lookback, metrics, mlprep, models, sweep, timegrid
-from ..session import materialize
+from ..session import materialize, release
 from .align_queries import (
     _OWN_TIME, MULTI_SLOTS, COMBINED, COMBINED_VIEWS, COUNTS, HOURS, LABEL, LOOKBACK, METRIC_OUT, ONE_PER_DAY, SIZE, STD_PARTS, STD_SLOTS,
     SURVEYS, SWEEP_PARTS, TEMPORAL, TEMPORAL_SPLIT, combined_of, hourly_of, metric_parts, one_per_day_of, slot_columns, slot_sql, standard_slots, training_of,
@@ -355,6 +355,28 @@ def tuned_lr(b):
         table, "draw int, elasticNetParam double, regParam double, recall double, best boolean, tp long, fp long, fn long, tn long")
 
 
+def _tuned_trees(b, name: str) -> DataFrame:
+    """Every draw with its mean recall over five folds of the training rows; the best one also with its confusion
+    counts on the test rows."""
+    rows, columns = model_frame(b)
+    split = materialize(mlprep.split_stratified(rows, ID, "label"), "split")
+    train = materialize(mlprep.with_class_weight(mlprep.stratified_folds(split.where(~F.col("is_test")), ID, "label")).hint("rebalance"), "folds")
+    folds = train.agg(F.max("fold")).first()[0] + 1
+    table, best, model = models.staged_search(name, columns, train, "fold", folds, parallelism=8)
+    hit = metrics.confusion(models.score_frame(model.transform(models.assemble(split.where("is_test"), columns)), ID), []).first()
+    for t in (split, train):
+        release(t)
+    names = list(models.SPACES[name])
+    out = [(i, *[float(point[n]) for n in names], recall, point == best, *([hit.tp, hit.fp, hit.fn, hit.tn] if point == best else [None] * 4))
+           for i, (point, recall) in enumerate(table)]
+    return b.spark.createDataFrame(out, f"draw int, {', '.join(f'{n} double' for n in names)}, recall double, best boolean, tp long, fp long, fn long, tn long")
+
+
+@query("tuned_rf")
+def tuned_rf(b):
+    return _tuned_trees(b, "rf")
+
+
 # -------------------------------------------------------------- sweep results
 
 _SWEEP_SPLIT = {"one_per_day": ONE_PER_DAY, "grid": SWEEP_PARTS["grid"], "s": _SPLIT.format(t="one_per_day"), "split": SPLIT_PARTS["split"]}
