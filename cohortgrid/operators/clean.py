@@ -99,24 +99,24 @@ def repair_gaps(sessions: DataFrame, max_gap_seconds: int = 120) -> DataFrame:
     """Start a session at the user's previous end when it follows within the gap.
 
     Overlaps count as following. The previous row is looked up inside each
-    (user, day); the first row of a day takes the last end of the user's
-    previous active day, so no user is ordered in one task. Rows without a
-    user follow no other.
+    (user, hour); the first row of an hour takes the last end of the user's
+    previous active hour, so neither a user nor a busy day is ordered in one
+    task. Rows without a user follow no other and are set aside.
     """
-    day = F.to_date("start_time")
-    rows = sessions.withColumn("_day", day)
+    rows = sessions.where(F.col("app_user_id").isNotNull()).withColumn("_hour", F.date_trunc("hour", "start_time"))
     order = F.struct("start_time", "id")
-    last = rows.groupBy("app_user_id", "_day").agg(F.max(F.struct(order.alias("o"), F.col("end_time").alias("e"))).alias("_last"))
-    by_user = Window.partitionBy("app_user_id").orderBy("_day")
-    carried = last.select("app_user_id", "_day", F.lag(F.col("_last.e")).over(by_user).alias("_carried"))
-    in_day = Window.partitionBy("app_user_id", "_day").orderBy("start_time", "id")
-    out = rows.join(carried, ["app_user_id", "_day"], "left")
-    out = out.withColumn("_first", F.row_number().over(in_day) == 1)
-    out = out.withColumn("previous_end", F.when(F.col("_first"), F.col("_carried")).otherwise(F.lag("end_time").over(in_day)))
-    out = out.withColumn("previous_end", F.when(F.col("app_user_id").isNotNull(), F.col("previous_end")))
+    last = rows.groupBy("app_user_id", "_hour").agg(F.max(F.struct(order.alias("o"), F.col("end_time").alias("e"))).alias("_last"))
+    by_user = Window.partitionBy("app_user_id").orderBy("_hour")
+    carried = last.select("app_user_id", "_hour", F.lag(F.col("_last.e")).over(by_user).alias("_carried"))
+    in_hour = Window.partitionBy("app_user_id", "_hour").orderBy("start_time", "id")
+    out = rows.join(carried, ["app_user_id", "_hour"], "left")
+    out = out.withColumn("_first", F.row_number().over(in_hour) == 1)
+    out = out.withColumn("previous_end", F.when(F.col("_first"), F.col("_carried")).otherwise(F.lag("end_time").over(in_hour)))
     close = seconds_between(F.col("previous_end"), F.col("start_time")) <= max_gap_seconds
     repaired = F.when(close, F.col("previous_end")).otherwise(F.col("start_time"))
-    return out.withColumn("start_time", repaired).drop("_day", "_first", "_carried")
+    out = out.withColumn("start_time", repaired).select(*sessions.columns, "previous_end")
+    alone = sessions.where(F.col("app_user_id").isNull())
+    return out.unionByName(alone.withColumn("previous_end", F.lit(None).cast(sessions.schema["end_time"].dataType)))
 
 
 def repair_first_session(sessions: DataFrame, cutoff: str = FIRST_SESSION_CUTOFF) -> DataFrame:

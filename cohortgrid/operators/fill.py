@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .skew import exact_medians
+from .skew import exact_medians, with_quantile_chunk
 
 FILL_ALIASES = {"linear": "interpolate", "ffill": "ffill_bfill", "bfill": "ffill_bfill", "fill": "ffill_bfill"}
 FILL_METHODS = ("interpolate", "ffill_bfill", "zero")
@@ -55,6 +56,33 @@ def _linear(c: str) -> Column:
     ).otherwise(F.coalesce(v0, v1))
 
 
+def carry_values(df: DataFrame, columns: list[str], keys: list[str], order: str, forward: bool = True) -> DataFrame:
+    """Missing values take the nearest known one before them (after them, if not ``forward``) within ``keys``.
+
+    A key's rows are cut into chunks along ``order``: days of a timestamp, else ranges of similar counts. Each chunk
+    is ordered by itself; a summary with each chunk's last known values, one row for each (key, chunk), carries them
+    to the chunks after it. So a key with very many rows is spread over its chunks. Keys must not be NULL.
+    """
+    kind = df.schema[order].dataType
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        rows = df.withColumn("_chunk", F.coalesce(F.to_date(order), F.lit("0001-01-01").cast("date")))
+    elif isinstance(kind, T.DateType):
+        rows = df.withColumn("_chunk", F.coalesce(F.trunc(order, "month"), F.lit("0001-01-01").cast("date")))
+    else:
+        rows = with_quantile_chunk(df, order)
+    place = F.coalesce(F.struct(F.col(order)), F.struct(F.lit(None).cast(kind).alias(order)))
+    pick = F.max_by if forward else F.min_by
+    known = [pick(F.col(c), F.when(F.col(c).isNotNull(), place)).alias(f"_last_{c}") for c in columns]
+    per_chunk = rows.groupBy(*keys, "_chunk").agg(*known)
+    along = F.col("_chunk") if forward else F.col("_chunk").desc()
+    before = Window.partitionBy(*keys).orderBy(along).rowsBetween(Window.unboundedPreceding, -1)
+    carried = per_chunk.select(*keys, "_chunk", *[F.last(f"_last_{c}", ignorenulls=True).over(before).alias(f"_carried_{c}") for c in columns])
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(F.col(order) if forward else F.col(order).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.join(carried, [*keys, "_chunk"]).withColumns(
+        {c: F.coalesce(F.last(c, ignorenulls=True).over(inside), F.col(f"_carried_{c}")) for c in columns})
+    return out.select(*df.columns)
+
+
 def fit_imputer(df: DataFrame, columns: list[str], strategy: str) -> dict[str, float]:
     """Fill values learnt from ``df``; empty for strategies that learn nothing."""
     if strategy == "mean":
@@ -83,7 +111,5 @@ def impute(df: DataFrame, columns: list[str], strategy: str, keys: list[str] | N
     if strategy == "interpolate":
         return fill_gaps(df, columns, "interpolate", keys, order)
     if strategy in ("ffill", "bfill"):
-        direction = F.col(order) if strategy == "ffill" else F.col(order).desc()
-        w = Window.partitionBy(*keys).orderBy(direction).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
+        return carry_values(df, columns, keys, order, forward=strategy == "ffill")
     raise ValueError(f"unknown strategy {strategy!r}")

@@ -108,3 +108,36 @@ def test_folds_partition_the_rows(skewed):
     assert sum(sizes) == 1000 and folded.where("fold IS NULL").count() == 0
     few = skewed.where("risk_label = 'at_risk'")
     assert mlprep.stratified_folds(few, "id", "risk_label").where("fold IS NOT NULL").count() == 0
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "date", "long"])
+def test_values_are_carried_across_chunks(spark, kind):
+    """One key with most rows over many chunks, another whose first chunks know nothing."""
+    order = {"timestamp": "timestamp_seconds(t * 5000)", "date": "date_add(DATE'2020-01-01', int(t))", "long": "t"}[kind]
+    data = [(1, t, float(t) if t % 41 == 3 else None) for t in range(900)] + [(2, t, 5.0 if t == 700 else None) for t in range(0, 900, 50)]
+    df = spark.createDataFrame(data, "k int, t long, v double").withColumn("at", F.expr(order)).repartition(5)
+    for strategy, step in (("ffill", 1), ("bfill", -1)):
+        want, last = {}, {}
+        for k, t, v in sorted(data)[::step]:
+            last[k] = v if v is not None else last.get(k)
+            want[k, t] = last[k]
+        got = fill.impute(df, ["v"], strategy, ["k"], "at")
+        assert got.columns == df.columns
+        assert {(r.k, r.t): r.v for r in got.collect()} == want
+
+
+def test_busy_day_of_gap_repair(spark):
+    """A day of one user with all rows: found in hours, and rows without a user stay as they are."""
+    from cohortgrid.operators import clean
+
+    rows = [(i, 1, i * 37, i * 37 + 20 + i % 3 * 200) for i in range(2000)] + [(5000, None, 10, 20), (5001, None, 15, 25)]
+    df = spark.createDataFrame(rows, "id long, app_user_id int, s long, e long").select(
+        "id", "app_user_id", *[F.expr(f"TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, {c})").alias(n) for c, n in (("s", "start_time"), ("e", "end_time"))])
+    got = {r.id: r for r in clean.repair_gaps(df).collect()}
+    assert len(got) == len(rows) and got[5000].previous_end is None and got[5001].previous_end is None
+    plain = {r.id: r for r in df.collect()}
+    for i in range(1, 2000):
+        before = plain[i - 1].end_time
+        assert got[i].previous_end == before
+        follows = (plain[i].start_time - before).total_seconds() <= 120
+        assert got[i].start_time == (before if follows else plain[i].start_time)
