@@ -2,6 +2,7 @@
 
 import html
 import math
+import random
 import re
 
 import numpy as np
@@ -65,6 +66,22 @@ def test_extract_odd_pages():
     assert template.extract(["<article>" + "<div>" * 3000 + "deep" + "</article>"]) == ["deep"]
 
 
+@pytest.mark.parametrize("inner", [
+    "<figure><img src=x><figcaption>kept text</figcaption></figure>", "<math><mi>kept</mi> <mi>text</mi></math>", "<noscript>kept text</noscript>",
+    "<fieldset>kept text</fieldset>", "<p><button>kept</button> text</p>", "<xmp>kept text</xmp>", "<dialog>kept text</dialog>",
+    "<h2 id='search-methods'>kept text</h2>", "<p class=related>kept text</p>", "<p id=comment-on-form>kept text</p>", "<header><h1>kept text</h1></header>"])
+def test_article_text_that_no_rule_names_stays(inner):
+    assert template.extract([f"<article><p>Before.</p>{inner}<p>After.</p></article>"]) == ["Before. kept text After."]
+
+
+@pytest.mark.parametrize("inner", [
+    "<nav>gone</nav>", "<aside>gone</aside>", "<footer>gone</footer>", "<form>gone</form>", "<menu>gone</menu>", "<script>gone</script>", "<style>gone</style>",
+    "<div class=advert>gone</div>", "<section id=comments><p>gone</p></section>", "<div role=navigation>gone</div>", "<div class='cookie notice'>gone</div>",
+    "<select><option>gone</select>", "<textarea>gone</textarea>"])
+def test_what_the_contract_names_goes_from_the_article(inner):
+    assert template.extract([f"<article><p>Before.</p>{inner}<p>After.</p></article>"]) == ["Before. After."]
+
+
 def test_template_classes_nest():
     pages = [template.read("<div><ul>" + "<li><a>x</a></li>" * n + "</ul></div>") for n in (2, 3, 4)]
     found = template.classes(pages)
@@ -180,6 +197,70 @@ def test_pipeline_near_dedup(spark, documents, say):
     assert same.any() and not same.all()
 
 
+@pytest.mark.parametrize("tile", [2048, 7])
+def test_near_texts_against_all_pairs(documents, say, tile):
+    """Random texts of shared passages, in whole comparisons and in many tiles; also texts of no or few words."""
+    from cohortgrid.llm import jaccard
+    from test_texts import WORD
+
+    rng = random.Random(9)
+    passages = [say(500 + k, 120).split() for k in range(4)]
+    texts = ["", " ", "\n", "one", "One", "one two", "a b c d e f", "A b c d e F"]
+    for _ in range(110):
+        words = list(rng.choice(passages)) + say(rng.randint(600, 640), rng.choice([0, 20, 40, 80])).split()
+        for _ in range(rng.randint(0, 4)):
+            words[rng.randrange(len(words))] = "edit"
+        texts.append(" ".join(words))
+    texts = list(dict.fromkeys(texts))
+    sets = []
+    for t in texts:
+        w = WORD.findall(t.lower())
+        sets.append({tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    up = list(range(len(texts)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])):
+                up[root(i)] = root(j)
+    classes = {}
+    for i in range(len(texts)):
+        classes.setdefault(root(i), set()).add(texts[i])
+    docs = documents(*enumerate(texts))
+    roots = jaccard.near_texts(docs, tile=tile)
+    got = {}
+    for r in docs.selectExpr("text", "xxhash64(text) AS node").join(roots, "node").collect():
+        got.setdefault(r.root, set()).add(r.text)
+    assert sorted(map(sorted, got.values())) == sorted(sorted(c) for c in classes.values() if len(c) > 1)
+
+
+def test_near_texts_makes_no_pair_rows(documents, say, monkeypatch):
+    """Texts that share a passage without being near-duplicates: rows grow with the texts."""
+    from cohortgrid.llm import jaccard
+
+    made = []
+    for n in (100, 200, 400):
+        rows, before = [(k, say(1, 150) + " " + say(1000 + k, 60)) for k in range(n)], jaccard.stored
+        count = 0
+
+        def counted(df, purpose):
+            nonlocal count
+            out = before(df, purpose)
+            if purpose != "sketches":
+                count += out.count()
+            return out
+
+        monkeypatch.setattr(jaccard, "stored", counted)
+        assert jaccard.near_texts(documents(*rows)).count() == 0
+        monkeypatch.setattr(jaccard, "stored", before)
+        made.append(count)
+    assert made[2] < 5 * made[0] and made[2] < 40 * 400
+
+
 def test_pipeline_near_dedup_of_shared_ids(spark, documents, say):
     import corpus_pipeline as pipeline
 
