@@ -1,8 +1,9 @@
 """Sharding by vector bin packing: bytes, tokens and rows balanced jointly.
 
-Documents with equal texts form a group that is placed as one, unless it is larger than ``1 / PIECES`` of a
-shard in some measure; then it is split into pieces of about that size. Every group goes to the shard where
-the dot product of its (bytes, tokens, rows) with the shard's residual capacity is highest, largest first.
+Documents with equal texts form a group that is placed as one, unless it is by itself larger than a whole shard
+in some measure; then it is split into pieces of about ``1 / PIECES`` of a shard. Every group goes to the shard where
+the dot product of its (bytes, tokens, rows) with the shard's residual capacity is highest, largest first; a measure
+that a shard has used up counts as none left, so that what it still has of the others is filled.
 
 Groups above ``1 / LARGE`` of a shard are at most ``3 * shards * LARGE`` by their size, so the driver places
 those. The rest are dealt by hash into parts of about ``PART`` groups; each part gets its share of every
@@ -37,7 +38,8 @@ def place(units: np.ndarray, residual: np.ndarray) -> np.ndarray:
     units, left = units / scale, residual / scale
     out = np.empty(len(units), np.int32)
     for i in np.argsort(-units.max(axis=1), kind="stable"):
-        best = int(np.argmax(left @ units[i]))
+        open_ = np.maximum(left, 0) @ units[i]
+        best = int(np.argmax(open_)) if open_.any() else int(np.argmax(left @ units[i]))
         out[i] = best
         left[best] -= units[i]
     residual[:] = left * scale
@@ -64,8 +66,8 @@ def assign(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     of_shard = [max(t / shards, 1e-9) for t in total[:3]]
     share = F.greatest(*[F.col(m) / F.lit(s) for m, s in zip(MEASURES, of_shard)])
     pieces = F.ceil(share * PIECES)
-    # Fewer than 3 * shards * PIECES groups can be that large: a bounded broadcast.
-    split = groups.where((pieces > 1) & (F.col("_rows") > 1)).select("_gid", F.least(pieces, F.col("_rows")).alias("_pieces"))
+    # Fewer than 3 * shards groups can be that large: a bounded broadcast.
+    split = groups.where((share > 1) & (F.col("_rows") > 1)).select("_gid", F.least(pieces, F.col("_rows")).alias("_pieces"))
     rows = rows.join(F.broadcast(split), "_gid", "left").withColumn(
         "_sub", F.coalesce(F.floor(F.col("_salt") * F.col("_pieces")), F.lit(0)))
     units = stored(rows.groupBy("_gid", "_sub").agg(*sums), "shard-units")
