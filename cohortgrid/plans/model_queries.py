@@ -388,8 +388,14 @@ def sweep_table(b, names: tuple[str, ...] = sweep.MODELS) -> DataFrame:
 
 @query("sweep_results")
 def sweep_results(b):
-    """Both models of every pair of the grid, with supports and metrics."""
-    return sweep_table(b)
+    """The logistic models of every pair of the grid, with supports and metrics."""
+    return sweep_table(b, ("lr",))
+
+
+@query("sweep_forests")
+def sweep_forests(b):
+    """The forests of every pair of the grid, as rows like those of ``sweep_results``."""
+    return sweep_table(b, ("rf",))
 
 
 @query("sweep_supports", sql("""SELECT lookback_hours, subwindow_hours, n_samples, n_train, n_test, support_positive, support_negative FROM grid CROSS JOIN (

@@ -57,3 +57,30 @@ def test_search_fits_once_for_points_that_share_trees(train, monkeypatch, name,
                 m = make(name, **(whole | point)).fit(models.assemble(train.where(F.col("fold") != fold), COLUMNS))
                 alone.append(models.SafeRecall().evaluate(m.transform(models.assemble(train.where(F.col("fold") == fold), COLUMNS))))
             assert recall == pytest.approx(sum(alone) / 2)
+
+
+@pytest.fixture(scope="module")
+def separable(spark):
+    rows = [(i, i % 10, float(i % 2), float(i % 2) * 3 + (i % 5) * 0.1, float((i * 37) % 11)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, app_user_id long, label double, a double, b double")
+    return mlprep.split_stratified(df, "id", "label").cache()
+
+
+@pytest.mark.parametrize("name,params", [("rf", {"numTrees": 5}), ("gbt", {"maxIter": 5}), ("mlp", {"maxIter": 40})])
+def test_models_learn_a_separable_label(separable, name, params):
+    scored = models.fit_predict(name, separable, "id", COLUMNS, scaled=name == "mlp", **params).collect()
+    assert {r.id for r in scored} == {r.id for r in separable.where("is_test").collect()}
+    assert all(r.y_true == r.y_pred and (r.score > 0.5) == (r.y_pred == 1) for r in scored)
+
+
+def test_importance_goes_to_the_column_that_tells(spark, separable):
+    fitted = models.make_model("rf", numTrees=5).fit(models.assemble(mlprep.with_class_weight(separable), COLUMNS))
+    got = models.feature_importances(fitted, COLUMNS, spark, 1).collect()
+    assert [r.feature for r in got] == ["a"] and got[0].share > 0.9
+
+
+def test_hashed_features_by_value(spark):
+    df = spark.createDataFrame([(1, "x", "u"), (2, "x", "v"), (3, "y", "u"), (4, None, "u")], "id int, p string, q string")
+    got = {r.id: r.hashed for r in mlprep.hash_features(df, ["p", "q"]).collect()}
+    assert all(v.size == mlprep.HASH_BUCKETS for v in got.values())
+    assert got[1].dot(got[2]) == 1 and got[1].dot(got[3]) == 1 and got[2].dot(got[3]) == 0 and got[4].numNonzeros() <= 2
