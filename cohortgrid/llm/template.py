@@ -41,11 +41,15 @@ from .common import dropped, query, stored, table
 LEAST_PAGES = 3
 
 # Elements of HTML by what they do to text, and words that mark what isn't main text.
-RAW = "script style textarea noscript template iframe svg math select option button title xmp".split()
+RAW = "script style textarea template iframe svg select option title".split()
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span "
-                   "strike strong sub sup time tt u var wbr img".split())
-NOISE_TAGS = frozenset("head nav header footer aside form menu dialog figure object canvas audio video fieldset".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big button cite code data del dfn em font i ins kbd label mark math mi mn mo mrow ms mtext "
+                   "q s samp small span strike strong sub sup time tt u var wbr img".split())
+NOISE_TAGS = frozenset("head nav header footer aside form menu dialog figure object canvas audio video fieldset noscript button math xmp".split())
+# Inside the article only menus, footers, sidebars, notices, adverts, forms and reader comments go, and only boxes are
+# read for words that mark these: headings, paragraphs and the like are the article's own, whatever they are called.
+NOISE_IN_ARTICLE = frozenset("nav footer aside form menu".split())
+BOXES = frozenset("div section aside nav ul ol dl table details center".split())
 NOISE_WORDS = frozenset("ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promotion banner "
                         "nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead cookie cookies "
                         "consent notice notices alert popup modal newsletter subscribe signup login comment comments reply replies "
@@ -85,13 +89,16 @@ def _hash(*of) -> int:
 
 def _element(name: str, attrs: str, above: Element) -> Element:
     words: list[str] = []
-    noise = above.noise or (name in NOISE_TAGS and not (name == "header" and above.main))
+    noise = above.noise or name in (NOISE_IN_ARTICLE if above.main else NOISE_TAGS)
     if attrs:
         for key, *values in ATTRIBUTE.findall(attrs):
             found = PART.findall("".join(values).lower())
             words += found
             # An article's own classes name its kind ("article form-post"); body's name the page.
-            if name not in ("html", "body", "article", "main"):
+            if above.main and name not in ("article", "main"):
+                if name in BOXES or key.lower() == "role":
+                    noise = noise or not (NOISE_ROLES if key.lower() == "role" else NOISE_WORDS).isdisjoint(found)
+            elif name not in ("html", "body", "article", "main"):
                 noise = noise or not (NOISE_ROLES if key.lower() == "role" else NOISE_WORDS).isdisjoint(found)
             elif name == "article":
                 noise = noise or not {"comment", "comments", "reply", "ad", "ads", "advert", "sponsored", "promo"}.isdisjoint(found)
