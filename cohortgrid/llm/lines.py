@@ -6,7 +6,7 @@ inserted, deleted or replaced) and both have ``MIN_WORDS`` words or more. Earlie
 line number. Lines are judged on the input, not on what is left; lines without words stay.
 
 Equal lines are first reduced to one row each. Every line then emits its variants, the line itself and the
-line with each one word deleted, as hashed keys. Lines that share a variant made by deleting at the same place
+line with each one word deleted, as hashed keys (``_variant_hashes``). Lines that share a variant made by deleting at the same place
 are all within one replacement of each other, so the earliest of them stands for all; a line that equals a
 variant of another is one insertion away. Each match is therefore a grouped minimum and a join back, never
 all pairs of a group, and is verified on the words. Of two lines one edit apart, the words before or the words
@@ -45,6 +45,30 @@ def _without(line: str, n: str, i: str) -> Column:
     return F.expr(f"trim(concat_ws(' ', substring_index({line}, ' ', {i}), substring_index({line}, ' ', {i} + 1 - {n})))")
 
 
+def _let(value: str, name: str, body: str) -> str:
+    """SQL for ``body`` with ``name`` bound to ``value``, which is evaluated once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def _xor(values: str) -> str:
+    return f"aggregate({values}, 0L, (q, v) -> q ^ v)"
+
+
+def _variant_hashes(w: str) -> Column:
+    """Hashes of a line's words with each one left out.
+
+    A sequence's hash is the exclusive or of the hashes of its words with their places, so a variant's is that of the
+    words before, with their places, and of the words after, each one place ahead. The first part is an exclusive or
+    of a prefix; prefixes are formed from blocks of about the root of the line's length, so a line of n words takes
+    n times its root, not n times n, steps."""
+    own, moved = "transform({w}, (x, i) -> xxhash64(x, i) ^ xxhash64(x, i - 1))", "transform({w}, (x, i) -> xxhash64(x, i - 1))"
+    each = f"transform(z.b, (x, i) -> ah[i div z.s] ^ {_xor('slice(z.c, int(i div z.s) * z.s + 1, i % z.s)')} ^ x ^ t)"
+    ahead = f"transform(sequence(0, size(bl) - 1), k -> {_xor('slice(bl, 1, k)')})"
+    blocks = f"transform(sequence(0, int((size(z.c) - 1) div z.s)), k -> {_xor('slice(z.c, k * z.s + 1, z.s)')})"
+    first = f"named_struct('c', {own.format(w=w)}, 'b', {moved.format(w=w)}, 's', int(ceil(sqrt(size({w})))))"
+    return F.expr(_let(first, "z", _let(_xor("z.b"), "t", _let(blocks, "bl", _let(ahead, "ah", each)))))
+
+
 def removed_lines(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``(doc_id, key, exact, near)``: numbers of the lines to remove from the text with that hash.
 
@@ -74,10 +98,10 @@ def removed_lines(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         F.array_join(words(F.get("_t", F.col("e.line"))), " ").alias("text")), "lines-found")
 
     # Variants as hashed keys; slot: the deleted word, -1 for the line itself.
-    variants = found.withColumn("slot", F.explode(F.sequence(F.lit(-1), F.col("n") - 1))).select(
-        "at", "id", "slot", F.when(F.col("slot") < 0, F.xxhash64("text")).otherwise(
-            F.xxhash64(_without("text", "n", "slot"))).alias("variant"))
-    variants = stored(variants, "lines-variants")
+    split = found.select("at", "id", F.split("text", " ").alias("_v"))
+    whole_ = F.expr(_xor("transform(_v, (x, i) -> xxhash64(x, i))"))
+    variants = split.select("at", "id", F.posexplode(F.concat(F.array(whole_), _variant_hashes("_v"))).alias("slot", "variant"))
+    variants = stored(variants.select("at", "id", (F.col("slot") - 1).alias("slot"), "variant"), "lines-variants")
     best = variants.groupBy("variant", "slot").agg(F.min(F.struct("at", "id", "slot")).alias("best"), F.count("*").alias("c"))
     best = stored(best, "lines-best")
     whole, cut = F.col("slot") < 0, F.col("slot") >= 0

@@ -116,6 +116,28 @@ def lines_brute(rows, least):
     return sorted(out, key=str)
 
 
+def test_variant_hashes(spark):
+    """Equal exactly where the words that are left are equal."""
+    rng = random.Random(8)
+    lines_ = [rng.choices("abc", k=n) for n in (1, 2, 3, 4, 5, 8, 9, 10, 16, 17, 30) for _ in range(8)]
+    df = spark.createDataFrame([(x,) for x in lines_], "w array<string>")
+    whole = F.expr(lines._xor("transform(w, (x, i) -> xxhash64(x, i))"))
+    found = {}
+    for r in df.select("w", whole.alias("h"), lines._variant_hashes("w").alias("v")).collect():
+        assert len(r.v) == len(r.w)
+        for words, h in [(r.w, r.h)] + [(r.w[:i] + r.w[i + 1:], h) for i, h in enumerate(r.v)]:
+            found.setdefault(tuple(words), set()).add(h)
+    assert all(len(h) == 1 for h in found.values()) and len({h for hs in found.values() for h in hs}) == len(found)
+
+
+def test_very_long_lines(documents, say):
+    """Two lines of 20,000 words, one word apart: a text without line feeds is a line."""
+    long = say(7, 20_000).split()
+    other = [*long[:9000], "new", *long[9001:]]
+    out = lines.line_dedup(documents((1, " ".join(long)), (2, " ".join(other)), (3, " ".join(long[5:])))).collect()
+    assert {r["doc_id"]: (r["n_lines"], r["n_exact"], r["n_near"]) for r in out} == {1: (1, 0, 0), 2: (1, 0, 1), 3: (1, 0, 0)}
+
+
 def test_line_dedup(documents, mixed_rows, say):
     base = say(20, 10).split()
     variants = [base, base[:4] + ["new"] + base[5:], base[:7] + base[8:], base + ["more"], ["x"] + base, base[:2] + ["p", "q"] + base[4:]]
@@ -297,6 +319,35 @@ def test_shard(documents, say):
     assert sharding.shard(documents()).count() == 0
 
 
+def test_shard_keeps_groups_whole(documents, say):
+    """Equal texts are together unless there are more of them than a whole shard holds."""
+    rows = [(k, say(k, 30 + k % 90)) for k in range(3000)]
+    rows += [(10_000 + 100 * g + k, say(5000 + g, 20 + 3 * g)) for g in range(40) for k in range(2 + 3 * (g % 8))]
+    rows += [(20_000 + k, "hot") for k in range(1500)]
+    where = {}
+    got = sharding.shard(documents(*rows)).collect()
+    shard_of = {r["doc_id"]: r["shard"] for r in got}
+    for i, t in rows:
+        where.setdefault(t, set()).add(shard_of[i])
+    assert {t for t, s in where.items() if len(s) > 1} == {"hot"}
+    load = [sum(r["size"] for r in got if r["shard"] == s) for s in range(24)]
+    assert max(load) <= 1.03 * min(load)
+
+
+def test_place_takes_the_highest_dot_product():
+    rng = random.Random(6)
+    units = [[rng.random() * 10, rng.random() * 3, rng.randint(1, 4)] for _ in range(60)]
+    residual = [[sum(u[m] for u in units) / 5 for m in range(3)] for _ in range(5)]
+    got = sharding.place(np.array(units), np.array(residual))
+    scale = [sum(r[m] for r in residual) for m in range(3)]
+    left = [[r[m] / scale[m] for m in range(3)] for r in residual]
+    rel = [[u[m] / scale[m] for m in range(3)] for u in units]
+    for i in sorted(range(60), key=lambda i: -max(rel[i])):
+        open_ = [sum(max(s[m], 0) * rel[i][m] for m in range(3)) for s in left]
+        assert open_[got[i]] >= max(open_) - 1e-12
+        left[got[i]] = [a - b for a, b in zip(left[got[i]], rel[i])]
+
+
 def test_best_two_fit():
     random.seed(2)
     for cap in (10, 97, 4096):
@@ -349,3 +400,38 @@ def test_resample(documents, spark, say):
     assert min(kept) >= max(r["score"] for r in got if not r["kept"])
     assert resample.gumbel_top_k(resample.weigh(documents(), resample.fit(documents(), labels)), 0.5).count() == 0
     assert set(resample.fit(docs, labels.where("doc_id < 0"))) == {0.0}
+
+
+def test_resample_weights(documents, spark, say):
+    """Log weights from plain counts of each text's grams."""
+    rows = [(k, say(k % 4, 5 + k) + (" Good" if k % 3 else " bad")) for k in range(30)] + [(40, None), (41, ""), (None, say(1, 9))]
+    good = {k for k in range(30) if k % 3}
+    grams = {}
+    for i, t in rows:
+        w = WORD.findall((t or "").lower())
+        each = [resample.ngrams([x])[0][0] for x in w] + [resample.ngrams([f"{x} {y}"])[0][2] for x, y in zip(w, w[1:])]
+        grams.setdefault(i, []).extend(each)
+    raw, target = np.zeros(resample.BUCKETS), np.zeros(resample.BUCKETS)
+    for i, each in grams.items():
+        for g in each:
+            raw[g] += 1
+            target[g] += i in good
+    ratio = np.log((target + 1) / (target.sum() + resample.BUCKETS)) - np.log((raw + 1) / (raw.sum() + resample.BUCKETS))
+    model = resample.fit(documents(*rows), spark.createDataFrame([(k,) for k in good], "doc_id long"))
+    got = {r["doc_id"]: (r["n_grams"], r["log_weight"]) for r in resample.weigh(documents(*rows), model).collect()}
+    assert got == {i: (len(each), pytest.approx(sum(ratio[g] for g in each))) for i, each in grams.items()}
+
+
+@pytest.mark.parametrize("k", [0, 1, 7, 250, 500, 999, 1000])
+def test_first_rows_orders_no_large_group(spark, k):
+    rows = [(float(i % 3 if i % 2 else i), i % 5, i) for i in range(1000)]
+    df = spark.createDataFrame(rows, "a double, b long, c long").cache()
+    got = df.where(resample.first_rows(df, k, ["a", "b", "c"], most=20)).collect()
+    assert sorted(tuple(r) for r in got) == sorted(rows)[:k]
+
+
+def test_resample_ties(spark):
+    weighed = spark.createDataFrame([(None, 1, 0.5)] * 30 + [(7, 1, 0.5)] * 40 + [(8, 1, 0.25)], "doc_id long, n_grams long, log_weight double")
+    out = resample.gumbel_top_k(weighed, 0.5).collect()
+    assert sum(r["kept"] for r in out) == round(0.5 * 71) and len(out) == 71
+    assert min(r["score"] for r in out if r["kept"]) >= max(r["score"] for r in out if not r["kept"])
