@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from threading import Lock
 
 from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
@@ -119,10 +120,13 @@ def run_experiments(rows: DataFrame, key: str, names: tuple[str, ...] = ("lr", "
         found = []
     known = {r[:4] for r in found}
 
+    one_at_a_time = Lock()  # writers to one folder share its folder of unfinished files
+
     def keep(new: list[tuple]) -> None:
-        found.extend(new)
-        if path and new:
-            spark.createDataFrame(new, COUNTS).coalesce(1).write.mode("append").parquet(path)
+        with one_at_a_time:
+            found.extend(new)
+            if path and new:
+                spark.createDataFrame(new, COUNTS).coalesce(1).write.mode("append").parquet(path)
 
     def left(name: str) -> DataFrame:
         some = [k[:3] for k in known if k[3] == name]

@@ -456,12 +456,6 @@ def experiment_results(b):
     return experiment(b, ("lr", "rf"))
 
 
-@query("experiment_boosted")
-def experiment_boosted(b):
-    """Boosted trees, 600 rounds, on every split and window."""
-    return experiment(b, ("gbt",), baseline=False, parallelism=8)
-
-
 # ------------------------------------------------------- all targets together
 
 TARGET_WINDOWS = [12, 24, 48]

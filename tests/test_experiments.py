@@ -72,6 +72,16 @@ def test_joint_models_score_like_single_fits_and_resume(rows, training, tmp_path
         experiments.run_experiments(rows, "id", ("lr",), ("stratified", "temporal"), path=path)
 
 
+def test_models_fitted_one_by_one(rows, tmp_path):
+    """Boosted trees, with the caller's settings; a row that is there already is kept."""
+    path = f"file://{tmp_path}/boosted"
+    got = experiments.run_experiments(rows.where("target = 'first'"), "id", ("gbt",), ("by_user",), baseline=False, path=path, maxIter=2, maxDepth=2).collect()
+    assert {(r.window_hours, r.model) for r in got} == {(1, "gbt"), (2, "gbt")}
+    assert all(r.tp + r.fp + r.fn + r.tn == r.n_test > 0 for r in got)
+    again = experiments.run_experiments(rows.where("target = 'first'"), "id", ("gbt",), ("by_user",), baseline=False, path=path, maxIter=0).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+
+
 def test_comparison_and_best(rows):
     results = experiments.run_experiments(rows, "id", ("lr",), ("temporal", "by_user")).cache()
     ordered = experiments.comparison(results).collect()
