@@ -6,8 +6,8 @@ With Gumbel noise added, the k largest scores are a sample without replacement i
 
 The model is ``BUCKETS`` pairs of counts, whatever the corpus: the only thing the driver sees. Target ids are
 the ``MAX_TARGET`` labelled rows that come first by hash (a documented bound; below it, all), small enough to
-broadcast, so texts are never shuffled. The k-th score is found between two approximate quantiles about it:
-only the rows between them, about one in a thousand, are put in order.
+broadcast, so texts are never shuffled. The k-th score is found by narrowing a bracket about it with exact counts;
+at most ``EDGE`` rows are ever put in order, and rows of one score are told apart by id in the same way.
 
 Edge cases: a null or empty text has no n-grams and log weight 0; noise depends on the seed and the id, so
 reruns agree, repeated rows tie and ties go by id; rows with a null id are scored too and share one noise;
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import mixed, query, stored, table, unit, word_hashes
@@ -29,6 +29,7 @@ from .common import mixed, query, stored, table, unit, word_hashes
 BUCKETS = 10_000
 MAX_TARGET = 100_000
 ACCURACY = 10_000
+EDGE = 20_000
 SEED = "resample-1"
 
 
@@ -83,27 +84,50 @@ def weigh(docs: DataFrame, model: list[float], text: str = "text", doc_id: str =
         run, "doc_id long, n_grams long, log_weight double")
 
 
+def first_rows(rows: DataFrame, k: int, order: list[str], most: int = EDGE) -> Column:
+    """A condition that holds for the first ``k`` rows in the ascending order of some numeric columns.
+
+    A bracket about the k-th value of the first column is narrowed by pivots from a sketch and exact counts of what
+    lies below, at, between and above them, until at most ``most`` rows or one value are left; rows of one value are
+    told apart by the next column. So no task orders more than ``most`` rows, however many share a value. ``rows``
+    must be written rows, with no two equal in all columns."""
+    kept, open_ = F.lit(False), F.lit(True)
+    for name in order:
+        c = F.col(name)
+        while True:
+            left = rows.where(open_)
+            n = left.count()
+            if k <= 0:
+                return kept
+            if k >= n:
+                return kept | open_
+            if n <= most:
+                last = left.select(*order).orderBy(*order).limit(k).tail(1)[0]  # at most ``most`` rows
+                upto = F.struct(*[F.col(x) for x in order]) <= F.struct(*[F.lit(last[x]).cast(rows.schema[x].dataType) for x in order])
+                return kept | (open_ & upto)
+            at = [min(1.0, max(0.0, k / n + side * 2 / ACCURACY)) for side in (-1, 1)]
+            low, high = left.agg(F.percentile_approx(name, at, ACCURACY)).first()[0]
+            zones = [c < F.lit(low), c == F.lit(low), c > F.lit(low)]
+            if high > low:
+                zones[2:] = [(c > F.lit(low)) & (c < F.lit(high)), c == F.lit(high), c > F.lit(high)]
+            for i, size in enumerate(left.agg(*[F.count_if(z) for z in zones]).first()):
+                if k <= size:
+                    break
+                kept, k = kept | (open_ & zones[i]), k - size
+            open_ = open_ & zones[i]
+            if i in (1, 3):
+                break
+    return kept | open_  # one row, the k-th
+
+
 def gumbel_top_k(weighed: DataFrame, share: float, seed: str = SEED) -> DataFrame:
-    """``weighed`` with ``score`` and ``kept``: true for the ``round(share * rows)`` largest scores."""
+    """``weighed`` with ``score`` and ``kept``: true for the ``round(share * rows)`` largest scores; of equal scores
+    the smaller ids, null first, and of rows that share an id any."""
     noise = -F.log(-F.log(unit(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-    rows = stored(weighed.withColumn("score", F.col("log_weight") + noise), "scores")
-    n = rows.count()
-    k = round(share * n)
-    # Narrow bounds about the k-th score, checked by counting: widened until it lies between them.
-    slack = 4 / ACCURACY
-    while True:
-        at = [min(1.0, max(0.0, 1 - share + side * slack)) for side in (-1, 1)]
-        low, high = rows.agg(F.percentile_approx("score", at, ACCURACY)).first()[0] or (0.0, 0.0)
-        low, high = (float("-inf") if at[0] == 0 else low), (float("inf") if at[1] == 1 else high)
-        above, within = rows.agg(
-            F.count_if(F.col("score") > high), F.count_if((F.col("score") <= high) & (F.col("score") >= low))).first()
-        if above <= k <= above + within:
-            break
-        slack *= 4
-    between = (F.col("score") <= high) & (F.col("score") >= low)
-    edge = rows.where(between).withColumn("_r", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")))
-    return rows.where(~between).withColumn("kept", F.col("score") > high).unionByName(
-        edge.withColumn("kept", F.col("_r") <= k - above).drop("_r"))
+    scored = weighed.withColumn("score", F.col("log_weight") + noise)
+    rows = stored(scored.withColumns({"_down": -F.col("score"), "_id": F.coalesce("doc_id", F.lit(-(1 << 63))), "_any": F.monotonically_increasing_id()}), "scores")
+    kept = first_rows(rows, round(share * rows.count()), ["_down", "_id", "_any"])
+    return rows.withColumn("kept", F.coalesce(kept, F.lit(False))).drop("_down", "_id", "_any")
 
 
 @query("op8_quality_classifier")
