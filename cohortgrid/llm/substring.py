@@ -255,11 +255,12 @@ def repeats(rows: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame
     spans = stored(state.where("hit").groupBy("doc_id", "key").agg(F.collect_list("spans").alias("spans")), "spans")
     found, length = [spans.select("doc_id", "key", F.lit(window).alias("longest"))], window
     while n := state.agg(F.sum("n")).first()[0]:
-        # The rounds' windows of a document together again.
-        whole = state.groupBy("doc_id", "key", "n_words").agg(F.collect_list(F.struct("at", "h")).alias("parts"))
+        # The rounds' windows of a document together again. Written, since blocks are named by the order in which rows
+        # arrive: a task that runs again has to read the same rows in the same order.
+        whole = stored(state.groupBy("doc_id", "key", "n_words").agg(F.collect_list(F.struct("at", "h")).alias("parts")), "repeats-whole")
         length *= 2
         state = _level(whole, _from_state(length // 2), n, length, False)
-        for old in states:
+        for old in [*states, whole]:
             dropped(old)
         states = [state]
         found.append(stored(state.where("hit").select("doc_id", "key", F.lit(length).alias("longest")), "longest"))
