@@ -353,11 +353,10 @@ def sweep_pieces(sessions: DataFrame, surveys: DataFrame, max_lookback: int = 30
     """``(survey_response_id, subwindow_hours, piece, _top, num_apps)`` for every sub-window size up to the longest
     lookback, pieces with usage only. A piece depends on the size and its index, so it serves all lookbacks.
 
-    Usage is summed to (survey, hour, category, app) and dealt out by survey before it is repeated for the sizes, so
-    the repeated rows are grouped where they are made."""
+    Usage holds one row for each (survey, hour, category, app). Rows repeated for the sizes are summed before they are
+    shuffled; dealing them out by survey first took half as long again at sf0.1."""
     refs = reference_times(surveys, True, reference_hour).select("survey_response_id", "app_user_id", "ref_ts")
-    usage = aligned_usage(sessions, refs, max_lookback).groupBy("survey_response_id", "hour_age", "app_category", "app_name").agg(
-        F.sum("minutes").cast(EXACT).alias("minutes")).repartition("survey_response_id")
+    usage = aligned_usage(sessions, refs, max_lookback)
     usage = usage.withColumn("subwindow_hours", F.explode(F.sequence(F.lit(1), F.lit(max_lookback))))
     piece = F.floor(F.col("hour_age") / F.col("subwindow_hours")).cast("int")
     usage = usage.withColumn("piece", piece).where((F.col("piece") + 1) * F.col("subwindow_hours") <= max_lookback)
