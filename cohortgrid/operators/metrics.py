@@ -105,4 +105,4 @@ def best_rows(results: DataFrame, keys: list[str], metric: str, tie: list[str],
 
 def pivot_metric(results: DataFrame, rows: str, columns: str, values: list, metric: str) -> DataFrame:
     """Mean metric as a matrix; ``values`` lists the column keys."""
-    return results.groupBy(rows).pivot(columns, values).agg(F.avg(metric))
+    return results.groupBy(rows).pivot(columns, values).agg(F.avg(metric).cast("double"))
