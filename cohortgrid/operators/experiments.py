@@ -81,7 +81,7 @@ def _joint(rows: DataFrame, open_: DataFrame) -> DataFrame:
     fitted = newton.fit_keyed(named.where(~F.col("is_test")).select("k", "label", "x"))
     scored = materialize(newton.score_keyed(named.where("is_test").select("k", "label", "x"), fitted, []), "experiment-scores")
     release(named)
-    part = F.split("model_key", "/")
+    part = F.split("k", "/")
     return scored.select(part[0].alias("target"), part[1].cast("int").alias("window_hours"), part[2].alias("split_mode"), "y_true", "y_pred")
 
 
