@@ -63,7 +63,7 @@ def split_all(rows: DataFrame, key: str, modes: Iterable[str] = SPLITS, test_siz
 
 def _sizes(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*KEYS).agg(F.count_if(~F.col("is_test")).alias("n_train"), F.count_if("is_test").alias("n_test"),
-                                   F.count_distinct(F.when(~F.col("is_test"), F.col("label"))).alias("classes")).where("n_test > 0")
+                                   F.count_distinct(F.when(~F.col("is_test"), F.col("label"))).alias("classes"), F.max(F.size("x")).alias("width")).where("n_test > 0")
 
 
 def _baseline(rows: DataFrame, key: str) -> DataFrame:
@@ -85,11 +85,13 @@ def _joint(rows: DataFrame, open_: DataFrame) -> DataFrame:
     return scored.select(part[0].alias("target"), part[1].cast("int").alias("window_hours"), part[2].alias("split_mode"), "y_true", "y_pred")
 
 
-def _one_by_one(rows: DataFrame, name: str, open_: DataFrame, parallelism: int, keep: Callable[[list[tuple]], None], **params) -> None:
+def _one_by_one(rows: DataFrame, key: str, name: str, open_: DataFrame, parallelism: int, keep: Callable[[list[tuple]], None], **params) -> None:
     def run(one) -> None:
         own = rows.where((F.col("target") == one.target) & (F.col("window_hours") == one.window_hours) & (F.col("split_mode") == one.split_mode))
-        own = own.select("is_test", "label", array_to_vector("x").alias("features"))
-        train = mlprep.with_class_weight(own.where(~F.col("is_test"))).hint("rebalance").persist()
+        own = own.select(key, "is_test", "label", array_to_vector("x").alias("features"))
+        train = models.dealt(mlprep.with_class_weight(own.where(~F.col("is_test"))), one.width, key).persist()
+        if name == "gbt":
+            models.checkpointed(rows.sparkSession)
         try:
             model = models.make_model(name, **params).fit(train)
         finally:
@@ -146,7 +148,7 @@ def run_experiments(rows: DataFrame, key: str, names: tuple[str, ...] = ("lr", "
             if open_.take(1):
                 keep(counted(_joint(table, open_), name, open_))
         else:
-            _one_by_one(table, name, open_, parallelism, keep, **params)
+            _one_by_one(table, key, name, open_, parallelism, keep, **params)
     for t in (table, sizes):
         release(t)
     return metrics.classification_metrics(spark.createDataFrame(found, COUNTS))

@@ -1,9 +1,12 @@
 """Staged evaluation of forests and boosted trees."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from cohortgrid.operators import mlprep, models
+from cohortgrid.session import materialize, release
 
 COLUMNS = ["a", "b"]
 
@@ -84,3 +87,23 @@ def test_hashed_features_by_value(spark):
     got = {r.id: r.hashed for r in mlprep.hash_features(df, ["p", "q"]).collect()}
     assert all(v.size == mlprep.HASH_BUCKETS for v in got.values())
     assert got[1].dot(got[2]) == 1 and got[1].dot(got[3]) == 1 and got[2].dot(got[3]) == 0 and got[4].numNonzeros() <= 2
+
+
+def test_fits_run_as_many_tasks_as_their_rows_fill(spark):
+    """Few rows go to one task whatever the cluster's shuffle has; many rows to more."""
+    few = spark.range(0, 2000, 1, 24).select("id", F.lit(0.5).alias("a"))
+    assert models.dealt(few, 48, "id").rdd.getNumPartitions() == 1
+    assert models.dealt(few, 48 * 1000).rdd.getNumPartitions() == -(-2000 * 48_000 * 8 // models.TASK_BYTES)
+    assert models.dealt(few.limit(0), 48).rdd.getNumPartitions() == 1
+
+
+def test_tables_by_column_are_read_by_folder_and_released(spark):
+    rows = spark.range(100).select("id", F.concat(F.lit("0"), (F.col("id") % 3).cast("string")).alias("k"))
+    table = materialize(rows, "by", by="k")
+    assert table.where("k = '01'").count() == 33 and dict(table.dtypes) == dict(rows.dtypes)
+    plan = table.where("k = '01'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(k" in plan
+    folder = table.inputFiles()[0].rsplit("/", 2)[0].removeprefix("file:").replace("///", "/")
+    assert os.path.isdir(folder)
+    release(table)
+    assert not os.path.exists(folder)
