@@ -397,3 +397,19 @@ def test_status_matrix_of_sparse_days_and_long_studies(rows):
     want = {(u, d): "none" for u in (1, 2, 3) for d in range(1, 131)}
     want |= {(1, 1): "data", (1, 64): "both", (2, 130): "data", (3, 126): "survey"}
     assert got == want
+
+
+def test_sweep_shuffles_a_surveys_usage_once(rows, bound):
+    """Sizes are read from one list of a survey's usage: none of the thirty copies crosses a shuffle."""
+    from cohortgrid.plans.align_queries import one_per_day_of
+
+    pieces = lookback.sweep_pieces(bound.category_sessions, one_per_day_of(bound))
+    plan = pieces._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("inline") < plan.index("Aggregate")
+    sessions = rows("screentime_id int, app_user_id int, app_name string, app_category string, total_time_minutes double, last_time_used ts",
+                    (1, 1, "x", "A", 2.0, "2024-01-02 08:30:00"), (2, 1, "y", "B", 2.0, "2024-01-02 08:10:00"), (3, 1, None, None, 9.0, "2024-01-02 07:30:00"))
+    surveys = rows("survey_response_id int, app_user_id int, survey_ts ts", (5, 1, "2024-01-02 20:00:00"), (6, 2, "2024-01-02 20:00:00"))
+    got = {(r.subwindow_hours, r.piece): (r._top and (r._top.category, r._top.minutes), r.num_apps) for r in lookback.sweep_pieces(sessions, surveys, 3).collect()}
+    assert got == {(1, 0): (("A", 2.0), 2), (1, 1): (None, 0), (2, 0): (("A", 2.0), 2), (3, 0): (("A", 2.0), 2)}
+    table = {(r.lookback_hours, r.subwindow_hours): (r.surveys_with_data, r.pieces_filled) for r in lookback.sweep_coverage(sessions, surveys, 3).collect()}
+    assert table == {(1, 1): (1, 1), (2, 1): (1, 2), (2, 2): (1, 1), (3, 1): (1, 2), (3, 3): (1, 1)}
