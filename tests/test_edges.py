@@ -413,3 +413,10 @@ def test_sweep_shuffles_a_surveys_usage_once(rows, bound):
     assert got == {(1, 0): (("A", 2.0), 2), (1, 1): (None, 0), (2, 0): (("A", 2.0), 2), (3, 0): (("A", 2.0), 2)}
     table = {(r.lookback_hours, r.subwindow_hours): (r.surveys_with_data, r.pieces_filled) for r in lookback.sweep_coverage(sessions, surveys, 3).collect()}
     assert table == {(1, 1): (1, 1), (2, 1): (1, 2), (2, 2): (1, 1), (3, 1): (1, 2), (3, 3): (1, 1)}
+
+
+def test_window_figures_that_nobody_reads_are_not_made(spark):
+    from cohortgrid.plans import QUERIES
+
+    plan = QUERIES["feature_summary"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_sort" not in plan and "array_distinct" not in plan
