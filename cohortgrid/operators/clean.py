@@ -149,14 +149,44 @@ def join_parent(apps: DataFrame, parents: DataFrame) -> DataFrame:
     return apps.join(parent, "screentime_id", "left")
 
 
-def app_sessions(apps: DataFrame, parents: DataFrame, cutoff: str = FIRST_SESSION_CUTOFF) -> DataFrame:
-    """App usage sessions with derived start times."""
-    joined = drop_excluded_apps(drop_repeated_sessions(join_parent(apps, parents)))
+def repaired_sessions(apps: DataFrame, parents: DataFrame, cutoff: str = FIRST_SESSION_CUTOFF) -> DataFrame:
+    """App sessions under their parents without repeats, with derived start times and ``was_first``: the user's first
+    session, shifted as in ``repair_first_session``.
+
+    Each user's first session is found from one row for each parent, and only its parent carries it back to the
+    sessions, so these are shuffled to their parents and to their repeats, and not once more to their users. Repeats
+    share the start, and the earliest one stays, so a first session is the same before they go.
+    """
+    apps = drop_excluded_apps(apps)
+    # One shuffle for both readers: they differ in no column or filter below it.
+    placed = apps.where(F.col("screentime_id").isNotNull()).repartition("screentime_id")
     seconds = F.col("total_time_ms") / F.lit(1000.0)
-    timed = joined.withColumn("total_time_seconds", seconds).withColumn(
-        "calculated_start_time", add_seconds(F.col("last_time_used"), -F.col("total_time_seconds"))
+    start = add_seconds(F.col("last_time_used"), -seconds).alias("start")
+    key = F.struct(start, F.struct("line", "app_name", "total_time_ms").alias("own"))
+    least = placed.groupBy("screentime_id").agg(F.min(key).alias("_least"))
+    parent = parents.select(F.col("id").alias("screentime_id"), "app_user_id", "start_time", "end_time")
+    firsts = parent.where(F.col("app_user_id").isNotNull()).join(least, "screentime_id").groupBy("app_user_id").agg(
+        F.min(F.struct("_least.start", "screentime_id", "_least.own")).alias("_first"))
+    firsts = firsts.select("app_user_id", "_first.screentime_id", F.struct("_first.start", "_first.own").alias("_first"))
+    joined = placed.join(parent.join(firsts, ["screentime_id", "app_user_id"], "left"), "screentime_id", "left")
+    alone = apps.where(F.col("screentime_id").isNull())
+    wrong = (key == F.col("_first")) & (start < F.col("start_time")) & (F.col("last_time_used") < ntz(cutoff))
+    marked = joined.withColumn("was_first", F.coalesce(wrong, F.lit(False))).drop("_first")
+    marked = marked.unionByName(alone.select(*[F.col(c) if c in alone.columns else F.lit(False if c == "was_first" else None).cast(
+        marked.schema[c].dataType).alias(c) for c in marked.columns]))
+    last, moved = F.col("last_time_used"), add_seconds(F.col("last_time_used"), seconds)
+    return drop_repeated_sessions(marked).withColumns(
+        {
+            "total_time_seconds": seconds,
+            "calculated_start_time": F.when(F.col("was_first"), last).otherwise(add_seconds(last, -seconds)),
+            "last_time_used": F.when(F.col("was_first"), moved).otherwise(last),
+        }
     )
-    return repair_first_session(timed, cutoff).select(
+
+
+def app_sessions(apps: DataFrame, parents: DataFrame, cutoff: str = FIRST_SESSION_CUTOFF) -> DataFrame:
+    """App usage sessions with derived start times."""
+    return repaired_sessions(apps, parents, cutoff).select(
         "app_user_id", "app_name", "calculated_start_time", "last_time_used", "total_time_ms", "total_time_seconds"
     )
 

@@ -220,6 +220,39 @@ def test_first_session_repair(rows):
     assert kept.calculated_start_time == ts(DAY + "09:50")
 
 
+def test_app_sessions_shuffle_each_row_to_its_parent_and_to_its_repeats_only(spark):
+    apps = spark.createDataFrame(
+        [(1, 1, "a", 60_000, DAY + "10:00"), (1, 2, "b", 60_000, DAY + "10:00"), (2, 1, "a", 60_000, DAY + "10:00"),
+         (3, 1, "a", 60_000, DAY + "10:00"), (4, 1, "launcher", 600_000, DAY + "09:00"), (5, 1, "a", 60_000, None),
+         (9, 1, "x", 60_000, DAY + "10:00"), (None, 1, "x", 60_000, DAY + "10:00"), (6, 1, "a", 1, DAY + "12:00"), (6, 1, "a", 1, DAY + "12:00")],
+        "screentime_id long, line int, app_name string, total_time_ms long, t string").selectExpr("*", "cast(t as timestamp_ntz) as last_time_used").drop("t")
+    parents = spark.createDataFrame(
+        [(1, 7, "10:00"), (2, 7, "10:00"), (3, 7, "11:00"), (4, 7, "12:00"), (5, 8, "10:00"), (6, None, "13:00"), (6, 9, "13:00"), (None, 7, "10:00")],
+        "id long, app_user_id long, t string").selectExpr("id", "app_user_id", f"cast(concat('{DAY}', t) as timestamp_ntz) as start_time",
+                                                         f"cast('{DAY}20:00' as timestamp_ntz) as end_time")
+    got = clean.repaired_sessions(apps, parents)
+    joined = clean.drop_excluded_apps(clean.drop_repeated_sessions(clean.join_parent(apps, parents)))
+    timed = joined.withColumn("total_time_seconds", F.col("total_time_ms") / 1000.0).withColumn(
+        "calculated_start_time", clean.add_seconds(F.col("last_time_used"), -F.col("total_time_seconds")))
+    columns = ["app_user_id", "screentime_id", "line", "app_name", "start_time", "calculated_start_time", "last_time_used", "total_time_seconds"]
+    want = clean.repair_first_session(timed)
+    assert sorted(map(str, got.select(*columns).collect())) == sorted(map(str, want.select(*columns).collect()))
+    assert sorted((r.app_user_id, r.screentime_id, r.line) for r in got.where("was_first").collect()) == [(7, 1, 1), (9, 6, 1)]
+
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        df = clean.app_sessions(apps, parents)
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert "ReusedExchange" in plan  # the rows are dealt to their parents once for both readers
+
+
 def test_dedup_keys(rows):
     df = rows("id long, app_user_id long, start ts", (1, 1, DAY + "08:00"), (2, 2, DAY + "08:00"))
     assert clean.dedup_start(df, "start").count() == 2
