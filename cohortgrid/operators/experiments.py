@@ -89,7 +89,8 @@ def _one_by_one(rows: DataFrame, key: str, name: str, open_: DataFrame, parallel
     def run(one) -> None:
         own = rows.where((F.col("target") == one.target) & (F.col("window_hours") == one.window_hours) & (F.col("split_mode") == one.split_mode))
         own = own.select(key, "is_test", "label", array_to_vector("x").alias("features"))
-        train = models.dealt(mlprep.with_class_weight(own.where(~F.col("is_test"))), one.width, key).persist()
+        size = models.FOREST_BYTES if name == "rf" else models.TASK_BYTES
+        train = models.dealt(mlprep.with_class_weight(own.where(~F.col("is_test"))), one.width, key, size).persist()
         if name == "gbt":
             models.checkpointed(rows.sparkSession)
         try:
@@ -105,7 +106,7 @@ def _one_by_one(rows: DataFrame, key: str, name: str, open_: DataFrame, parallel
 
 
 def run_experiments(rows: DataFrame, key: str, names: tuple[str, ...] = ("lr", "rf"), splits: tuple[str, ...] = SPLITS, baseline: bool = True,
-                    parallelism: int = 4, path: str | None = None, **params) -> DataFrame:
+                    parallelism: int = 8, path: str | None = None, **params) -> DataFrame:
     """Train and score every model on every experiment of the stacked ``rows``, with the persistence baseline.
 
     An experiment whose training rows lack a class has no row for its models; one without test rows has none at all.

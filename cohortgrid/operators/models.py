@@ -31,8 +31,9 @@ from .mlprep import fit_scaler, fold_report, fold_validity, scale, user_folds, w
 
 SEED = 42
 
-# Bytes of features that a task of an iterative fit holds.
+# Bytes of features that a task of an iterative fit holds; a forest's task runs all trees over them in every round.
 TASK_BYTES = 4 * 1024 * 1024
+FOREST_BYTES = 512 * 1024
 
 
 def make_model(name: str, n_features: int = 0, weighted: bool = True, **params) -> Estimator:
@@ -64,11 +65,11 @@ def assemble(df: DataFrame, columns: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep").transform(df)
 
 
-def dealt(rows: DataFrame, width: int, key: str | None = None) -> DataFrame:
+def dealt(rows: DataFrame, width: int, key: str | None = None, size: int = TASK_BYTES) -> DataFrame:
     """``rows`` in as many partitions as their features' size asks for, not as many as the cluster has for a shuffle:
     a fit of many rounds over few rows runs some ten thousand stages, and each has a task for every partition.
     By ``key``, a seeded fit also draws the same rows wherever it runs. Counts the rows: meant for written tables."""
-    parts = max(1, -(-rows.count() * width * 8 // TASK_BYTES))
+    parts = max(1, -(-rows.count() * width * 8 // size))
     return rows.repartition(parts, key).sortWithinPartitions(key) if key else rows.repartition(parts)
 
 
@@ -96,7 +97,8 @@ def fit_predict(name: str, split: DataFrame, key: str, columns: list[str], scale
         train, test = scale(train, fitted), scale(test, fitted)
     weighted = name != "mlp"
     train = with_class_weight(train) if weighted else train
-    rows = assemble(dealt(train, len(columns), key), columns).select("label", "features", *(["weight"] if weighted else [])).persist()
+    size = FOREST_BYTES if name == "rf" else TASK_BYTES
+    rows = assemble(dealt(train, len(columns), key, size), columns).select("label", "features", *(["weight"] if weighted else [])).persist()
     if name == "gbt":
         checkpointed(split.sparkSession)
     try:

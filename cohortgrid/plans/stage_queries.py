@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns
@@ -52,10 +56,21 @@ def prediction_membership(b):
     split = materialize(mlprep.split_stratified(rows, ID, "label"), "split")
     train, test = split.where(~F.col("is_test")), split.where("is_test")
     custom = models.model_map({"forest": models.make_model("rf", weighted=False, numTrees=20, maxDepth=4)}, len(names))
-    parts = [materialize(models.fit_predict(name, split, ID, names, scaled=name != "rf"), "scores").withColumn("model", F.lit(name)) for name in ("lr", "rf", "mlp")]
-    for name, estimator in custom.items():
-        fitted = estimator.fit(models.assemble(train, names))
-        parts.append(materialize(models.score_frame(fitted.transform(models.assemble(test, names)), ID), "scores").withColumn("model", F.lit(name)))
+
+    def scored(name: str) -> DataFrame:
+        if name in custom:
+            rows = models.assemble(models.dealt(train, len(names), ID, models.FOREST_BYTES), names).persist()
+            try:
+                fitted = custom[name].fit(rows)
+            finally:
+                rows.unpersist()
+            found = models.score_frame(fitted.transform(models.assemble(test, names)), ID)
+        else:
+            found = models.fit_predict(name, split, ID, names, scaled=name != "rf")
+        return materialize(found, "scores").withColumn("model", F.lit(name))
+
+    with ThreadPoolExecutor(4) as pool:
+        parts = list(pool.map(inheritable_thread_target(b.spark)(scored), ["mlp", "rf", "lr", *custom]))
     release(split)
     out = parts[0]
     for part in parts[1:]:

@@ -115,3 +115,11 @@ def test_sweep_models_equal_single_fits(spark, bound):
     tp = scored.where("label = 1 AND prediction = 1").count()
     row = next(r for r in got if (r.lookback_hours, r.subwindow_hours, r.model) == (2, 1, "lr"))
     assert (row.tp, row.n_test) == (tp, test.count())
+
+
+def test_forests_are_dealt_finer_than_boosted_trees(spark):
+    from cohortgrid.operators import models
+
+    rows = spark.range(20_000).withColumnRenamed("id", "key")
+    assert models.dealt(rows, 12, "key").rdd.getNumPartitions() == 1
+    assert models.dealt(rows, 12, "key", models.FOREST_BYTES).rdd.getNumPartitions() == 4
