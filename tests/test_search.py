@@ -107,3 +107,24 @@ def test_tables_by_column_are_read_by_folder_and_released(spark):
     assert os.path.isdir(folder)
     release(table)
     assert not os.path.exists(folder)
+
+
+@pytest.mark.parametrize("name,params", [("rf", {"numTrees": 5}), ("gbt", {"maxIter": 5})])
+def test_a_fit_does_not_wrap_its_trees(train, name, params):
+    """Wrapping each tree takes calls to the JVM that concurrent fits make one after another."""
+    model = models.make_model(name, maxDepth=2, **params).fit(models.assemble(train, COLUMNS))
+    for held in (model, models.first_trees(name, model, 2)):
+        assert "trees" not in vars(held)
+    assert [t.toDebugString for t in models.first_trees(name, model, 2).trees] == [t.toDebugString for t in model.trees[:2]]
+
+
+def test_remembered_nodes_give_the_same_forest(train):
+    fit = lambda **more: models.make_model("rf", numTrees=20, maxDepth=6, **more).fit(models.assemble(train, COLUMNS))
+    held, walked = fit(), fit(cacheNodeIds=False)
+    assert held.getCacheNodeIds() and held.toDebugString.split("\n")[1:] == walked.toDebugString.split("\n")[1:]
+
+
+def test_recalls_of_several_predictions_in_one_pass(spark):
+    rows = spark.createDataFrame([(1.0, 1.0, 0.0), (1.0, 0.0, 0.0), (0.0, 1.0, 0.0)], "label double, p double, q double")
+    assert models.SafeRecall.of("label", ["p", "q"], rows) == [0.5, 0.0]
+    assert models.SafeRecall.of("label", ["p"], rows.where("label = 1")) == [0.0]
