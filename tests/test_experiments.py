@@ -123,3 +123,20 @@ def test_forests_are_dealt_finer_than_boosted_trees(spark):
     rows = spark.range(20_000).withColumnRenamed("id", "key")
     assert models.dealt(rows, 12, "key").rdd.getNumPartitions() == 1
     assert models.dealt(rows, 12, "key", models.FOREST_BYTES).rdd.getNumPartitions() == 4
+
+
+def test_sweep_numbers_are_the_vectors_without_zeros(bound):
+    """Surveys with usage by the numbers that are not 0, the others as counts: the same rows, with far fewer numbers."""
+    from cohortgrid.operators import lookback
+    from cohortgrid.plans.align_queries import one_per_day_of
+    from cohortgrid.plans.model_queries import _LEVELS
+
+    surveys, levels = one_per_day_of(bound).cache(), _LEVELS[:-1]
+    few = {(r.survey_response_id, r.subwindow_hours): {i: v for i, v in zip(r.at, r.x)} for r in lookback.sweep_few(bound.category_sessions, surveys, levels, 30).collect()}
+    vectors = lookback.sweep_vectors(bound.category_sessions, surveys, levels, 30).collect()
+    assert all(few.get((r.survey_response_id, r.subwindow_hours), {}) == {i: v for i, v in enumerate(r.x) if v} for r in vectors)
+    assert sum(map(len, few.values())) * 5 < sum(len(r.x) for r in vectors)
+    split = mlprep.split_stratified(mlprep.encode_binary(surveys, "risk_label", "at_risk").select("survey_response_id", "label"), "survey_response_id", "label")
+    counted = sweep._counted(lookback.sweep_few(bound.category_sessions, surveys, levels, 30), split.select("survey_response_id", "label", "is_test"), 30)
+    assert {r.n for r in counted.groupBy("k").agg(F.sum("n").alias("n")).collect()} == {surveys.count()}
+    assert counted.where("size(x) = 0").groupBy("k", "is_test", "label").count().where("count > 1").isEmpty()
