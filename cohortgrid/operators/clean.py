@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -149,13 +152,18 @@ def join_parent(apps: DataFrame, parents: DataFrame) -> DataFrame:
     return apps.join(parent, "screentime_id", "left")
 
 
-def repaired_sessions(apps: DataFrame, parents: DataFrame, cutoff: str = FIRST_SESSION_CUTOFF) -> DataFrame:
+def repaired_sessions(apps: DataFrame, parents: DataFrame, cutoff: str = FIRST_SESSION_CUTOFF, days: DataFrame | None = None,
+                      reach: int = 0) -> DataFrame:
     """App sessions under their parents without repeats, with derived start times and ``was_first``: the user's first
     session, shifted as in ``repair_first_session``.
 
     Each user's first session is found from one row for each parent, and only its parent carries it back to the
     sessions, so these are shuffled to their parents and to their repeats, and not once more to their users. Repeats
     share the start, and the earliest one stays, so a first session is the same before they go.
+
+    With ``days`` (``app_user_id, days``: an array of dates, one row for each user), only sessions that start on one of
+    their user's days, or at most ``reach`` days before it, are sure to be among the rows; most others leave before
+    repeats are looked for. The test takes both starts a session can have, so repeats pass or leave together.
     """
     apps = drop_excluded_apps(apps)
     # One shuffle for both readers: they differ in no column or filter below it.
@@ -165,10 +173,15 @@ def repaired_sessions(apps: DataFrame, parents: DataFrame, cutoff: str = FIRST_S
     key = F.struct(start, F.struct("line", "app_name", "total_time_ms").alias("own"))
     least = placed.groupBy("screentime_id").agg(F.min(key).alias("_least"))
     parent = parents.select(F.col("id").alias("screentime_id"), "app_user_id", "start_time", "end_time")
+    if days is not None:
+        parent = parent.join(days.select("app_user_id", F.col("days").alias("_days")), "app_user_id")
     firsts = parent.where(F.col("app_user_id").isNotNull()).join(least, "screentime_id").groupBy("app_user_id").agg(
         F.min(F.struct("_least.start", "screentime_id", "_least.own")).alias("_first"))
     firsts = firsts.select("app_user_id", "_first.screentime_id", F.struct("_first.start", "_first.own").alias("_first"))
     joined = placed.join(parent.join(firsts, ["screentime_id", "app_user_id"], "left"), "screentime_id", "left")
+    if days is not None:
+        on = lambda ts, i: F.array_contains("_days", F.date_add(F.to_date(ts), i))
+        joined = joined.where(reduce(or_, [on(ts, i) for ts in (start, F.col("last_time_used")) for i in range(reach + 1)])).drop("_days")
     alone = apps.where(F.col("screentime_id").isNull())
     wrong = (key == F.col("_first")) & (start < F.col("start_time")) & (F.col("last_time_used") < ntz(cutoff))
     marked = joined.withColumn("was_first", F.coalesce(wrong, F.lit(False))).drop("_first")
@@ -184,9 +197,10 @@ def repaired_sessions(apps: DataFrame, parents: DataFrame, cutoff: str = FIRST_S
     )
 
 
-def app_sessions(apps: DataFrame, parents: DataFrame, cutoff: str = FIRST_SESSION_CUTOFF) -> DataFrame:
-    """App usage sessions with derived start times."""
-    return repaired_sessions(apps, parents, cutoff).select(
+def app_sessions(apps: DataFrame, parents: DataFrame, cutoff: str = FIRST_SESSION_CUTOFF, days: DataFrame | None = None,
+                 reach: int = 0) -> DataFrame:
+    """App usage sessions with derived start times; ``days`` and ``reach`` as in ``repaired_sessions``."""
+    return repaired_sessions(apps, parents, cutoff, days, reach).select(
         "app_user_id", "app_name", "calculated_start_time", "last_time_used", "total_time_ms", "total_time_seconds"
     )
 

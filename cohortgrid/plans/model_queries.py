@@ -9,15 +9,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..operators import experiments, lookback, metrics, mlprep, models, sweep, timegrid
+from ..functions.timecols import lenient_timestamp
+from ..operators import clean, experiments, lookback, metrics, mlprep, models, surveys, sweep, timegrid
 from ..session import materialize, release
 from .align_queries import (
     _OWN_TIME, MULTI_SLOTS, COMBINED, COMBINED_VIEWS, COUNTS, HOURS, LABEL, LOOKBACK, METRIC_OUT, ONE_PER_DAY, SIZE, STD_PARTS, STD_SLOTS,
     SURVEYS, SWEEP_PARTS, TEMPORAL, TEMPORAL_SPLIT, combined_of, hourly_of, metric_parts, one_per_day_of, slot_columns, slot_sql, standard_slots, training_of,
 )
-from .grid_queries import APP_PARTS, EVENTS, GRID_PARTS, SESSIONS, app_sessions_of
+from .grid_queries import APP_PARTS, EVENTS, GRID_PARTS, SESSIONS
 from .registry import query, sql
-from .survey_queries import BASE, DAILY, PHQ9_PARTS, RESPONSES, labels_of, phq9_of, scored_parts
+from .survey_queries import BASE, DAILY, PHQ9_PARTS, RESPONSES, scored_parts
 
 SLOTS = [f"hour_{i}" for i in range(HOURS)]
 CATEGORIES = [f"most_used_category_sw{i}" for i in range(LOOKBACK // SIZE)]
@@ -462,11 +463,20 @@ TARGET_WINDOWS = [12, 24, 48]
 
 
 def target_rows(b) -> DataFrame:
-    """The ten targets' labels of each survey with the hourly app usage before it, in three windows."""
-    severity = phq9_of(b).select(ID, "severity_label")
-    labelled = labels_of(b).join(severity, ID, "left")
+    """The ten targets' labels of each survey with the hourly app usage before it, in three windows.
+
+    A survey without usage in the longest window has no row, and usage that no survey's window touches counts nowhere:
+    sessions are cut to the days before surveys, then surveys to those near usage, and only their answers are pivoted."""
+    hours = max(TARGET_WINDOWS)
+    asked = b.survey_response.where(F.col("survey_id").isin(surveys.MORNING, surveys.AFTERNOON)).select(
+        "id", "app_user_id", lenient_timestamp(F.col("survey_ts")).alias("survey_ts"))
+    sessions = clean.app_sessions(b.screentime_app, b.screentime, days=lookback.survey_days(asked), reach=lookback.reach_days(hours))
+    usage = materialize(timegrid.hourly_screentime(sessions).select("app_user_id", "datetime", "hourly_screentime"), "target-usage")
+    near = lookback.near_usage(asked, usage, hours).select("id").distinct()
+    responses = materialize(b.survey_response.join(near, "id", "left_semi"), "target-responses")
+    severity = surveys.phq9_scores(responses, b.answer).select(ID, "severity_label")
+    labelled = surveys.daily_labels(responses, b.daily_answer).join(severity, ID, "left")
     columns = [column for column, _, _ in rules.TARGETS.values()]
-    usage = timegrid.hourly_screentime(app_sessions_of(b))
     wide = lookback.multiwindow_slots(usage, labelled, "hourly_screentime", TARGET_WINDOWS, keep=columns)
     targets = {name: (column, positive) for name, (column, positive, _) in rules.TARGETS.items()}
     return experiments.stacked(wide, targets, lambda w: [f"hour_{i}" for i in range(w)], TARGET_WINDOWS, ID)
