@@ -22,10 +22,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, query, stored, table, words
+from .common import BLANKS, dropped, query, stored, table
 
 MIN_WORDS = 8
 RESULTS = ("n_lines", "n_exact", "n_near")
+HELD = r"[^\x20\x09-\x0D][^\n]*"  # a line with a word, from its first word on
+
+
+def _line(text: Column) -> Column:
+    """A line's words joined by one space; empty for a line without words."""
+    return F.btrim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "), F.lit(BLANKS))
 
 
 def _halves(w: Column, n: Column, least: int) -> Column:
@@ -72,30 +78,39 @@ def _variant_hashes(w: str) -> Column:
 def removed_lines(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``(doc_id, key, exact, near)``: numbers of the lines to remove from the text with that hash.
 
-    ``rows``: ``(doc_id, key, text)``, none null."""
+    ``rows``: ``(doc_id, key, text)``, none null. Tables are deleted when their last reader is done, so that texts, which
+    are shuffled last, don't meet all of them on the disk."""
     at = F.struct("doc_id", "line", "key")
     split = rows.select("doc_id", "key", F.posexplode(F.split("text", "\n")).alias("line", "_l")).where(
-        F.rlike("_l", F.lit(WORD))).select("doc_id", "key", "line", words("_l").alias("_w"))
+        F.btrim("_l", F.lit(BLANKS)) != "").select("doc_id", "key", "line", _line(F.col("_l")).alias("_t")).select(
+        "doc_id", "key", "line", "_t", F.split("_t", " ").alias("_w"))
     n = F.size("_w")
-    every = stored(split.select(
-        "doc_id", "key", "line", F.unhex(F.md5(F.array_join("_w", " "))).alias("id"), n.alias("n"),
+    full = stored(split.select(
+        "doc_id", "key", "line", F.unhex(F.md5("_t")).alias("id"), n.alias("n"),
         F.when(n >= min_words, _halves(F.col("_w"), n, min_words)).alias("halves")), "lines")
-    distinct = stored(every.select("id", "n", *[F.col("halves")[i].alias(f"h{i}") for i in range(4)], at.alias("at")).groupBy(
-        "id", "n", "h0", "h1", "h2", "h3").agg(F.min("at").alias("at")), "lines-distinct")
+    distinct = stored(full.select("id", "n", *[F.col("halves")[i].alias(f"h{i}") for i in range(4)], at.alias("at")).groupBy(
+        "id", "n", "h0", "h1", "h2", "h3").agg(F.min("at").alias("at"), F.count("*").alias("c")), "lines-distinct")
+    every = stored(full.select("doc_id", "key", "line", "id"), "lines-places")
+    dropped(full)
 
     # Lines that share a half with another line.
     halves = distinct.where(F.col("n") >= min_words).select(
         "id", F.explode(F.array("h0", "h1", "h2", "h3")).alias("half")).where("half IS NOT NULL")
     shared = stored(halves.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half"), "lines-halves")
     some = stored(halves.join(shared, "half").select("id").distinct(), "lines-some")
+    dropped(shared)
     wanted = distinct.join(some, "id").select("id", "n", "at.*").groupBy("doc_id", "key").agg(
         F.collect_list(F.struct("line", "id", "n")).alias("want"))
     wanted = stored(wanted, "lines-wanted")
-    texts = rows.select("doc_id", "key", "text").dropDuplicates(["doc_id", "key"])
-    found = stored(texts.join(wanted, ["doc_id", "key"]).select(
+    repeated = stored(distinct.where("c > 1").select("id", "at"), "lines-repeated")
+    for done in (some, distinct):
+        dropped(done)
+    # Rows that share an id and a text give their lines once.
+    found = stored(rows.select("doc_id", "key", "text").join(wanted, ["doc_id", "key"]).select(
         "doc_id", "key", F.split("text", "\n").alias("_t"), F.explode("want").alias("e")).select(
         F.struct("doc_id", "e.line", "key").alias("at"), "e.id", "e.n",
-        F.array_join(words(F.get("_t", F.col("e.line"))), " ").alias("text")), "lines-found")
+        _line(F.get("_t", F.col("e.line"))).alias("text")).dropDuplicates(["id"]), "lines-found")
+    dropped(wanted)
 
     # Variants as hashed keys; slot: the deleted word, -1 for the line itself.
     split = found.select("at", "id", F.split("text", " ").alias("_v"))
@@ -104,38 +119,49 @@ def removed_lines(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     variants = stored(variants.select("at", "id", (F.col("slot") - 1).alias("slot"), "variant"), "lines-variants")
     best = variants.groupBy("variant", "slot").agg(F.min(F.struct("at", "id", "slot")).alias("best"), F.count("*").alias("c"))
     best = stored(best, "lines-best")
-    whole, cut = F.col("slot") < 0, F.col("slot") >= 0
+    whole, cut = F.col("slot") < 0, F.col("slot") >= 0  # the line itself, or without a word
     # A variant has a row for each slot here, so at most as many as a line has words.
     per = best.groupBy("variant").agg(
         F.min(F.when(whole, F.col("best"))).alias("whole"), F.min(F.when(cut, F.col("best"))).alias("cut"),
         F.max("c").alias("most"), F.count("*").alias("slots")).where("most > 1 OR (whole IS NOT NULL AND cut IS NOT NULL)")
-    offers = best.join(stored(per.select("variant", "whole", "cut"), "lines-per"), "variant").select(
+    per = stored(per.select("variant", "whole", "cut"), "lines-per")
+    offers = best.join(per, "variant").select(
         "variant", "slot", F.when(whole, F.array("cut")).otherwise(F.array("best", "whole")).alias("offers"))
     offers = stored(offers, "lines-offers")
+    for done in (best, per):
+        dropped(done)
     matches = variants.join(offers, ["variant", "slot"]).select(
         "at", "id", "slot", F.explode("offers").alias("o")).where("o.at < at AND o.id <> id")
     matches = stored(matches.groupBy("id", F.col("o.id").alias("other")).agg(
         F.min(F.struct(F.col("slot").alias("a"), F.col("o.slot").alias("b"))).alias("slots")), "lines-matches")
+    for done in (variants, offers):
+        dropped(done)
     text = found.select("id", "n", "text")
     proof = lambda t, n, s: F.when(F.col(s) < 0, F.col(t)).otherwise(_without(t, n, s))
     near = matches.join(text, "id").join(
         text.select(F.col("id").alias("other"), F.col("n").alias("m"), F.col("text").alias("old")), "other").where(
         proof("text", "n", "slots.a") == proof("old", "m", "slots.b")).select("id").distinct()
-    near = stored(near.withColumn("near", F.lit(True)), "lines-near")
-
-    first = distinct.select("id", F.col("at").alias("first")).join(near, "id", "left")
-    judged = every.select("doc_id", "key", "line", "id").join(stored(first, "lines-first"), "id").select(
-        "doc_id", "key", "line", (F.col("first") < at).alias("exact"), F.coalesce("near", F.lit(False)).alias("near"))
-    return judged.where("exact OR near").groupBy("doc_id", "key").agg(
+    # Lines that can go: those of repeated texts, and those near an earlier one.
+    near = near.join(found.select("id", "at"), "id").select("id", "at", F.lit(True).alias("near"))
+    marks = near.unionByName(repeated.withColumn("near", F.lit(False))).groupBy("id").agg(
+        F.min("at").alias("first"), F.max("near").alias("near"))
+    marks = stored(marks, "lines-marks")
+    for done in (matches, found, repeated):
+        dropped(done)
+    judged = every.join(marks, "id").select("doc_id", "key", "line", (F.col("first") < at).alias("exact"), "near")
+    gone = stored(judged.where("exact OR near").groupBy("doc_id", "key").agg(
         F.collect_set(F.when(F.col("exact"), F.col("line"))).alias("exact"),
-        F.collect_set(F.when(~F.col("exact"), F.col("line"))).alias("near"))
+        F.collect_set(F.when(~F.col("exact"), F.col("line"))).alias("near")), "lines-removed")
+    for done in (every, marks):
+        dropped(done)
+    return gone
 
 
 def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the kept lines as its text, ``n_lines`` (with a word, before), ``n_exact`` and ``n_near``
     (removed as equal to, or one edit from, an earlier line)."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), F.col(text).alias("text"))
-    gone = stored(removed_lines(rows.where("doc_id IS NOT NULL AND text IS NOT NULL"), min_words), "lines-removed").select(
+    gone = removed_lines(rows.where("doc_id IS NOT NULL AND text IS NOT NULL"), min_words).select(
         F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("exact").alias("_exact"), F.col("near").alias("_near"))
     out = docs.drop(*RESULTS).join(
         gone, (F.col(doc_id).cast("long") == F.col("_id")) & (F.xxhash64(text) == F.col("_key")), "left")
@@ -143,7 +169,7 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_
     gone = F.concat("_exact", "_near")
     kept = F.array_join(F.filter(all_, lambda x, i: ~F.array_contains(gone, i)), "\n")
     count = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
-    held = F.size(F.filter(F.coalesce(all_, F.array()), lambda x: F.rlike(x, F.lit(WORD)))).cast("long")
+    held = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(HELD)).cast("long")
     out = out.select(*[c for c in docs.columns if c not in (text, *RESULTS)],
                      F.when(F.col("_key").isNull(), F.col(text)).otherwise(kept).alias(text), held.alias("n_lines"),
                      F.when(F.col("_key").isNull(), 0).otherwise(count("_exact")).cast("long").alias("n_exact"),

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import uuid
 import zlib
 
 import numpy as np
@@ -150,6 +151,18 @@ def test_line_dedup(documents, mixed_rows, say):
     assert lines.line_dedup(documents()).count() == 0
 
 
+def test_line_dedup_leaves_one_small_table(documents, tmp_path, monkeypatch):
+    """Texts are shuffled last: only the numbers of removed lines are on the disk beside them, not the tables before."""
+    long = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{long}\n\x0b\x0c\nshort line"), (2, f" \t{long}  x\r\nshort\tline\n\n"), (2, f" \t{long}  x\r\nshort\tline\n\n"), (3, "\x0b"), (4, None)]
+    monkeypatch.setattr("cohortgrid.llm.common.scratch", lambda spark, purpose: f"{tmp_path}/{purpose}-{uuid.uuid4().hex}")
+    out = lines.line_dedup(documents(*rows))
+    got = sorted((r.doc_id, r.text or "", r.n_lines, r.n_exact, r.n_near) for r in out.collect())
+    left = [p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir() if any(p.glob("*.parquet"))]
+    assert left == ["lines-removed"]
+    assert got == [(1, rows[0][1], 2, 0, 0), (2, "\n", 2, 1, 1), (2, "\n", 2, 1, 1), (3, "\x0b", 0, 0, 0), (4, "", 0, 0, 0)]
+
+
 def test_line_dedup_is_native(documents, mixed_rows):
     plan = lines.line_dedup(documents(*mixed_rows))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
