@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
+from functools import partial, reduce
 from itertools import product
 
 from pyspark import SparkContext, inheritable_thread_target, keyword_only
@@ -34,6 +34,10 @@ SEED = 42
 # Bytes of features that a task of an iterative fit holds; a forest's task runs all trees over them in every round.
 TASK_BYTES = 4 * 1024 * 1024
 FOREST_BYTES = 512 * 1024
+# Rows and bytes of features of a task that grows trees. In each round a task makes, sends and merges the statistics of
+# all open nodes, which cost what a few ten thousand rows do, however few rows it holds.
+TREE_ROWS = 32 * 1024
+TREE_BYTES = 64 * 1024 * 1024
 
 
 class Forest(RandomForestClassificationModel):
@@ -97,6 +101,11 @@ def dealt(rows: DataFrame, width: int, key: str | None = None, size: int = TASK_
     return rows.repartition(parts, key).sortWithinPartitions(key) if key else rows.repartition(parts)
 
 
+def dealt_trees(rows: DataFrame, width: int, key: str | None = None) -> DataFrame:
+    """``dealt`` for fits that grow trees over many rows: by ``TREE_ROWS``, and by ``TREE_BYTES`` where rows are wide."""
+    return dealt(rows, width, key, min(TREE_BYTES, TREE_ROWS * width * 8))
+
+
 def checkpointed(spark) -> None:
     """Boosting cuts the lineage of its errors every few rounds if the context has a checkpoint folder."""
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -121,8 +130,8 @@ def fit_predict(name: str, split: DataFrame, key: str, columns: list[str], scale
         train, test = scale(train, fitted), scale(test, fitted)
     weighted = name != "mlp"
     train = with_class_weight(train) if weighted else train
-    size = FOREST_BYTES if name == "rf" else TASK_BYTES
-    rows = assemble(dealt(train, len(columns), key, size), columns).select("label", "features", *(["weight"] if weighted else [])).persist()
+    deal = dealt_trees if name == "gbt" else partial(dealt, size=FOREST_BYTES if name == "rf" else TASK_BYTES)
+    rows = assemble(deal(train, len(columns), key), columns).select("label", "features", *(["weight"] if weighted else [])).persist()
     if name == "gbt":
         checkpointed(split.sparkSession)
     try:

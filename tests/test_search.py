@@ -128,3 +128,22 @@ def test_recalls_of_several_predictions_in_one_pass(spark):
     rows = spark.createDataFrame([(1.0, 1.0, 0.0), (1.0, 0.0, 0.0), (0.0, 1.0, 0.0)], "label double, p double, q double")
     assert models.SafeRecall.of("label", ["p", "q"], rows) == [0.5, 0.0]
     assert models.SafeRecall.of("label", ["p"], rows.where("label = 1")) == [0.0]
+
+
+def test_trees_grow_in_tasks_of_many_rows(spark, monkeypatch):
+    """Statistics of the open nodes are made, sent and merged once for each task: by rows, and by bytes where rows are wide."""
+    rows = spark.range(0, 40_000, 1, 4)
+    assert models.dealt(rows, 48, "id").rdd.getNumPartitions() == 4
+    assert models.dealt_trees(rows, 48, "id").rdd.getNumPartitions() == 2
+    assert models.dealt_trees(rows, 1000).rdd.getNumPartitions() == -(-40_000 * 8000 // models.TREE_BYTES)
+    assert models.dealt_trees(rows.limit(0), 48).rdd.getNumPartitions() == 1
+    dealt, seen = models.dealt_trees, []
+
+    def spied(df, width, key=None):
+        seen.append(dealt(df, width, key))
+        return seen[-1]
+
+    monkeypatch.setattr(models, "dealt_trees", spied)
+    table = rows.select("id", (F.col("id") % 2).cast("double").alias("label"), (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 5 == 0).alias("is_test"))
+    assert models.fit_predict("gbt", table, "id", ["a"], scaled=False, maxIter=1, maxDepth=1).count() == 8000
+    assert [t.count() for t in seen] == [32_000]
