@@ -1,8 +1,11 @@
 """Staged evaluation of forests and boosted trees."""
 
 import os
+import time
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from cohortgrid.operators import mlprep, models
@@ -147,3 +150,38 @@ def test_trees_grow_in_tasks_of_many_rows(spark, monkeypatch):
     table = rows.select("id", (F.col("id") % 2).cast("double").alias("label"), (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 5 == 0).alias("is_test"))
     assert models.fit_predict("gbt", table, "id", ["a"], scaled=False, maxIter=1, maxDepth=1).count() == 8000
     assert [t.count() for t in seen] == [32_000]
+
+
+def test_numbers_that_are_not_zero_grow_the_same_forest(spark):
+    rows = spark.range(300).select("id", (F.col("id") * 7 % 11 > 5).cast("double").alias("label"), F.expr(
+        "transform(sequence(0, 11), i -> IF((id * 5 + i) % 9 = 0, cast(id % 13 + i AS double), 0D))").alias("a")).coalesce(1)
+    dense = rows.select("id", "label", array_to_vector("a").alias("x"))
+    few = models.compressed(dense, 12)
+    assert few.columns == ["id", "label", "features"] and {type(r.features).__name__ for r in few.collect()} == {"SparseVector"}
+    assert [list(r.features.toArray()) for r in few.orderBy("id").collect()] == [r.a for r in rows.orderBy("id").collect()]
+    grown = [models.make_model("rf", weighted=False, numTrees=10).fit(t).toDebugString.split("\n")[1:]
+             for t in (dense.withColumnRenamed("x", "features"), few)]
+    assert grown[0] == grown[1] and len(grown[0]) > 20
+
+
+def test_forests_wait_for_room(spark):
+    """As many side by side as fit; one larger than all of it alone, and none for ever."""
+    room = models.Room(spark)
+    assert room.left == room.all > 0
+    rows, most, now = room.all // (4 * 13), [0], [0]  # one column and four trees: each takes all
+
+    def grow(share):
+        with room.taken(rows // share, 1, 4):
+            now[0] += 1
+            most[0] = max(most[0], now[0])
+            time.sleep(0.05)
+            now[0] -= 1
+
+    for share, side_by_side in ((1, 1), (3, 3)):
+        most[0] = 0
+        with ThreadPoolExecutor(8) as pool:
+            list(pool.map(grow, [share] * 8))
+        assert most[0] == side_by_side
+    with room.taken(rows * 50, 1, 4):
+        assert room.left == 0
+    assert room.left == room.all
